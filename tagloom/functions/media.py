@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from tagloom.functions.text import contains_any
+from tagloom.functions.text import contains_any, fixed
 from tagloom.rules.vocabulary import items
 
 # ---------------------------------------------------------------------------
@@ -284,8 +284,8 @@ def format_size(size: Column) -> Column:
     chain = F.when(size.isNull(), F.lit("Unknown"))
     for power, unit in enumerate(["B", "KB", "MB", "GB"]):
         chain = chain.when(size < 1024.0 ** (power + 1), F.concat(
-            F.format_string("%.1f", size / F.lit(1024.0 ** power)), F.lit(f" {unit}")))
-    return chain.otherwise(F.concat(F.format_string("%.1f", size / F.lit(1024.0 ** 4)), F.lit(" TB")))
+            fixed(size / F.lit(1024.0 ** power), 1), F.lit(f" {unit}")))
+    return chain.otherwise(F.concat(fixed(size / F.lit(1024.0 ** 4), 1), F.lit(" TB")))
 
 
 def format_duration(seconds: Column) -> Column:

@@ -5,7 +5,7 @@ import json
 import re
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tagloom.rules.vocabulary import word_forms
 
@@ -96,6 +96,14 @@ def tags_for_hits(hits: Column, tag_words: dict[str, list[str]]) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(found)))
 
 
+def substrings(rows: DataFrame, text: str, lengths: str, name: str) -> DataFrame:
+    """One row per distinct substring of ``text`` with one of the ``lengths`` (an array column)."""
+    long = rows.select("*", F.explode(lengths).alias("_k")).filter(F.length(text) >= F.col("_k"))
+    starts = F.sequence(F.lit(1), F.length(text) - F.col("_k") + 1)
+    cuts = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(text), i, F.col("_k"))))
+    return long.select(*rows.columns, F.explode(cuts).alias(name))
+
+
 def split_tags(col: Column, lower: bool = False) -> Column:
     """Comma-separated tags to a trimmed list without blanks."""
     source = F.lower(col) if lower else col
@@ -187,3 +195,8 @@ def float_text(value: Column) -> Column:
     """Number as text with at least one decimal and no exponent."""
     return F.when(value == F.floor(value), F.concat(value.cast("bigint").cast("string"), F.lit(".0"))) \
         .otherwise(value.cast("string"))
+
+
+def fixed(value: Column, digits: int) -> Column:
+    """Number with fixed decimals, ties to even."""
+    return F.format_string(f"%.{digits}f", F.bround(value.cast("double"), digits))

@@ -3,7 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tagloom.operators.ordering import bounded_lists, first_rows
+from tagloom.functions.text import fixed
+from tagloom.operators.ordering import bounded_lists, first_rows, positions, top_rows
 
 # Priority -> lowest quality accepted at that level, and its name.
 LEVELS = {1: (5.0, "official brand media"), 2: (6.0, "authorized distributor"),
@@ -62,7 +63,7 @@ def select_assets(assets: DataFrame) -> DataFrame:
         F.min("source_priority").alias("_top"), F.min("lo").alias("min_quality"), F.max("hi").alias("max_quality"),
         F.min_by(F.struct("best.*", "n"), "key").alias("s"))
     quality, level = F.col("s.quality_score"), F.col("s.source_priority")
-    name, shown = _level(level, 1), F.format_string("%.1f/10", F.col("s.quality_score"))
+    name, shown = _level(level, 1), F.concat(fixed(F.col("s.quality_score"), 1), F.lit("/10"))
 
     def text(form: str) -> Column:
         return F.format_string(form, name, shown)
@@ -192,7 +193,6 @@ def asset_stats(assets: DataFrame, high: float = 0.8, low: float = 0.6) -> DataF
 
 def best_images(images: DataFrame, n: int = 10, prefer_high_res: bool = True) -> DataFrame:
     """Best ``n`` images per page: high resolution first, then score, then order."""
-    from tagloom.operators.ordering import top_rows
     high = F.col("is_high_res").cast("int") if prefer_high_res else F.lit(0)
     return top_rows(images, ["page_id"], n, F.desc(high), F.desc("score"), F.col("ord"))
 
@@ -204,7 +204,6 @@ def unique_names(files: DataFrame) -> DataFrame:
     becomes ``a_1_2.png`` as in the source.  Numbering runs inside one category
     and name only.
     """
-    from tagloom.operators.ordering import positions
     placed = positions(files, ["category", "name"], [F.col("ord")], F.floor(F.col("ord") / 1_000_000), "_n")
     stem = F.regexp_replace("name", r"\.[^.]*$", "")
     suffix = F.regexp_extract("name", r"(\.[^.]*)$", 1)
@@ -216,7 +215,6 @@ def unique_names(files: DataFrame) -> DataFrame:
 def pack_metadata(files: DataFrame, sample: int = 10) -> DataFrame:
     """Per category the number of files and its first names; the sample is the report's length."""
     named = first_rows(files.select("category", "name", "ord").distinct(), ["category", "name", "ord"], F.col("ord"))
-    from tagloom.operators.ordering import top_rows
     firsts = top_rows(named, ["category"], sample, F.col("ord"), F.col("name")).groupBy("category").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]), "|").alias("files"))
     return files.groupBy("category").agg(F.count("*").alias("count")).join(firsts, "category", "left")
@@ -282,7 +280,6 @@ def kpi_status(checks: DataFrame, success: float = 0.95, error: float = 0.05) ->
 
 def latest_versions(versions: DataFrame, keep: int = 3) -> DataFrame:
     """The last ``keep`` versions per asset; keeping few is the feature."""
-    from tagloom.operators.ordering import top_rows
     return top_rows(versions, ["asset_id"], keep, F.desc("version"))
 
 

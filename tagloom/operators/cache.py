@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tagloom.functions.text import substrings
 from tagloom.operators.ordering import top_rows
 
 
@@ -71,12 +72,8 @@ def similar_products(queries: DataFrame, cache: DataFrame, limit: int = 5) -> Da
     lengths = words.agg(F.collect_set(F.length("word")).alias("n")).scalar()
 
     def pieces(field: str, text: Column) -> DataFrame:
-        low = F.lower(text)
-        cuts = F.flatten(F.transform(lengths, lambda n: F.when(
-            F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: F.substring(low, i, n)))
-            .otherwise(F.array().cast("array<string>"))))
-        return cache.select(F.col("content_hash").alias("other"), "cached_at", F.lit(field).alias("field"),
-                            F.explode(F.array_distinct(cuts)).alias("word"))
+        rows = cache.select(F.col("content_hash").alias("other"), "cached_at", F.lower(text).alias("_low"), lengths.alias("_n"))
+        return substrings(rows, "_low", "_n", "word").select("other", "cached_at", F.lit(field).alias("field"), "word")
 
     holding = pieces("title", F.col("title")).unionByName(pieces("description", F.col("description"))) \
         .unionByName(pieces("tags", F.array_join("tags", ",")))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tagloom.functions import media as M
+from tagloom.functions.text import substrings
 from tagloom.functions.urls import MEDIA_WORDS, is_category_link, is_product_link
 from tagloom.operators.ordering import first_rows
 
@@ -223,11 +224,8 @@ def match_brands(rows: DataFrame, brands: DataFrame, url: str = "url", text: str
     lengths = forms.agg(F.collect_set(F.length("form")).alias("n")).scalar()
 
     def pieces(col: str, place: int) -> DataFrame:
-        low = F.lower(F.coalesce(col, F.lit("")))
-        cuts = F.flatten(F.transform(lengths, lambda n: F.when(
-            F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: F.substring(low, i, n)))
-            .otherwise(F.array().cast("array<string>"))))
-        return rows.select("row_id", F.lit(place).alias("place"), F.explode(F.array_distinct(cuts)).alias("form"))
+        cut = rows.select("row_id", F.lower(F.coalesce(col, F.lit(""))).alias("_low"), lengths.alias("_n"))
+        return substrings(cut, "_low", "_n", "form").select("row_id", F.lit(place).alias("place"), "form")
 
     found = pieces(url, 0).unionByName(pieces(text, 1)).join(forms, ["place", "form"]).groupBy("row_id").agg(
         F.min_by("brand", F.struct("place", "b_ord")).alias("brand"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tagloom.functions import extract as X
-from tagloom.functions.text import blank, html_paragraphs, join_tags, slug
+from tagloom.functions.text import blank, fixed, html_paragraphs, join_tags, slug
 from tagloom.operators.module_tagger import variant_flavours
 from tagloom.operators.ordering import bounded_lists, first_rows
 from tagloom.rules.vocabulary import Vocabulary
@@ -77,20 +77,18 @@ def with_sku(variants: DataFrame, inventory: DataFrame) -> DataFrame:
         "sku_full", "sku_value", "sku_handle", F.lit("")).alias("inventory_sku"))
 
 
-def variant_tags(tags: Column, option: Column, vocabulary: Vocabulary | None = None) -> Column:
-    """Product tags with flavours, ratio and style replaced by what the option names."""
+def variant_tags(tags: Column, flavours: Column, ratio: Column, vocabulary: Vocabulary | None = None) -> Column:
+    """Product tags with flavours, ratio and style replaced by what a variant's option names."""
     v = vocabulary or Vocabulary()
 
-    def swap(base: Column, dim: str, new: Column) -> Column:
-        old = F.array(*[F.lit(t) for t in v.dims[dim].tags])
-        return F.when(F.size(new) > 0, F.concat(
-            F.filter(base, lambda t: ~F.array_contains(old, t)), new)).otherwise(base)
+    def swap(base: Column, dim: str, new: Column, given: Column) -> Column:
+        kept = F.filter(base, lambda t: ~t.isin(*v.dims[dim].tags))
+        return F.when(given, F.concat(kept, new)).otherwise(base)
 
-    text = F.coalesce(option, F.lit(""))
-    ratio = X.variant_vg_ratio(text)
-    step = swap(tags, "flavour_type", variant_flavours(text))
-    step = swap(step, "vg_ratio", F.array_compact(F.array(ratio)))
-    return swap(step, "vaping_style", F.array_compact(F.array(X.export_vaping_style(ratio))))
+    style = X.export_vaping_style(ratio)
+    step = swap(tags, "flavour_type", flavours, F.size(flavours) > 0)
+    step = swap(step, "vg_ratio", F.array(ratio), ratio.isNotNull())
+    return swap(step, "vaping_style", F.array(style), style.isNotNull())
 
 
 def export_variants(variants: DataFrame, products: DataFrame,
@@ -107,8 +105,10 @@ def export_variants(variants: DataFrame, products: DataFrame,
     joined = rows.join(products.select("handle", *[
         F.col(c).alias(f"_{c}") for c in ("tags", "category", "needs_manual_review", "ai_confidence",
                                           "model_used", "failure_reasons")]), "handle", "left")
+    option = F.coalesce("option1_value", F.lit(""))
+    joined = joined.select("*", variant_flavours(option).alias("_flavours"), X.variant_vg_ratio(option).alias("_ratio"))
     known = F.col("_tags").isNotNull()
-    tags = F.when(known, variant_tags(F.col("_tags"), F.col("option1_value")))
+    tags = F.when(known, variant_tags(F.col("_tags"), F.col("_flavours"), F.col("_ratio")))
     sku = F.col("variant_sku") if inventory is None else F.when(
         known & (F.col("inventory_sku") != ""), F.col("inventory_sku")).otherwise(F.col("variant_sku"))
     out = joined.select(
@@ -122,7 +122,7 @@ def export_variants(variants: DataFrame, products: DataFrame,
         F.coalesce(join_tags(F.col("_final")), F.lit("")).alias("tags"),
         F.when(~tagged | F.coalesce(review, F.lit(False)), "YES").otherwise("NO").alias("needs_manual_review"),
         F.when(tagged, F.col("_category")).otherwise("unknown").alias("category"),
-        F.when(tagged, F.format_string("%.2f", F.coalesce("_ai_confidence", F.lit(0.0)))).otherwise("")
+        F.when(tagged, fixed(F.coalesce("_ai_confidence", F.lit(0.0)), 2)).otherwise("")
         .alias("ai_confidence"),
         F.coalesce("_model_used", F.lit("")).alias("model_used"),
         F.coalesce(F.array_join("_failure_reasons", "; "), F.lit("")).alias("failure_reasons"),
@@ -170,7 +170,8 @@ def cleanup_rows(untagged: DataFrame, products: DataFrame) -> DataFrame:
                                            F.col("category").alias("_category"),
                                            F.col("needs_manual_review").alias("_review")), "handle", "left")
     option = F.trim(F.coalesce("option1_value", F.lit("")))
-    own = variant_flavours(option)
+    joined = joined.select("*", variant_flavours(option).alias("_own"))
+    own = F.col("_own")
     usable = F.col("_category").isin(CLEANUP_FLAVOUR_CATEGORIES) & \
         ~F.lower(option).isin("default title", "nan", "") & (F.size(own) > 0)
     tags = F.when(F.coalesce(usable, F.lit(False)), F.array_distinct(F.concat(

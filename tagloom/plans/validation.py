@@ -102,9 +102,9 @@ def q_map(spark, sf):
 
 
 @query("reprocess_tag_filter", cte("responses") + """, t AS (SELECT handle, model_rank, unnest(string_split(response_text, ' ')) AS raw FROM responses)
-SELECT handle, model_rank, count(*) AS kept FROM t WHERE trim(raw) <> '' AND NOT lower(trim(raw)) IN ('the', 'and', 'but', 'for', 'with', 'product', 'item', 'unknown', 'n/a', 'none', 'null') GROUP BY ALL""")
+SELECT handle, model_rank, count(*) AS kept FROM t WHERE trim(raw) <> '' AND NOT lower(trim(raw)) IN ('the', 'but', 'for', 'with', 'product', 'item', 'unknown', 'n/a', 'none', 'null') GROUP BY ALL""")
 def q_reprocess_filter(spark, sf):
-    """P17.  Words that are part of a known tag (a, an, or) are kept, as in the source."""
+    """P17.  Words that are part of a known tag (a, an, and, or) are kept, as in the source."""
     return view(spark, sf, "responses").select(
         "handle", "model_rank", F.size(V.reprocess_tags(F.split("response_text", " "))["kept"]).cast("long").alias("kept")).filter("kept > 0")
 

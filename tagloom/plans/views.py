@@ -79,7 +79,7 @@ VIEWS: dict[str, tuple[str, list[tuple[str, str]]]] = {
     "run_events": ("orders", [
         ("run_id", "'run-' || CAST(year(o_orderdate) AS STRING)"),
         ("event", "CASE WHEN o_orderkey % 2 = 0 AND year(o_orderdate) < 2001 THEN 'completed' ELSE 'started' END"),
-        ("at", "o_orderdate"), ("config", "CAST(NULL AS STRING)")]),
+        ("happened_at", "o_orderdate"), ("config", "CAST(NULL AS STRING)")]),
     "assets": ("documents", [
         ("ord", "doc_id"), ("asset_id", "'d' || CAST(doc_id AS STRING)"),
         ("group_id", "'g' || CAST(doc_id % 97 AS STRING)"), ("source", "source"),

@@ -23,7 +23,7 @@ class AuditStore:
 
     def _event(self, run_id: str, event: str, config: dict[str, str] | None) -> None:
         row = self.spark.createDataFrame([(run_id, event, config)], "run_id string, event string, config map<string,string>")
-        row.select("*", F.current_timestamp().alias("at")).coalesce(1).write.mode("append").parquet(self._runs)
+        row.select("*", F.current_timestamp().alias("happened_at")).coalesce(1).write.mode("append").parquet(self._runs)
 
     def start_run(self, run_id: str, config: dict[str, str] | None = None) -> None:
         self._event(run_id, "started", config)
@@ -56,8 +56,8 @@ class AuditStore:
 def run_states(events: DataFrame) -> DataFrame:
     """One row per run: start, completion and state."""
     return events.groupBy("run_id").agg(
-        F.min(F.when(F.col("event") == "started", F.col("at"))).alias("started_at"),
-        F.max(F.when(F.col("event") == "completed", F.col("at"))).alias("completed_at"),
+        F.min(F.when(F.col("event") == "started", F.col("happened_at"))).alias("started_at"),
+        F.max(F.when(F.col("event") == "completed", F.col("happened_at"))).alias("completed_at"),
         F.first("config", ignorenulls=True).alias("config")) \
         .withColumn("status", F.when(F.col("completed_at").isNotNull(), "completed").otherwise("running"))
 

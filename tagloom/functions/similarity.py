@@ -4,10 +4,10 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ratcliff_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """``SequenceMatcher.ratio`` per pair; no built-in measures the same."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")

@@ -6,6 +6,8 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tagloom.functions.text import let
+
 
 @F.pandas_udf(T.DoubleType())
 def ratcliff_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -23,11 +25,20 @@ def char_tokens(text: Column) -> Column:
     Numbering makes them a set, so the size of an intersection is the number of
     characters two strings share.
     """
+    def number(chars: Column) -> Column:
+        return F.transform(chars, lambda c, i: F.struct(
+            (-F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == c))).alias("n"),
+            F.instr(F.lit(RARE_FIRST), c).alias("r"), c.alias("c")))
+
     chars = F.filter(F.split(text, ""), lambda c: c != "")
-    numbered = F.transform(chars, lambda c, i: F.struct(
-        (-F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == c))).alias("n"),
-        F.instr(F.lit(RARE_FIRST), c).alias("r"), c.alias("c")))
-    return F.transform(F.array_sort(numbered), lambda s: F.concat(s["c"], (-s["n"]).cast("string")))
+    return F.transform(F.array_sort(let(chars, number)), lambda s: F.concat(s["c"], (-s["n"]).cast("string")))
+
+
+def _signature(tokens: Column) -> Column:
+    """64-bit membership marks of a token set."""
+    one = F.lit(1).cast("bigint")
+    marks = F.transform(tokens, lambda t: F.call_function("shiftleft", one, F.pmod(F.hash(t), F.lit(64)).cast("int")))
+    return F.aggregate(marks, F.lit(0).cast("bigint"), lambda x, y: x.bitwiseOR(y))
 
 
 def ratio_join(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
@@ -36,22 +47,29 @@ def ratio_join(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     ``left`` and ``right`` hold one distinct string each in ``text``.  A ratio
     of ``least`` needs that share of characters in common, so the two strings
     must share a token among their first few in the common order (prefix
-    filter), have comparable lengths, and pass the overlap bound; only the rest
-    is measured in Python.  All three tests are necessary conditions, so nothing
+    filter), have comparable lengths, and pass the overlap bounds (a cheap one on
+    64-bit marks first); only the rest is measured in Python.  All tests are necessary conditions, so nothing
     is missed.  A pair is produced by its first shared token only.
     """
     def prepared(df: DataFrame, name: str) -> DataFrame:
         tok = df.filter("text <> ''").select(F.col("text").alias(name), char_tokens(F.col("text")).alias(f"{name}_t"))
         size = F.size(f"{name}_t")
         need = F.ceil(size * F.lit(least / (2 - least)) - 1e-9)
+        tok = tok.select("*", _signature(F.col(f"{name}_t")).alias(f"{name}_s"))
         head = tok.select("*", F.slice(f"{name}_t", 1, (size - need + 1).cast("int")).alias(f"{name}_p"))
         return head.select("*", F.explode(f"{name}_p").alias("token"))
 
     l, r = prepared(left, "a"), prepared(right, "b")
     la, lb = F.size("a_t"), F.size("b_t")
     close = F.least(la, lb) >= F.greatest(la, lb) * F.lit(least / (2 - least)) - 1e-9
+    # a mark of one side that the other lacks is a character they do not share
+    lost_a = F.bit_count(F.col("a_s").bitwiseAND(F.bitwise_not("b_s")))
+    lost_b = F.bit_count(F.col("b_s").bitwiseAND(F.bitwise_not("a_s")))
+    possible = F.least(la - lost_a, lb - lost_b) * 2 >= (la + lb) * F.lit(least) - 1e-9
     first = F.get(F.array_intersect("a_p", "b_p"), F.lit(0)) == F.col("token")
     overlap = F.size(F.array_intersect("a_t", "b_t")) * 2 >= (la + lb) * F.lit(least) - 1e-9
-    pairs = l.join(r, "token").filter(close & first & overlap).select("a", "b")
+    # spread by pair: a frequent token must not leave its measuring to one task
+    slots = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = l.join(r, "token").filter(close & possible & first & overlap).select("a", "b").repartition(slots, "a", "b")
     return pairs.select("a", "b", F.when(F.col("a") == F.col("b"), 1.0).otherwise(
         ratcliff_ratio("a", "b")).alias("ratio")).filter(F.col("ratio") >= least)

@@ -17,6 +17,11 @@ HISTORY, RECENT = 100, 10
 FIRST_BACKOFF, TOP_BACKOFF = 60, 3600
 
 
+def micros(ts: Column) -> Column:
+    """Microseconds since the epoch, for timestamps with or without a zone."""
+    return F.unix_micros(ts.cast("timestamp"))
+
+
 def healthy() -> Column:
     return F.coalesce(F.col("status_code").between(200, 399), F.lit(False))
 
@@ -64,8 +69,8 @@ def is_blocked(backoff: Column, failures: Column, recent_blocks: Column) -> Colu
 
 def backoff_remaining(now: Column, checked: Column, backoff: Column) -> Column:
     """Seconds until the site may be asked again; NULL when not in backoff."""
-    end = F.unix_micros(checked) / F.lit(1e6) + backoff
-    return F.when(backoff.isNotNull(), F.greatest(F.lit(0.0), end - F.unix_micros(now) / F.lit(1e6)))
+    end = micros(checked) / F.lit(1e6) + backoff
+    return F.when(backoff.isNotNull(), F.greatest(F.lit(0.0), end - micros(now) / F.lit(1e6)))
 
 
 def site_summary(checks: DataFrame, chunk: int = 100_000) -> DataFrame:
@@ -93,7 +98,7 @@ def trailing_rate(events: DataFrame, seconds: int = 30) -> DataFrame:
     Events are counted per second first, then each second's count is added to
     the seconds it still counts for, so there is no global sort.
     """
-    per_second = events.groupBy(F.unix_seconds("ts").alias("sec")).agg(F.count("*").alias("n"))
+    per_second = events.groupBy(F.unix_seconds(F.col("ts").cast("timestamp")).alias("sec")).agg(F.count("*").alias("n"))
     spread = per_second.select(F.explode(F.sequence("sec", F.col("sec") + seconds)).alias("sec"), "n") \
         .groupBy("sec").agg(F.sum("n").alias("window_count"))
     return per_second.join(spread, "sec").select(
@@ -108,7 +113,7 @@ def transfer_progress(events: DataFrame, chunk: int = 100_000) -> DataFrame:
     placed = positions(events, ["transfer"], [F.col("ts"), F.col("seq")], F.date_trunc("hour", "ts"))
     starts = events.groupBy("transfer").agg(F.min("ts").alias("_start"))
     summed = running(placed, ["transfer"], "idx", {"downloaded": (F.col("bytes"), "sum")}, chunk).join(starts, "transfer")
-    elapsed = (F.unix_micros("ts") - F.unix_micros("_start")) / F.lit(1e6)
+    elapsed = (micros(F.col("ts")) - micros(F.col("_start"))) / F.lit(1e6)
     speed = F.coalesce(F.try_divide("downloaded", elapsed), F.lit(0.0))
     return summed.select(
         *events.columns, "downloaded",

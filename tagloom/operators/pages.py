@@ -187,15 +187,15 @@ def page_images(elements: DataFrame) -> DataFrame:
             cond = F.array_contains(F.split(_classes(), r"\s+"), mark[1:])
         else:
             cond = F.map_contains_key("attrs", mark.strip("[]"))
-        conditions.append(F.when(cond, F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"))))
+        conditions.append(F.when(cond, F.struct(F.lit(rank).alias("selector"), F.lit(kind).alias("kind"))))
     hit = F.get(F.array_compact(F.array(*conditions)), F.lit(0))
     rows = elements.filter(F.size("image_urls") > 0).select("page_id", "ord", "image_urls", hit.alias("hit")) \
         .filter("hit is not null") \
-        .select("page_id", "ord", "hit.rank", "hit.kind", F.posexplode("image_urls").alias("pos", "image_url"))
-    best = first_rows(rows, ["page_id", "image_url"], F.col("rank"), F.col("ord"), F.col("pos"))
+        .select("page_id", "ord", "hit.selector", "hit.kind", F.posexplode("image_urls").alias("pos", "image_url"))
+    best = first_rows(rows, ["page_id", "image_url"], F.col("selector"), F.col("ord"), F.col("pos"))
     return best.filter(~M.is_placeholder(F.col("image_url"))).select(
         "page_id", "image_url", "kind", M.image_priority(F.col("kind")).alias("priority"),
-        (F.col("rank") * 1_000_000 + F.col("ord")).alias("ord"))
+        (F.col("selector") * 1_000_000 + F.col("ord")).alias("ord"))
 
 
 def plain_images(elements: DataFrame) -> DataFrame:

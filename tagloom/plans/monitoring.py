@@ -90,7 +90,7 @@ def q_health_stream(spark, sf):
 def q_windows(spark, sf):
     """Sliding windows, batch form."""
     return table(spark, sf, "events").groupBy(F.window("ts", "30 seconds", "10 seconds")).agg(F.count("*").alias("n")) \
-        .select(F.unix_seconds("window.start").alias("start"), "n")
+        .select(F.unix_seconds(F.col("window.start").cast("timestamp")).alias("start"), "n")
 
 
 @query("rate_stream")

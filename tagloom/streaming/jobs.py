@@ -83,7 +83,7 @@ def health_stream(checks: DataFrame) -> DataFrame:
 def rate_stream(events: DataFrame, window: str = "30 seconds", slide: str = "10 seconds",
                 late: str = "10 minutes") -> DataFrame:
     """Events per sliding window, closed by the watermark."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", window, slide)).agg(F.count("*").alias("n")) \
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window, slide)).agg(F.count("*").alias("n")) \
         .select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n")
 
 

@@ -5,7 +5,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from tagloom.functions.text import contains_any, number_text
+from tagloom.functions.text import contains_any, let, number_text
 from tagloom.rules.vocabulary import ZERO_NICOTINE_PHRASES, Vocabulary, items
 
 # The accepted spellings, tried in this order.
@@ -56,19 +56,18 @@ def _first(text: Column, pattern: str, group: int = 1) -> Column:
 def nicotine_mg(text: Column, category: Column) -> Column:
     """Nicotine strength.  Each pattern is judged by its first match alone;
     a match above 20 moves on to the next pattern."""
-    low = F.lower(text)
-    hits = [F.when(_first(low, p) <= 20, _first(low, p)) for p in NICOTINE_PATTERNS]
+    def found(low: Column) -> Column:
+        hits = [let(_first(low, p), lambda v: F.when(v <= 20, v)) for p in NICOTINE_PATTERNS]
+        return F.when(contains_any(low, items(ZERO_NICOTINE_PHRASES)), 0.0).otherwise(F.coalesce(*hits))
+
     return (F.when(text.isNull() | (text == ""), F.lit(None).cast("double"))
-            .when(category == "CBD", 0.0)
-            .when(contains_any(low, items(ZERO_NICOTINE_PHRASES)), 0.0)
-            .otherwise(F.coalesce(*hits)))
+            .when(category == "CBD", 0.0).otherwise(let(F.lower(text), found)))
 
 
 def cbd_mg(text: Column) -> Column:
     """CBD strength: the first pattern that occurs decides; over 50000 there is none."""
-    low = F.lower(text)
-    value = F.coalesce(*[_first(low, p) for p in CBD_PATTERNS])
-    return F.when(value <= 50000, value)
+    value = let(F.lower(text), lambda low: F.coalesce(*[_first(low, p) for p in CBD_PATTERNS]))
+    return let(value, lambda v: F.when(v <= 50000, v))
 
 
 def strength_tag(value: Column, top: int) -> Column:
@@ -86,10 +85,10 @@ def cbd_tag(value: Column) -> Column:
 
 def _pair(text: Column, pattern: str) -> Column:
     """``vg/pg`` from the first match, larger side first, NULL unless it sums to 100."""
-    a = F.regexp_extract(text, pattern, 1).try_cast("bigint")
-    b = F.regexp_extract(text, pattern, 2).try_cast("bigint")
-    return F.when(a + b == 100, F.concat(F.greatest(a, b).cast("string"), F.lit("/"),
-                                         F.least(a, b).cast("string")))
+    sides = F.struct(F.regexp_extract(text, pattern, 1).try_cast("bigint").alias("a"),
+                     F.regexp_extract(text, pattern, 2).try_cast("bigint").alias("b"))
+    return let(sides, lambda s: F.when(s["a"] + s["b"] == 100, F.concat(
+        F.greatest(s["a"], s["b"]).cast("string"), F.lit("/"), F.least(s["a"], s["b"]).cast("string"))))
 
 
 def _pure(low: Column) -> Column:
@@ -98,29 +97,31 @@ def _pure(low: Column) -> Column:
 
 def vg_ratio(text: Column) -> Column:
     """VG/PG ratio of a product text, NULL if none."""
-    low = F.lower(text)
-    vg = F.regexp_extract(low, r"\b(\d+)\s*vg\b", 1).try_cast("bigint")
-    pg = F.regexp_extract(low, r"\b(\d+)\s*pg\b", 1).try_cast("bigint")
+    def of(share: Column, vg_side: Column) -> Column:
+        return F.when((share > 0) & (share <= 100), F.concat(
+            vg_side.cast("string"), F.lit("/"), (100 - vg_side).cast("string")))
 
-    def of(vg_side: Column) -> Column:
-        return F.concat(vg_side.cast("string"), F.lit("/"), (100 - vg_side).cast("string"))
+    def found(low: Column) -> Column:
+        vg = F.regexp_extract(low, r"\b(\d+)\s*vg\b", 1).try_cast("bigint")
+        pg = F.regexp_extract(low, r"\b(\d+)\s*pg\b", 1).try_cast("bigint")
+        return F.coalesce(_pure(low), *[_pair(low, p) for p in RATIO_PATTERNS],
+                          let(vg, lambda v: of(v, v)), let(pg, lambda p: of(p, 100 - p)))
 
-    return F.coalesce(_pure(low), *[_pair(low, p) for p in RATIO_PATTERNS],
-                      F.when((vg > 0) & (vg <= 100), of(vg)),
-                      F.when((pg > 0) & (pg <= 100), of(100 - pg)))
+    return let(F.lower(text), found)
 
 
 def variant_vg_ratio(text: Column) -> Column:
     """VG/PG ratio named by a variant option: no single-sided forms."""
-    low = F.lower(text)
-    return F.coalesce(_pure(low), *[_pair(low, p) for p in VARIANT_RATIO_PATTERNS])
+    return let(F.lower(text), lambda low: F.coalesce(_pure(low), *[_pair(low, p) for p in VARIANT_RATIO_PATTERNS]))
 
 
 def controlled_vg_ratio(text: Column) -> Column:
     """VG/PG ratio of the controlled profile: all matches of the first pattern
     that occurs, the first approved pair among them."""
-    low = F.lower(text)
+    return let(F.lower(text), _controlled_ratio)
 
+
+def _controlled_ratio(low: Column) -> Column:
     def pairs(pattern: str) -> Column:
         left = F.regexp_extract_all(low, F.lit(pattern), 1)
         right = F.regexp_extract_all(low, F.lit(pattern), 2)
@@ -146,11 +147,10 @@ def controlled_vg_ratio(text: Column) -> Column:
 def capacity_tags(text: Column, vocabulary: Vocabulary | None = None) -> Column:
     """Capacity tags.  Only a digit directly before blocks a match, so the text
     ``2.5ml`` also yields ``5ml``."""
-    low = F.lower(text)
     sizes = (vocabulary or Vocabulary()).dims["capacity"].tags
-    return F.array_sort(F.array_compact(F.array(*[
+    return F.array_sort(let(F.lower(text), lambda low: F.array_compact(F.array(*[
         F.when(low.rlike(r"(?<![0-9])" + s.replace(".", r"\.") + r"(?![\p{L}\p{N}_])"), F.lit(s))
-        for s in sizes])))
+        for s in sizes]))))
 
 
 def controlled_bottle_size(text: Column) -> Column:

@@ -19,7 +19,19 @@ def blank(col: Column) -> Column:
 
 
 def contains_any(col: Column, terms: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [col.contains(t) for t in terms])
+    """Is any term a substring?  Long lists are looped over as a constant array:
+    one condition per term would make generated methods too long to be compiled."""
+    if len(terms) <= 3:
+        return reduce(lambda a, b: a | b, [col.contains(t) for t in terms])
+    return let(col, lambda text: F.exists(words_literal(terms), lambda w: text.contains(w)))
+
+
+def substring_tags(col: Column, tag_words: dict[str, list[str]]) -> Column:
+    """Tags with a word that is a substring of the text, in table order."""
+    table = F.from_json(F.lit(json.dumps([{"tag": t, "words": ws} for t, ws in tag_words.items()])),
+                        "array<struct<tag:string,words:array<string>>>")
+    return let(col, lambda text: F.transform(
+        F.filter(table, lambda r: F.exists(r["words"], lambda w: text.contains(w))), lambda r: r["tag"]))
 
 
 def keyword_regex(words: list[str]) -> str:

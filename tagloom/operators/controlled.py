@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tagloom.functions import extract as X
-from tagloom.functions.text import contains_any, let, words_literal
+from tagloom.functions.text import contains_any, let, substring_tags, words_literal
 from tagloom.operators.validate import MG, mg_value
 from tagloom.rules.vocabulary import Vocabulary, items
 
@@ -187,14 +187,14 @@ def cbd_spectrum(text: Column) -> Column:
 
 def flavours(text: Column) -> Column:
     """Every flavour with a word in the text; ``ice`` as a word unless it is ice cream."""
-    tags = []
+    table = {}
     for line in FLAVOURS.strip().splitlines():
         flavour, words = (p.strip() for p in line.split("|"))
-        cond = contains_any(text, items(words))
-        if flavour == "ice":
-            cond = cond | (text.rlike(r"\bice\b") & ~text.contains("ice cream"))
-        tags.append(F.when(cond, F.lit(flavour)))
-    return F.when(contains_any(text, FLAVOUR_CONTEXT), _tags(*tags)) \
+        table[flavour] = items(words)
+    iced = F.when(text.rlike(r"\bice\b") & ~text.contains("ice cream"), F.array(F.lit("ice"))) \
+        .otherwise(F.array().cast("array<string>"))
+    found = F.array_union(substring_tags(text, table), iced)
+    return F.when(contains_any(text, FLAVOUR_CONTEXT), F.array_intersect(words_literal(list(table)), found)) \
         .otherwise(F.array().cast("array<string>"))
 
 

@@ -95,13 +95,17 @@ def adjusted_delay(base: Column, avg_ms: Column, success_rate: Column) -> Column
 def trailing_rate(events: DataFrame, seconds: int = 30) -> DataFrame:
     """Events in the trailing window per second with events.
 
-    Events are counted per second first, then each second's count is added to
-    the seconds it still counts for, so there is no global sort.
+    Events are counted per second, seconds go to the bucket of a window's length
+    they fall in and to the next one, and the range frame runs inside a bucket, so
+    there is no global sort and a bucket holds at most two windows of seconds.
     """
     per_second = events.groupBy(F.unix_seconds(F.col("ts").cast("timestamp")).alias("sec")).agg(F.count("*").alias("n"))
-    spread = per_second.select(F.explode(F.sequence("sec", F.col("sec") + seconds)).alias("sec"), "n") \
-        .groupBy("sec").agg(F.sum("n").alias("window_count"))
-    return per_second.join(spread, "sec").select(
+    own = F.floor(F.col("sec") / seconds)
+    homes = F.array(F.struct(own.alias("bucket"), F.lit(False).alias("halo")),
+                    F.struct((own + 1).alias("bucket"), F.lit(True).alias("halo")))
+    w = Window.partitionBy("bucket").orderBy("sec").rangeBetween(-seconds, 0)
+    return per_second.select("*", F.inline(homes)).select("*", F.sum("n").over(w).alias("window_count")) \
+        .filter("not halo").select(
         "sec", F.col("n").alias("events"), "window_count", (F.col("window_count") * 60 / F.lit(float(seconds))).alias("per_minute"))
 
 

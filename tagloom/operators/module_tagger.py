@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tagloom.functions import extract as X
-from tagloom.functions.text import blank, contains_any, keyword_hits, tags_for_hits, words_literal
+from tagloom.functions.text import blank, contains_any, keyword_hits, substring_tags, tags_for_hits, words_literal
 from tagloom.rules.vocabulary import (ACCESSORY_OVERRIDES, CATEGORY_ORDER, GATE_REASON,
                                       KeywordRules, Vocabulary, flavour_words, items)
 
@@ -144,7 +144,4 @@ def tag_by_rules(products: DataFrame, rules: KeywordRules | None = None,
 
 def variant_flavours(option: Column) -> Column:
     """Flavours of a variant option by plain substring, so ``rice`` is also ice."""
-    low = F.lower(option)
-    return F.array_compact(F.array(*[
-        F.when(contains_any(low, own + more), F.lit(flavour))
-        for flavour, (own, more) in flavour_words().items()]))
+    return substring_tags(F.lower(option), {f: own + more for f, (own, more) in flavour_words().items()})

@@ -84,7 +84,7 @@ def _keyed(df: DataFrame, bands: list[tuple[int, int]], radius: int) -> DataFram
 
 def hash_pairs(folded: DataFrame, within: int, bands: int | None = None) -> DataFrame:
     """Pairs of distinct hashes within a distance: ``ord_1 < ord_2``, ``distance``."""
-    count = bands or (within + 1 if within < 10 else 4)
+    count = bands or (max(2, within + 1) if within < 10 else 4)
     layout = _bands(count)
     radius = within // count
     left = _keyed(folded, layout, (radius + 1) // 2).select(

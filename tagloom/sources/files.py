@@ -67,7 +67,7 @@ def read_products(spark: SparkSession, path: str) -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Text lines with their number in the file (registries and robots files are small documents)."""
-    text = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     return text.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line")) \
         .select("file", (F.col("pos") + 1).cast("long").alias("line_no"), "line")
 

@@ -48,9 +48,15 @@ LOOSE_RATIO_PATTERN = r"(\d+)[/-](\d+)"
 STANDARD_SIZES = ["2ml", "5ml", "10ml", "20ml", "30ml", "50ml", "100ml", "120ml"]
 
 
+def _number(found: Column, kind: str) -> Column:
+    """Matched digits as a number, NULL for no match.  Nothing is cast on no match:
+    a failed cast costs far more than the comparison."""
+    return let(found, lambda t: F.when(t != "", t.try_cast(kind)))
+
+
 def _first(text: Column, pattern: str, group: int = 1) -> Column:
     """First match as a number, NULL where the pattern does not occur."""
-    return F.regexp_extract(text, pattern, group).try_cast("double")
+    return _number(F.regexp_extract(text, pattern, group), "double")
 
 
 def nicotine_mg(text: Column, category: Column) -> Column:
@@ -85,10 +91,14 @@ def cbd_tag(value: Column) -> Column:
 
 def _pair(text: Column, pattern: str) -> Column:
     """``vg/pg`` from the first match, larger side first, NULL unless it sums to 100."""
-    sides = F.struct(F.regexp_extract(text, pattern, 1).try_cast("bigint").alias("a"),
-                     F.regexp_extract(text, pattern, 2).try_cast("bigint").alias("b"))
-    return let(sides, lambda s: F.when(s["a"] + s["b"] == 100, F.concat(
-        F.greatest(s["a"], s["b"]).cast("string"), F.lit("/"), F.least(s["a"], s["b"]).cast("string"))))
+    sides = F.struct(F.regexp_extract(text, pattern, 1).alias("a"), F.regexp_extract(text, pattern, 2).alias("b"))
+
+    def ratio(n: Column) -> Column:
+        return F.when(n["a"] + n["b"] == 100, F.concat(
+            F.greatest(n["a"], n["b"]).cast("string"), F.lit("/"), F.least(n["a"], n["b"]).cast("string")))
+
+    return let(sides, lambda s: F.when(s["a"] != "", let(F.struct(
+        s["a"].try_cast("bigint").alias("a"), s["b"].try_cast("bigint").alias("b")), ratio)))
 
 
 def _pure(low: Column) -> Column:
@@ -102,8 +112,8 @@ def vg_ratio(text: Column) -> Column:
             vg_side.cast("string"), F.lit("/"), (100 - vg_side).cast("string")))
 
     def found(low: Column) -> Column:
-        vg = F.regexp_extract(low, r"\b(\d+)\s*vg\b", 1).try_cast("bigint")
-        pg = F.regexp_extract(low, r"\b(\d+)\s*pg\b", 1).try_cast("bigint")
+        vg = _number(F.regexp_extract(low, r"\b(\d+)\s*vg\b", 1), "bigint")
+        pg = _number(F.regexp_extract(low, r"\b(\d+)\s*pg\b", 1), "bigint")
         return F.coalesce(_pure(low), *[_pair(low, p) for p in RATIO_PATTERNS],
                           let(vg, lambda v: of(v, v)), let(pg, lambda p: of(p, 100 - p)))
 

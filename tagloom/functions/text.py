@@ -63,7 +63,8 @@ def keyword_hits(text: Column, words: list[str]) -> Column:
     cut = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))),
                                F.lit(f"{WORD}+|[^\\p{{L}}\\p{{N}}_]+"), 0)
     phrases = let(cut, lambda runs: F.concat(runs, *[_phrases(runs, 2 * k - 1) for k in range(2, longest + 1)]))
-    return F.array_sort(F.array_intersect(phrases, words_literal(sorted(forms))))
+    # a constant IN list is one hash set for the whole task
+    return F.array_sort(F.array_distinct(F.filter(phrases, lambda p: p.isin(sorted(forms)))))
 
 
 def _phrases(runs: Column, span: int) -> Column:

@@ -155,10 +155,10 @@ def q_merge(spark, sf):
     return route.merge_tiers(*[rows.filter(f"ord % 3 = {i}") for i in range(3)])
 
 
-@query("not_yet_processed", cte("products") + " SELECT handle FROM products WHERE handle NOT IN (SELECT 'p-' || CAST(l_partkey AS STRING) FROM lineitem)")
+@query("not_yet_processed", cte("products") + " SELECT handle FROM products WHERE handle NOT IN (SELECT 'p-' || CAST(l_partkey AS STRING) FROM lineitem WHERE l_quantity >= 49)")
 def q_unprocessed(spark, sf):
     """J3 and T4 (batch form)."""
-    done = table(spark, sf, "lineitem").selectExpr("'p-' || CAST(l_partkey AS STRING) AS handle")
+    done = table(spark, sf, "lineitem").filter("l_quantity >= 49").selectExpr("'p-' || CAST(l_partkey AS STRING) AS handle")
     return route.not_yet_processed(view(spark, sf, "products"), done).select("handle")
 
 

@@ -253,6 +253,32 @@ def recommendations(products: DataFrame) -> DataFrame:
     return metrics.select(F.explode(advice).alias("recommendation"))
 
 
+def validator_recommendations(products: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
+    """The validator's advice, one row per line; a single line when all is well."""
+    def count(df: DataFrame) -> Column:
+        return df.agg(F.count("*")).scalar()
+
+    metrics = products.agg(_count(F.size("final_tags") <= 0, "untagged")).select(
+        "untagged", count(adherence(products, vocabulary)).alias("foreign"),
+        count(coverage_by_dimension(products, vocabulary)).alias("dimensions"),
+        count(outliers(products).select("category").distinct()).alias("uneven"),
+        count(similar_group_strict(products)).alias("similar"))
+
+    def line(cond: Column, *parts) -> Column:
+        return F.when(cond, F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]))
+
+    c = F.col
+    advice = F.array_compact(F.array(
+        line(c("foreign") > 0, "Review and fix non-approved tags"),
+        line(c("untagged") > 0, "Investigate ", c("untagged"), " untagged products"),
+        line(c("dimensions") < 5, "Consider expanding tag category coverage"),
+        line(c("uneven") > 0, "Review ", c("uneven"), " categories with tagging outliers"),
+        line(c("similar") > 0, "Address ", c("similar"), " similar product consistency issues")))
+    fine = F.array(F.lit("No major issues found - tagging looks good!"))
+    return metrics.select(advice.alias("a")).select(
+        F.explode(F.when(F.size("a") > 0, F.col("a")).otherwise(fine)).alias("recommendation"))
+
+
 def run_accuracy(products: DataFrame) -> DataFrame:
     """Clean, review and untagged counts and rates, per category and overall.
 

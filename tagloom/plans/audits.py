@@ -107,6 +107,19 @@ def q_recommend(spark, sf):
     return A.recommendations(audit(spark, sf))
 
 
+@query("validator_recommendations", BASE + ", " + vocabulary_cte() + f""", {LAST}, t AS (SELECT handle, effective_type, unnest(final_tags) AS tag FROM audit),
+bad AS (SELECT count(*) AS n FROM t WHERE tag NOT IN (SELECT tag FROM dim_tag UNION SELECT tag FROM dim_category) AND NOT (regexp_matches(tag, '^\\d+mg$') AND coalesce(effective_type, '') = 'CBD' AND CAST(CASE WHEN regexp_matches(tag, '^\\d+mg$') THEN replace(tag, 'mg', '') END AS DOUBLE) <= 50000)),
+dims AS (SELECT count(DISTINCT coalesce(dim, 'unknown')) AS n FROM t LEFT JOIN last_dim USING (tag)),
+s AS (SELECT {KIND} AS category, len(final_tags) AS tag_count FROM audit), a AS (SELECT category, avg(tag_count) AS m FROM s GROUP BY 1 HAVING count(*) >= 2), o AS (SELECT count(DISTINCT category) AS n FROM s JOIN a USING (category) WHERE abs(tag_count - m) > 2),
+g AS (SELECT trim(regexp_replace(regexp_replace(regexp_replace(lower(handle), '-\\d+(ml|mg|pcs?|pack).*', ''), '\\d+(ml|mg|pcs?|pack).*', ''), '[-_\\s]+', ' ', 'g')) AS grp, effective_type, final_tags FROM audit),
+h AS (SELECT (count(DISTINCT coalesce(effective_type, '')) > 1)::INT + (count(DISTINCT list_sort(final_tags)) > 1)::INT AS n FROM g GROUP BY grp HAVING count(*) >= 2), i AS (SELECT sum(n)::BIGINT AS n FROM h), u AS (SELECT count(*) AS n FROM audit WHERE len(final_tags) = 0)
+SELECT 'Review and fix non-approved tags' AS recommendation FROM bad WHERE n > 0 UNION ALL SELECT 'Investigate ' || n || ' untagged products' FROM u WHERE n > 0 UNION ALL SELECT 'Consider expanding tag category coverage' FROM dims WHERE n < 5
+UNION ALL SELECT 'Review ' || n || ' categories with tagging outliers' FROM o WHERE n > 0 UNION ALL SELECT 'Address ' || n || ' similar product consistency issues' FROM i WHERE n > 0""")
+def q_validator(spark, sf):
+    """The validator's advice."""
+    return A.validator_recommendations(audit(spark, sf))
+
+
 @query("audit_run_accuracy", BASE + f""", t AS (SELECT {KIND} AS category, ai_confidence, CASE WHEN len(final_tags) = 0 THEN 'untagged' WHEN needs_manual_review THEN 'review' ELSE 'clean' END AS tier FROM audit)
 SELECT CASE WHEN grouping(category) = 1 THEN 'ALL' ELSE category END AS category, count(*) AS total, count(*) FILTER (tier = 'clean') AS clean, round(coalesce(avg(ai_confidence) FILTER (ai_confidence > 0), 0), 6) AS avg_confidence FROM t GROUP BY ROLLUP (category)""")
 def q_run_accuracy(spark, sf):

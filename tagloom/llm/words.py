@@ -37,9 +37,10 @@ class Powers:
     def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = 1 << (n - 1).bit_length()
-            with np.errstate(over="ignore"):
-                self.up, self.down = (np.cumprod(np.concatenate([[1], np.full(size - 1, b, np.uint64)]).astype(np.uint64),
-                                                 dtype=np.uint64) for b in (self.base, self.inverse))
+            self.up, self.down = (np.full(size, b, np.uint64) for b in (self.base, self.inverse))
+            for power in (self.up, self.down):
+                power[0] = 1
+                np.cumprod(power, out=power)
         return self.up[:n], self.down[:n]
 
 

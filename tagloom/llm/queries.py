@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagloom.llm import decontaminate, packing, substring_dedup, token_counts
+from tagloom.llm import decontaminate, packing, quality, substring_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -48,3 +48,9 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document, cutoffs chosen on the labelled ones."""
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop(*quality.GRID)

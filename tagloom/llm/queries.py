@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagloom.llm import decontaminate, packing, quality, substring_dedup, token_counts
+from tagloom.llm import decontaminate, jaccard_join, packing, quality, substring_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -54,3 +54,9 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document, cutoffs chosen on the labelled ones."""
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop(*quality.GRID)
+
+
+@query
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their class of five-word Jaccard similarity 0.8 and their number of links."""
+    return jaccard_join.similarity_classes(table(spark, sf_dir, "documents"))

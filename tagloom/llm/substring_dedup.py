@@ -8,8 +8,6 @@ gram but not all words have their windows counted one by one.
 """
 from __future__ import annotations
 
-import hashlib
-import uuid
 from collections.abc import Iterator
 from itertools import compress
 
@@ -17,21 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tagloom.llm.words import NOT_SPACE, Words, buffers, mixed, span_hashes, window_hashes, word_chunks
-from tagloom.session import shared_dir
+from tagloom.llm.stored import stored
+from tagloom.llm.words import NOT_SPACE, Words, span_hashes, window_hashes, word_chunks
 
 GRAM = 8
 _BLOCK = 1 << 19
 RUNS = "g long, r long, k1 long, k2 long, start int, n int"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder."""
-    path = f"{shared_dir(df.sparkSession)}/substrings-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def runs_of(words: Words, size: int) -> tuple[np.ndarray, ...]:
     """Runs of windows: hash of the least gram, hash of all words, first window, number of windows."""
     gram = min(GRAM, size)

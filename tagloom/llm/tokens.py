@@ -6,6 +6,7 @@ control separators are encoded whole, so no assumption is made about them.
 """
 from __future__ import annotations
 
+import gc
 import os
 import re
 
@@ -14,7 +15,8 @@ import numpy as np
 _PIECES = re.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 #: Bytes of characters that some definition of white space contains, beside ASCII's six.
 _ODD_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1(?:\x9a\x80|\xa0\x8e)|\xe2(?:\x80[\x80-\xaf]|\x81[\x9f-\xa4])|\xe3\x80\x80|\xef\xbb\xbf")
-CACHED_PIECES = 300_000
+_STOPS = b".,;:!?"
+CACHED_PIECES, LONG_PIECE = 600_000, 4096
 _open: dict[tuple, Encoder] = {}
 
 
@@ -25,33 +27,77 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer, self.counts, self.keep_space = Tokenizer.from_file(path), counts, keep_space
-        self.known: dict[bytes, bytes | int] = {}
+        self.lowers = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("A") == "a"
+        self.between_id, self.between = max((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items())
+        self.known: dict[bytes, bytes | int] = {}  # pieces
+        self.parts: dict[bytes, bytes | int] = {}  # words without stops, and stops
 
     def _encoded(self, texts: list[bytes]) -> list:
-        found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
-        return [len(e.ids) if self.counts else np.array(e.ids, "<u4").tobytes() for e in found]
+        """Each text by itself: a special token, which never merges with its neighbours, stands between them."""
+        out = []
+        for at in range(0, len(texts), 2000):
+            joined = self.between.join(t.decode("utf-8", "replace") for t in texts[at:at + 2000])
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == self.between_id)
+            low, high = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
+            if self.counts:
+                out += [b - a for a, b in zip(low, high)]
+            else:
+                body = ids.tobytes()
+                out += [body[4 * a:4 * b] for a, b in zip(low, high)]
+        return out
+
+    def _whole(self, text: bytes):
+        ids = self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)[0].ids
+        return len(ids) if self.counts else np.array(ids, "<u4").tobytes()
 
-    def pieces(self, text: bytes) -> list[bytes]:
-        if _ODD_SPACE.search(text):
-            return [text]
-        return _PIECES.findall(text) if self.keep_space else text.split()
+    def _letter(self, word: bytes) -> bool:
+        """Does the word end with a letter, also once it is lowered?"""
+        last = word[-4:].decode("utf-8", "ignore")[-1:]
+        return last.isalpha() and last.lower()[-1:].isalpha()
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Encodes pieces.  Stops at a piece's end are tokens of their own in both vocabularies, so a word is
+        encoded once with whatever stops, and, where the tokenizer lowers letters, in whatever case."""
+        parts = []
+        for piece in new:
+            word = piece.rstrip(_STOPS)
+            plain = word[-1:].isalnum() or word[-1:] >= b"\x80" and self._letter(word)
+            word = word if plain else piece
+            parts.append((piece, word.lower() if plain and self.lowers else word, piece[len(word):]))
+        # a piece with marks of special tokens goes alone
+        apart = [p for p in parts if b"<|" in p[0]]
+        parts = [p for p in parts if b"<|" not in p[0]] if apart else parts
+        need = list({w for _, w, _ in parts}.union(s for _, _, s in parts).difference(self.parts))
+        if len(self.parts) + len(need) > CACHED_PIECES:
+            self.parts = {}
+            need = list({w for _, w, _ in parts}.union(s for _, _, s in parts))
+        self.parts.update(zip(need, self._encoded(need)))
+        get = self.parts.__getitem__
+        self.known.update((piece, get(word) + get(stops)) for piece, word, stops in parts)
+        self.known.update((piece, self._whole(piece)) for piece, _, _ in apart)
 
     def texts(self, texts: list[bytes]) -> list:
         """Ids or counts of each text."""
-        cut = [self.pieces(t) for t in texts]
-        new = list(set().union(*cut).difference(self.known))
-        if len(self.known) + len(new) > CACHED_PIECES:
-            self.known = {}
-            new = list(set().union(*cut))
-        known = self.known
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            known.update(zip(part, self._encoded(part)))
-        get = known.__getitem__
-        out = [sum(map(get, c)) for c in cut] if self.counts else [b"".join(map(get, c)) for c in cut]
-        if len(known) > CACHED_PIECES or any(len(c) == 1 and len(c[0]) > 4096 for c in cut):
-            self.known = {}  # whole texts do not stay
-        return out
+        gc.disable()  # many small objects, no cycles
+        try:
+            whole = {t for t in texts if _ODD_SPACE.search(t)}
+            split = _PIECES.findall if self.keep_space else bytes.split
+            cut = [[t] if t in whole else split(t) for t in texts]
+            new = set().union(*cut).difference(self.known)
+            if len(self.known) + len(new) > CACHED_PIECES:
+                self.known = {}
+                new = set().union(*cut)
+            whole.update(p for p in new if len(p) > LONG_PIECE)
+            self._learn(list(new.difference(whole)))
+            self.known.update((p, self._whole(p)) for p in whole)
+            get = self.known.__getitem__
+            out = [sum(map(get, c)) for c in cut] if self.counts else [b"".join(map(get, c)) for c in cut]
+            for p in whole:  # whole texts do not stay
+                del self.known[p]
+            return out
+        finally:
+            gc.enable()
 
 
 def encoder(path: str, counts: bool, keep_space: bool) -> Encoder:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tagloom.llm.tokens import encoder
+from tagloom.llm.tokens import TEXTS, encoder
 from tagloom.llm.words import buffers
 from tagloom.session import cut
 
@@ -42,8 +42,8 @@ def tokenise(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary, False, keep_space)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
                 rows, number, starts, lengths, ids = [], [], [], [], []
                 texts = [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]
                 for row, found in enumerate(encode.texts(texts)):

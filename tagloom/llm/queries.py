@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagloom.llm import chat, decontaminate, jaccard_join, packing, pii, quality, substring_dedup, token_counts
+from tagloom.llm import chat, decontaminate, jaccard_join, packing, pii, quality, substring_dedup, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -80,3 +80,9 @@ def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with personal data and secrets replaced by surrogates."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.with_surrogates(docs, key="documents").withColumn("n_entities", F.size("pii"))
+
+
+@query
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and plain-text records of all pages."""
+    return warc.derive(warc.responses(table(spark, sf_dir, "pages")))

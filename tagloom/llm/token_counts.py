@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagloom.llm.tokens import encoder
+from tagloom.llm.tokens import TEXTS, encoder
 from tagloom.session import cut, shared_dir
 
 CACHE = "digest binary, tokenizer string, n_tokens long"
@@ -47,8 +47,8 @@ def encode_misses(misses: DataFrame, vocabulary: str, keep_space: bool) -> DataF
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary, True, keep_space)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
                 counts = encode.texts(part.column(1).cast(pa.binary()).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
 

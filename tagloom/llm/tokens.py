@@ -14,9 +14,13 @@ import numpy as np
 
 _PIECES = re.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 #: Bytes of characters that some definition of white space contains, beside ASCII's six.
-_ODD_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1(?:\x9a\x80|\xa0\x8e)|\xe2(?:\x80[\x80-\xaf]|\x81[\x9f-\xa4])|\xe3\x80\x80|\xef\xbb\xbf")
+_ODD_SPACE = re.compile(rb"[\x1c-\x1f\xc2\xe1-\xe3\xef](?:(?<=[\x1c-\x1f])|(?<=\xc2)[\x85\xa0]|(?<=\xe1)(?:\x9a\x80|\xa0\x8e)"
+                        rb"|(?<=\xe2)(?:\x80[\x80-\xaf]|\x81[\x9f-\xa4])|(?<=\xe3)\x80\x80|(?<=\xef)\xbb\xbf)")
+TEXTS = 1024  # encoded together: the more, the fewer looks at the pieces known
 _STOPS = b".,;:!?"
-CACHED_PIECES, LONG_PIECE = 600_000, 4096
+CACHED_PIECES, LONG_PIECE = 1_000_000, 4096
+#: A stop between an ASCII letter and white space; blanks before it change no id where white space is dropped.
+_STOP_APART = re.compile(rb"[.,;:!?](?<=[a-z].)(?=[\t-\r ]|\Z)")
 _open: dict[tuple, Encoder] = {}
 
 
@@ -77,13 +81,19 @@ class Encoder:
         self.known.update((piece, get(word) + get(stops)) for piece, word, stops in parts)
         self.known.update((piece, self._whole(piece)) for piece, _, _ in apart)
 
+    def _pieces(self, text: bytes) -> list[bytes]:
+        if self.keep_space:
+            return _PIECES.findall(text)
+        if self.lowers and b"<|" not in text:
+            text = _STOP_APART.sub(rb" \g<0>", text.lower())
+        return text.split()
+
     def texts(self, texts: list[bytes]) -> list:
         """Ids or counts of each text."""
         gc.disable()  # many small objects, no cycles
         try:
             whole = {t for t in texts if _ODD_SPACE.search(t)}
-            split = _PIECES.findall if self.keep_space else bytes.split
-            cut = [[t] if t in whole else split(t) for t in texts]
+            cut = [[t] if t in whole else self._pieces(t) for t in texts]
             new = set().union(*cut).difference(self.known)
             if len(self.known) + len(new) > CACHED_PIECES:
                 self.known = {}

@@ -113,7 +113,7 @@ def matches(docs: DataFrame, items: pa.Table, size: int, id_col: str, text_col:
             array = SuffixArray(words, queries.words, queries.least, size)
             low, high = array.search(queries)
             query = np.repeat(np.arange(len(low)), high - low)
-            at = array.at[np.repeat(low, high - low) + np.arange(len(query)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)]
+            at = array.at[np.repeat(low, high - low) + _within(high - low)]
             need = queries.need[query]
             doc, item = words.doc[at], queries.item[query]
             # hit words: windows merged into intervals, text by text
@@ -191,8 +191,35 @@ def find_contamination(docs: DataFrame, items: DataFrame, size: int = 10, id_col
                          F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["item"]))).alias("items"), "spans")
 
 
-def remove_contaminated(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text has no window of an item; columns as they are."""
-    hit = (find_contamination(docs, items, size, id_col, text_col).filter("n_hit > 0")
-           .select(F.col(id_col).alias("hit_id")).distinct())
-    return docs.join(hit, F.col(id_col).eqNullSafe(F.col("hit_id")), "left_anti")
+def remove_contaminated(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text",
+                        item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has no window of an item; columns as they are.  One pass over the texts
+    for each block of items, without a join, so ids do not matter."""
+    for block in item_blocks(items, item_col, item_text_col):
+        docs = _without(docs, block, size, text_col)
+    return docs
+
+
+def _without(docs: DataFrame, items: pa.Table, size: int, text_col: str) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(items)
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = Suffixes(sent.value.column("text").combine_chunks(), size)
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([batch.column(at), pa.array(np.arange(batch.num_rows))], ["text", "row"])
+            hit = np.zeros(batch.num_rows, bool)
+            for part, words in word_chunks(iter([texts]), "text", LETTERS_DIGITS, LOWER):
+                array = SuffixArray(words, queries.words, queries.least, size)
+                low, high = array.search(queries)
+                on = np.flatnonzero(high > low)
+                found = array.at[np.repeat(low[on], (high - low)[on]) + _within((high - low)[on])]
+                hit[part.column("row").to_numpy()[words.doc[found]]] = True
+            yield batch.filter(pa.array(~hit))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
+def _within(counts: np.ndarray) -> np.ndarray:
+    """0, 1, .. for each of the counts in turn."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)

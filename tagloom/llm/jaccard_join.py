@@ -293,3 +293,18 @@ def similarity_classes(docs: DataFrame, threshold: float = 0.8, recall: float =
     worded = rows.select("id", "rep").join(by_rep, "rep").select("id", "class_id", "n_links")
     wordless = texts.filter(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return worded.unionByName(wordless).withColumnRenamed("id", id_col)
+
+
+def one_of_each(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without all but one of each class: the one with the least id stays; columns as they are.
+
+    A row with a null id stays, as nothing names it.  Rows that share an id are told apart by their texts: of
+    equal ones, one stays.
+    """
+    classes = similarity_classes(docs, threshold, recall, id_col, text_col).filter(F.col(id_col).isNotNull())
+    odd = (classes.groupBy(F.col(id_col).alias("odd_id")).agg(F.max(F.col(id_col) != F.col("class_id")).alias("gone"), (F.count("*") > 1).alias("again"))
+           .filter("gone or again"))
+    joined = docs.join(odd, F.col(id_col) == F.col("odd_id"), "left").filter(~F.coalesce("gone", F.lit(False)))
+    again = F.coalesce("again", F.lit(False))
+    once = joined.filter(again).dropDuplicates([id_col, text_col])
+    return joined.filter(~again).unionByName(once).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -139,3 +139,17 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.02, confidence: fl
     return (measured.join(chosen, F.col("stratum") == F.col("of"), "left")
             .select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                     (~F.col("base_failed") & ~over).alias("kept"), *GRID))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.02, confidence: float = 0.95, id_col: str = "doc_id",
+              text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that the rules keep; columns as they are.  Rows are told apart by id, text and
+    stratum together, so null and repeated ids are judged each by its own text."""
+    key = [F.col(id_col), F.xxhash64(F.col(text_col), F.col(stratum_col))]
+    keyed = docs.select(F.struct(key[0].alias("id"), key[1].alias("h")).alias("row_key"), F.col(id_col).alias("label_id"), F.col(text_col).alias("text"),
+                        F.col(stratum_col).alias("stratum"))
+    good = labels.filter("quality = 1").select(F.col(id_col).alias("of")).distinct()
+    good = keyed.join(good, F.col("label_id") == F.col("of"), "left_semi").select("row_key", F.lit(1).alias("quality"))
+    verdicts = judge(keyed, good, risk, confidence, "row_key", "text", "stratum")
+    bad = verdicts.filter(~F.col("kept")).select(F.col("row_key.id").alias("bad_id"), F.col("row_key.h").alias("bad_h")).distinct()
+    return docs.join(bad, key[0].eqNullSafe(F.col("bad_id")) & (key[1] == F.col("bad_h")), "left_anti")

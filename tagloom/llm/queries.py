@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagloom.llm import chat, decontaminate, jaccard_join, packing, pii, quality, substring_dedup, token_counts, warc
+from tagloom.llm import chat, decontaminate, jaccard_join, lm_score, packing, pii, quality, substring_dedup, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -86,3 +86,9 @@ def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata and plain-text records of all pages."""
     return warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+
+
+@query
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents under a model of those that are not held out."""
+    return lm_score.score_documents(table(spark, sf_dir, "documents"))

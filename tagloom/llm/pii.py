@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tagloom.functions.text import let
 from tagloom.llm.stored import stored
 
 #: What counts as an entity, in order of precedence.
@@ -58,15 +59,16 @@ def stream(seed: Column, n: int) -> Column:
 
 
 def _mapped(text: Column, seed: Column) -> Column:
-    """Every ASCII digit and letter replaced by one of its class; other characters, and so the format, stay."""
-    def letter(c: Column, i: Column, numbers: Column) -> Column:
-        r = F.get(numbers, F.pmod(i, F.size(numbers)))
+    """Every ASCII digit and letter replaced by one of its class; other characters, and so the format, stay.
+    The n-th digit or letter gets the same replacement however an entity is spaced."""
+    def letter(c: Column, i: Column, x: Column) -> Column:
+        nth = F.length(F.regexp_replace(F.substring(x["t"], F.lit(1), i), "[^0-9A-Za-z]", ""))
+        r = F.get(x["n"], F.pmod(nth, F.size(x["n"])))
         pick = lambda letters: F.substring(F.lit(letters), F.pmod(r, F.lit(len(letters))) + 1, F.lit(1))
         return F.when(c.rlike("[0-9]"), pick(_DIGITS)).when(c.rlike("[a-z]"), pick(_LOWER)).when(c.rlike("[A-Z]"), pick(_UPPER)).otherwise(c)
 
-    return F.aggregate(
-        F.array(F.struct(F.split(text, "").alias("c"), stream(seed, 4).alias("n"))), F.lit(""),
-        lambda acc, x: F.array_join(F.transform(x["c"], lambda c, i: letter(c, i, x["n"])), ""))
+    return let(F.struct(text.alias("t"), stream(seed, 4).alias("n")),
+               lambda x: F.array_join(F.transform(F.split(x["t"], ""), lambda c, i: letter(c, i, x)), ""))
 
 
 def surrogate(entity: Column, kind: Column, key: str, attempt: Column) -> Column:

@@ -16,9 +16,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from tagloom.llm.stored import stored
 from tagloom.llm.tokens import TEXTS, encoder
-from tagloom.llm.words import buffers
-from tagloom.session import cut
 
 PLACED = ["sequence_id", "offset"]
 
@@ -102,7 +101,7 @@ def place(pieces: DataFrame, capacity: int = 2048, open_bins: int = 65_536, rows
     All other columns pass through, whatever their values; an empty table gives an empty one.  Rows are
     written to the shared folder first, so a lost executor repeats the same deal and the same placement.
     """
-    pieces = cut(pieces)
+    pieces = stored(pieces)
     tasks = max(1, math.ceil(pieces.count() / rows_per_task))
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     names = pieces.columns

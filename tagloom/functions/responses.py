@@ -35,3 +35,21 @@ def parse_answer(text: Column, greedy: bool = False, need_confidence: bool = Tru
                         F.lit("Fallback parsing - could not extract confidence").alias("reasoning"),
                         F.lit(None).cast("string").alias("category"))
     return F.when(usable, parsed).when(listed != "", fallback)
+
+
+# The families of a cached flat answer, by substrings of the lower-case tag.
+ANSWER_FAMILIES = {
+    "category_tags": ["disposable", "rechargeable", "pod", "cartridge"],
+    "flavor_tags": ["fruit", "dessert", "menthol", "tobacco", "beverage", "ice", "cream", "vanilla", "chocolate"],
+    "device_tags": ["pen", "stick", "pod", "mod", "tank"],
+    "compatibility_tags": ["510", "threading", "magnetic"],
+    "cross_compatibility_tags": ["universal", "compatible", "interchangeable"],
+}
+
+
+def answer_families(tags: Column) -> Column:
+    """A flat list of tags split into the families; a tag may be in several or none."""
+    def family(words: list[str]) -> Column:
+        return F.filter(tags, lambda t: F.lower(t).rlike("|".join(words)))
+
+    return F.struct(*[family(words).alias(name) for name, words in ANSWER_FAMILIES.items()])

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tagloom.rules.vocabulary import word_forms
 
 WORD = r"[\p{L}\p{N}_]"
-MAX_LOOKUP = 5000  # literal lookup tables above this belong in a join
 
 
 def blank(col: Column) -> Column:
@@ -89,9 +88,7 @@ def words_literal(words: list[str]) -> Column:
 
 
 def lookup(pairs: dict[str, list[str]]) -> Column:
-    """A literal map<string, array<string>>; refuses tables that should be joined."""
-    if len(pairs) > MAX_LOOKUP:
-        raise ValueError(f"{len(pairs)} entries: join a rule table instead of inlining it")
+    """A literal map<string, array<string>> of the rules, which are configuration and not data."""
     return F.from_json(F.lit(json.dumps(pairs)), "map<string,array<string>>")
 
 
@@ -109,12 +106,27 @@ def tags_for_hits(hits: Column, tag_words: dict[str, list[str]]) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(found)))
 
 
-def substrings(rows: DataFrame, text: str, lengths: str, name: str) -> DataFrame:
-    """One row per distinct substring of ``text`` with one of the ``lengths`` (an array column)."""
-    long = rows.select("*", F.explode(lengths).alias("_k")).filter(F.length(text) >= F.col("_k"))
+GRAM = 4
+
+
+def containing(rows: DataFrame, text: str, words: DataFrame, word: str) -> DataFrame:
+    """``rows`` joined to the ``words`` (distinct, not empty) that their ``text`` contains.
+
+    A word is looked up by one gram of it, the one that fewest words have; a text is cut into grams of
+    that length only, so it gives at most ``GRAM`` rows per character however long words are.  What
+    meets is verified by ``contains``.
+    """
+    size = F.least(F.length(word), F.lit(GRAM))
+    grams = words.select(word, F.explode(F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length(word) - size + 1), lambda i: F.substring(F.col(word), i, size)))).alias("_gram"))
+    common = grams.groupBy("_gram").agg(F.count("*").alias("_n"))
+    chosen = grams.join(common, "_gram").groupBy(word).agg(F.min(F.struct("_n", "_gram"))["_gram"].alias("_gram"))
+    sizes = chosen.agg(F.collect_set(F.length("_gram")).alias("_n")).scalar()  # 1 to GRAM at most
+    cut = rows.select("*", F.explode(sizes).alias("_k")).filter(F.length(text) >= F.col("_k"))
     starts = F.sequence(F.lit(1), F.length(text) - F.col("_k") + 1)
-    cuts = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(text), i, F.col("_k"))))
-    return long.select(*rows.columns, F.explode(cuts).alias(name))
+    pieces = cut.select(*rows.columns, F.explode(F.array_distinct(F.transform(
+        starts, lambda i: F.substring(F.col(text), i, F.col("_k"))))).alias("_gram"))
+    return pieces.join(chosen, "_gram").filter(F.contains(F.col(text), F.col(word))).drop("_gram")
 
 
 def split_tags(col: Column, lower: bool = False) -> Column:

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tagloom.functions.text import substrings
+from tagloom.functions.text import containing
 from tagloom.operators.ordering import top_rows
 
 
@@ -60,7 +60,7 @@ def similar_products(queries: DataFrame, cache: DataFrame, limit: int = 5) -> Da
     Which products contain a word does not depend on who asks, so every word in
     use keeps its ``limit + 1`` newest products per field (trimmed before the
     shuffle) and queries pick among those; no product meets another product.
-    Containment is an equi-join of substrings of the lengths in use.
+    Containment is an equi-join on one short gram of each word, then a test.
     """
     first = F.get(F.filter(F.split(F.lower("title"), r"\s+"), lambda w: w != ""), F.lit(0))
     about = F.get(F.filter(F.split(F.lower("description"), r"\s+"), lambda w: w != ""), F.lit(0))
@@ -69,11 +69,11 @@ def similar_products(queries: DataFrame, cache: DataFrame, limit: int = 5) -> Da
         F.struct(F.lit("description").alias("field"), about.alias("word")),
         F.struct(F.lit("tags").alias("field"), first.alias("word"))))).filter("word is not null")
     words = asked.select("field", "word").distinct()
-    lengths = words.agg(F.collect_set(F.length("word")).alias("n")).scalar()
+    distinct = words.select("word").distinct()
 
     def pieces(field: str, text: Column) -> DataFrame:
-        rows = cache.select(F.col("content_hash").alias("other"), "cached_at", F.lower(text).alias("_low"), lengths.alias("_n"))
-        return substrings(rows, "_low", "_n", "word").select("other", "cached_at", F.lit(field).alias("field"), "word")
+        rows = cache.select(F.col("content_hash").alias("other"), "cached_at", F.lower(text).alias("_low"))
+        return containing(rows, "_low", distinct, "word").select("other", "cached_at", F.lit(field).alias("field"), "word")
 
     holding = pieces("title", F.col("title")).unionByName(pieces("description", F.col("description"))) \
         .unionByName(pieces("tags", F.array_join("tags", ",")))

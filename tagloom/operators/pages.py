@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tagloom.functions import media as M
-from tagloom.functions.text import substrings
+from tagloom.functions.text import containing
 from tagloom.functions.urls import MEDIA_WORDS, is_category_link, is_product_link
 from tagloom.operators.ordering import first_rows
 
@@ -210,9 +210,8 @@ def plain_images(elements: DataFrame) -> DataFrame:
 def match_brands(rows: DataFrame, brands: DataFrame, url: str = "url", text: str = "text") -> DataFrame:
     """First brand, in list order, named in the URL, else in the text.
 
-    Containment is an equi-join: a brand of length *n* can only be one of a
-    text's substrings of length *n*, and few lengths occur.  Neither side is
-    broadcast by force, and no pair is formed that does not contain the brand.
+    Containment is an equi-join on one short gram of each brand, then a test.
+    Neither side is broadcast by force.
     """
     names = brands.select("brand", F.col("ord").alias("b_ord"), F.lower("brand").alias("plain"),
                           F.replace(F.lower("brand"), F.lit(" "), F.lit("-")).alias("slug"))
@@ -221,11 +220,11 @@ def match_brands(rows: DataFrame, brands: DataFrame, url: str = "url", text: str
         F.struct(F.lit(0).alias("place"), F.col("slug").alias("form")),
         F.struct(F.lit(1).alias("place"), F.col("plain").alias("form"))))).alias("f")).select("brand", "b_ord", "f.*") \
         .filter("form <> ''")
-    lengths = forms.agg(F.collect_set(F.length("form")).alias("n")).scalar()
+    words = forms.select("form").distinct()
 
     def pieces(col: str, place: int) -> DataFrame:
-        cut = rows.select("row_id", F.lower(F.coalesce(col, F.lit(""))).alias("_low"), lengths.alias("_n"))
-        return substrings(cut, "_low", "_n", "form").select("row_id", F.lit(place).alias("place"), "form")
+        low = rows.select("row_id", F.lower(F.coalesce(col, F.lit(""))).alias("_low"))
+        return containing(low, "_low", words, "form").select("row_id", F.lit(place).alias("place"), "form")
 
     found = pieces(url, 0).unionByName(pieces(text, 1)).join(forms, ["place", "form"]).groupBy("row_id").agg(
         F.min_by("brand", F.struct("place", "b_ord")).alias("brand"))

@@ -162,17 +162,18 @@ def targeted_fix(products: DataFrame, suggestions: DataFrame,
         fixed.alias("fixed"))
 
 
-def review_queue(products: DataFrame, state: str, limit: int) -> DataFrame:
-    """First ``limit`` rows of a queue: ``unverified``, ``pending`` or ``flagged``.
-    The limit is the feature: reviewers take a page at a time."""
+def review_queue(products: DataFrame, state: str, limit: int | None = None) -> DataFrame:
+    """A queue in its order: ``unverified``, ``pending`` or ``flagged``.
+    With ``limit`` its first page, as reviewers take it."""
+    page = lambda df: df if limit is None else df.limit(limit)
     open_ = products.filter(~F.col("human_verified"))
     decision = F.col("ai_review_decision")
     if state == "unverified":
-        return open_.orderBy("processed_at", "handle").limit(limit)
+        return page(open_.orderBy("processed_at", "handle"))
     if state == "pending":
-        return open_.filter(decision.isNull()).orderBy("processed_at", "handle").limit(limit)
+        return page(open_.filter(decision.isNull()).orderBy("processed_at", "handle"))
     if state == "flagged":
-        return open_.filter(decision == "flag").orderBy("ai_review_confidence", "handle").limit(limit)
+        return page(open_.filter(decision == "flag").orderBy("ai_review_confidence", "handle"))
     raise ValueError(f"unknown queue {state!r}")
 
 

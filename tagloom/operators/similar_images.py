@@ -84,7 +84,8 @@ def _keyed(df: DataFrame, bands: list[tuple[int, int]], radius: int) -> DataFram
 
 def hash_pairs(folded: DataFrame, within: int, bands: int | None = None) -> DataFrame:
     """Pairs of distinct hashes within a distance: ``ord_1 < ord_2``, ``distance``."""
-    count = bands or (max(2, within + 1) if within < 10 else 4)
+    # two wide bands leave few candidates per hash at small distances; large ones have no selective layout
+    count = bands or (2 if within < 10 else 4)
     layout = _bands(count)
     radius = within // count
     left = _keyed(folded, layout, (radius + 1) // 2).select(
@@ -180,7 +181,7 @@ def similarity_report(hashes: DataFrame, threshold: float = 0.90, floor: float =
         total((s >= 0.80) & (s < 0.90), "from_80"), total((s >= 0.70) & (s < 0.80), "from_70"))
 
 
-def duplicate_groups(hashes: DataFrame, threshold: float = 0.90, max_rounds: int = 1000) -> DataFrame:
+def duplicate_groups(hashes: DataFrame, threshold: float = 0.90) -> DataFrame:
     """Greedy groups: the first ungrouped image leads, all ungrouped images within
     the distance follow.  ``leader`` and ``member`` rows; leaders of nothing are left out.
 
@@ -196,10 +197,8 @@ def duplicate_groups(hashes: DataFrame, threshold: float = 0.90, max_rounds: int
     heads = edges.select(F.col("ord_1").alias("ord")).distinct().join(state, "ord", "left_anti") \
         .select("ord", F.lit("leads").alias("state"))
     state = cut(state.unionByName(heads))
-    for _ in range(max_rounds):
-        waiting = state.filter("state = '?'")
-        if waiting.isEmpty():
-            break
+    # every round settles at least the smallest waiting hash, so this ends
+    while not (waiting := state.filter("state = '?'")).isEmpty():
         seen = edges.join(waiting.select(F.col("ord").alias("ord_2")), "ord_2") \
             .join(state.select(F.col("ord").alias("ord_1"), "state"), "ord_1").groupBy("ord_2").agg(
                 F.max((F.col("state") == "leads").cast("int")).alias("led"),
@@ -207,8 +206,6 @@ def duplicate_groups(hashes: DataFrame, threshold: float = 0.90, max_rounds: int
         settled = seen.select(F.col("ord_2").alias("ord"), F.when(F.col("led") == 1, "follows").when(
             F.col("open") == 0, "leads").otherwise("?").alias("new"))
         state = cut(state.join(settled, "ord", "left").select("ord", F.coalesce("new", "state").alias("state")))
-    else:
-        raise RuntimeError("groups did not settle")
     leading = state.filter("state = 'leads'").select(F.col("ord").alias("ord_1"))
     follows = edges.join(leading, "ord_1").join(
         state.filter("state = 'follows'").select(F.col("ord").alias("ord_2")), "ord_2") \

@@ -73,14 +73,14 @@ def q_balanced(spark, sf):
     return L.balanced_sample(rows(spark, sf)).select("handle", "category")
 
 
-@query("balanced_events", f"""WITH t AS (SELECT event_id, CASE WHEN event_type = 'error' AND event_id % 5 > 0 THEN 'rare' WHEN event_type IN ('view', 'click') THEN 'common' ELSE event_type END AS category FROM events WHERE event_type <> 'error' OR event_id % 5 > 0),
+@query("balanced_events", f"""WITH t AS (SELECT event_id, CASE WHEN event_type = 'error' AND event_id % 5 > 0 THEN 'rare' WHEN event_type IN ('view', 'click') THEN 'common' ELSE event_type END AS category FROM events),
 n AS (SELECT category, count(*) AS n FROM t GROUP BY 1), q AS (SELECT CASE WHEN sum(n) > 100 AND max(n) > 2 * min(n) THEN 2 * min(n) ELSE max(n) END AS quota FROM n), r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY {RANK.format('event_id')}, event_id) AS rn FROM t)
 SELECT event_id, category FROM r WHERE rn <= (SELECT quota FROM q)""")
 def q_balanced_events(spark, sf):
     """W10 on groups uneven enough to be cut."""
     kind = F.col("event_type")
-    t = table(spark, sf, "events").filter((kind != "error") | (F.col("event_id") % 5 > 0)).select("event_id", F.when(
-        kind == "error", "rare").when(kind.isin("view", "click"), "common").otherwise(kind).alias("category"))
+    t = table(spark, sf, "events").select("event_id", F.when(
+        (kind == "error") & (F.col("event_id") % 5 > 0), "rare").when(kind.isin("view", "click"), "common").otherwise(kind).alias("category"))
     return L.balanced_sample(t, "event_id").select("event_id", "category")
 
 

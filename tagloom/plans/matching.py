@@ -67,17 +67,26 @@ def q_matches(spark, sf):
 
 def unified(spark, sf):
     a, b = sides(spark, sf)
-    exact = P.match_products(a, b).filter("match_score = 1.0")
-    return P.unify(exact, a, b, "shop-a", "shop-b")
+    return P.unify(P.match_products(a, b), a, b, "shop-a", "shop-b")
 
 
-@query("unified_products", BOTH + f""", b AS (SELECT {NORM.format('title')} AS name, min(ord) AS first FROM source_b WHERE keep GROUP BY 1)
+@query("unified_equal_names", BOTH + f""", b AS (SELECT {NORM.format('title')} AS name, min(ord) AS first FROM source_b WHERE keep GROUP BY 1)
 SELECT substr(md5(a.brand || '_' || a.title), 1, 16) AS product_id, a.title AS name, a.brand, a.url || '|' || x.url AS urls, array_to_string(list_sort(list_distinct([a.category, x.category])), '|') AS categories
 FROM source_a a JOIN b ON b.name = {NORM.format('a.title')} JOIN source_b x ON x.ord = b.first WHERE a.keep""")
+def q_unified_equal(spark, sf):
+    """The products that SQL can tell, those unified by equal names."""
+    return _unified_row(unified(spark, sf).filter("match_score = 1.0"))
+
+
+@query("unified_products")
 def q_unified(spark, sf):
-    """J11 over the equal-name matches."""
-    return unified(spark, sf).select("product_id", "name", "brand", F.array_join(F.transform("sources", lambda s: s["url"]), "|").alias("urls"),
-                                     F.array_join("categories", "|").alias("categories"))
+    """J11 over every accepted match."""
+    return _unified_row(unified(spark, sf))
+
+
+def _unified_row(products):
+    return products.select("product_id", "name", "brand", F.array_join(F.transform("sources", lambda s: s["url"]), "|").alias("urls"),
+                           F.array_join("categories", "|").alias("categories"))
 
 
 def _catalog(spark, sf):
@@ -137,14 +146,12 @@ def _half(offset):
 
 HASHES = f"WITH h AS (SELECT vec_id, 's' || CAST(vec_id % 3 AS STRING) AS source, {_half(0)} AS lo, {_half(32)} AS hi FROM embeddings)"
 PAIRS64 = HASHES + ", p AS (SELECT a.vec_id AS i, b.vec_id AS j, a.source AS s1, b.source AS s2, bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) AS d FROM h a JOIN h b ON a.vec_id < b.vec_id)"
-PAIRS32 = HASHES + ", p AS (SELECT a.vec_id AS i, b.vec_id AS j, a.source AS s1, b.source AS s2, bit_count(xor(a.lo, b.lo)) AS d FROM h a JOIN h b ON a.vec_id < b.vec_id)"
 
 
-def hashes(spark, sf, bits=64):
-    vector = F.col("embedding") if bits == 64 else F.slice("embedding", 1, bits)
+def hashes(spark, sf):
     return table(spark, sf, "embeddings").select(
         F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("image"), F.concat(F.lit("s"), (F.col("vec_id") % 3).cast("string")).alias("source"),
-        F.col("vec_id").alias("ord"), S.sign_hash(vector).alias("hash"))
+        F.col("vec_id").alias("ord"), S.sign_hash(F.col("embedding")).alias("hash"))
 
 
 @query("similar_images", PAIRS64 + " SELECT 'v' || CAST(i AS STRING) AS image_1, 'v' || CAST(j AS STRING) AS image_2, d AS distance, round(1 - d / 64, 6) AS similarity, d <= 6 AS is_duplicate FROM p WHERE d <= 19")
@@ -153,10 +160,10 @@ def q_similar(spark, sf):
     return S.similar_images(hashes(spark, sf)).select("image_1", "image_2", "distance", F.round("similarity", 6).alias("similarity"), "is_duplicate")
 
 
-@query("near_duplicates", PAIRS32 + " SELECT 'v' || CAST(i AS STRING) AS image_1, 'v' || CAST(j AS STRING) AS image_2, d AS distance FROM p WHERE d <= 6 AND s1 <> s2")
+@query("near_duplicates", PAIRS64 + " SELECT 'v' || CAST(i AS STRING) AS image_1, 'v' || CAST(j AS STRING) AS image_2, d AS distance FROM p WHERE d <= 19 AND s1 <> s2")
 def q_near(spark, sf):
-    """J13 (32 sign bits, so that there are some)."""
-    return S.near_duplicates_across(hashes(spark, sf, 32)).select("image_1", "image_2", "distance")
+    """J13 at the report level, as these vectors have no nearer pairs."""
+    return S.near_duplicates_across(hashes(spark, sf), 0.70).select("image_1", "image_2", "distance")
 
 
 @query("copy_groups", "WITH d AS (SELECT md5(text) AS h, min(doc_id) AS first, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1) SELECT 'd' || CAST(first AS STRING) AS image, copies, copies * (copies - 1) // 2 AS pairs FROM d")
@@ -176,18 +183,18 @@ def q_report(spark, sf):
 @query("duplicate_groups")
 def q_groups(spark, sf):
     """W16 and X4."""
-    return S.duplicate_groups(hashes(spark, sf, 32))
+    return S.duplicate_groups(hashes(spark, sf), 0.70)
 
 
 def _pixels(spark, sf):
-    """Pixels read off the vectors: 4 by 4, colours from element signs."""
-    e = table(spark, sf, "embeddings").select("vec_id", "label", F.posexplode(F.slice("embedding", 1, 16)).alias("pos", "v"))
+    """Pixels read off the vectors: 8 by 8, colours from element signs."""
+    e = table(spark, sf, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("pos", "v"))
     level = F.when(F.col("v") > 0.1, 250).when(F.col("v") > 0, 245).otherwise(240)
-    return e.select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("image"), "vec_id", "label", (F.col("pos") % 4).alias("x"), F.floor(F.col("pos") / 4).cast("int").alias("y"),
+    return e.select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("image"), "vec_id", "label", (F.col("pos") % 8).alias("x"), F.floor(F.col("pos") / 8).cast("int").alias("y"),
                     level.alias("r"), level.alias("g"), F.lit(240).alias("b"))
 
 
-PIXELS = """WITH e AS (SELECT vec_id, label, unnest(embedding[1:16]) AS v, generate_subscripts(embedding[1:16], 1) - 1 AS pos FROM embeddings), px AS (SELECT 'v' || CAST(vec_id AS STRING) AS image, vec_id, label, pos % 4 AS x, pos // 4 AS y, CASE WHEN v > 0.1 THEN 250 WHEN v > 0 THEN 245 ELSE 240 END AS r FROM e)"""
+PIXELS = """WITH e AS (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings), px AS (SELECT 'v' || CAST(vec_id AS STRING) AS image, vec_id, label, pos % 8 AS x, pos // 8 AS y, CASE WHEN v > 0.1 THEN 250 WHEN v > 0 THEN 245 ELSE 240 END AS r FROM e)"""
 
 
 @query("pixel_sharpness", PIXELS + " SELECT image, round(var_pop((r * 886 + 240 * 114) // 1000), 6) AS variance FROM px GROUP BY 1")
@@ -196,7 +203,7 @@ def q_sharp(spark, sf):
     return pixels.sharpness(_pixels(spark, sf)).select("image", F.round("variance", 6).alias("variance"))
 
 
-@query("pixel_background", PIXELS + ", w AS (SELECT image, r, sum((x = 0)::INT + (x = 3)::INT + (y = 0)::INT + (y = 3)::INT) AS n FROM px GROUP BY ALL), m AS (SELECT image, max(n) AS n, sum(n) AS t FROM w GROUP BY 1) SELECT image, round(n / t, 6) AS share FROM m")
+@query("pixel_background", PIXELS + ", w AS (SELECT image, r, sum((x = 0)::INT + (x = 7)::INT + (y = 0)::INT + (y = 7)::INT) AS n FROM px GROUP BY ALL), m AS (SELECT image, max(n) AS n, sum(n) AS t FROM w GROUP BY 1) SELECT image, round(n / t, 6) AS share FROM m")
 def q_background(spark, sf):
     """edge uniformity."""
     return pixels.background(_pixels(spark, sf)).select("image", F.round("share", 6).alias("share"))

@@ -208,10 +208,10 @@ def q_corrections(spark, sf):
 
 
 def _queue(state, where, order):
-    @query(f"queue_{state}", cte("audit") + f" SELECT handle FROM audit WHERE NOT human_verified {where} ORDER BY {order}, handle LIMIT 100")
+    @query(f"queue_{state}", cte("audit") + f" SELECT handle FROM audit WHERE NOT human_verified {where} ORDER BY {order}, handle")
     def run(spark, sf):
-        return R.review_queue(_audit(spark, sf), state, 100).select("handle")
-    run.__doc__ = "P14: one page of a review queue."
+        return R.review_queue(_audit(spark, sf), state).select("handle")
+    run.__doc__ = "P14: a review queue."
 
 
 _queue("unverified", "", "processed_at")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import media as M, urls as U
 from tagloom.functions.html import html_elements
+from tagloom.functions.responses import ANSWER_FAMILIES, answer_families
 from tagloom.operators import assets as A, pages as P, registry as R
 from tagloom.plans.registry import query
 from tagloom.plans.sqltext import has_any, quote
@@ -125,12 +126,19 @@ def q_packs(spark, sf):
     return R.pack_queue(packs).select("name", "type_priority")
 
 
-@query("cached_answer_families", cte("audit") + """ SELECT handle, len(list_filter(final_tags, lambda t: contains(t, 'fruit') OR contains(t, 'ice') OR contains(t, 'cream'))) AS flavour, len(list_filter(final_tags, lambda t: contains(t, 'pod') OR contains(t, 'tank'))) AS device FROM audit""")
+FAMILY_SQL = ", ".join("array_to_string(list_filter(final_tags, lambda t: " + " OR ".join(f"contains(lower(t), '{w}')" for w in words) + f"), '|') AS {name}"
+                       for name, words in {
+    "category_tags": ["disposable", "rechargeable", "pod", "cartridge"],
+    "flavor_tags": ["fruit", "dessert", "menthol", "tobacco", "beverage", "ice", "cream", "vanilla", "chocolate"],
+    "device_tags": ["pen", "stick", "pod", "mod", "tank"], "compatibility_tags": ["510", "threading", "magnetic"],
+    "cross_compatibility_tags": ["universal", "compatible", "interchangeable"]}.items())
+
+
+@query("cached_answer_families", cte("audit") + f" SELECT handle, {FAMILY_SQL} FROM audit")
 def q_families(spark, sf):
     """a flat answer split by substring families."""
-    def count(*terms):
-        return F.size(F.filter("final_tags", lambda t: t.rlike("|".join(terms)))).cast("long")
-    return view(spark, sf, "audit").select("handle", count("fruit", "ice", "cream").alias("flavour"), count("pod", "tank").alias("device"))
+    rows = view(spark, sf, "audit").select("handle", answer_families(F.col("final_tags")).alias("f"))
+    return rows.select("handle", *[F.array_join(f"f.{name}", "|").alias(name) for name in ANSWER_FAMILIES])
 
 
 @query("product_records", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'Name' WHEN page_id % 3 = 1 THEN url ELSE 'Untitled Product' END AS title, substr(html, 1, 160) AS seo_description FROM pages")

@@ -24,14 +24,16 @@ def local_session(cores: str = "8", app: str = "tagloom") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests, one machine) a scratch folder stands in.
+    A cluster names it in ``spark.checkpoint.dir``, and is refused without; only
+    in local mode, where one machine is all there is, a scratch folder stands in.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if named is None and context.getCheckpointDir() is not None:
         named = context.getCheckpointDir()
     if named is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="spark-tagloom-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)

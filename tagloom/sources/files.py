@@ -52,7 +52,8 @@ def read_rejects(spark: SparkSession, path: str, columns: list[str]) -> DataFram
 
 
 def read_products(spark: SparkSession, path: str) -> DataFrame:
-    """Catalogue rows under plain names, missing values blank, extra columns left out.
+    """Catalogue rows under plain names, missing values blank; all other columns follow
+    under their own names, so an export can be written back with all of them.
 
     ``ord`` is the row order inside the file's split; give a natural key instead
     where the file has one.
@@ -60,8 +61,10 @@ def read_products(spark: SparkSession, path: str) -> DataFrame:
     raw = require_columns(read_csv(spark, path), ["Handle", "Title"])
     named = [column_or_blank(raw, *(SKU_NAMES if new == "variant_sku" else [old])).alias(new)
              for old, new in PRODUCT_COLUMNS.items()]
-    rows = raw.select(*named)
-    clean = [F.when(F.col(c).isNull() | (F.col(c) == "nan"), "").otherwise(F.col(c)).alias(c) for c in rows.columns]
+    used = {*PRODUCT_COLUMNS, *SKU_NAMES}
+    more = [F.col(f"`{c}`") for c in raw.columns if c not in used and c not in PRODUCT_COLUMNS.values() and c != "ord"]
+    rows = raw.select(*named, *more)
+    clean = [F.when(F.col(f"`{c}`").isNull() | (F.col(f"`{c}`") == "nan"), "").otherwise(F.col(f"`{c}`")).alias(c) for c in rows.columns]
     return rows.select(*clean, F.monotonically_increasing_id().alias("ord"))
 
 
@@ -92,16 +95,33 @@ def write_tiers(rows: DataFrame, path: str) -> None:
 
 
 def append_aligned(rows: DataFrame, path: str) -> None:
-    """Append to existing CSV output: its columns in its order, new ones blank-filled,
-    unknown ones left out.  Without existing output the rows set the columns."""
+    """Append to existing CSV output by name.  Columns that either side lacks are blank there.
+
+    Rows without a new column are appended as files.  A new column changes the header of every file,
+    so then all rows are written anew beside the output, which takes its place when it is complete.
+    """
     spark = rows.sparkSession
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-    if exists:
-        present = spark.read.option("header", True).csv(path).columns
-        rows = rows.select(*[(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in rows.columns else F.lit("")).alias(c)
-                             for c in present])
-    rows.write.mode("append").option("header", True).option("escape", '"').csv(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    options = {"header": True, "escape": '"'}
+    if not store.exists(folder):
+        rows.write.mode("append").options(**options).csv(path)
+        return
+    there = spark.read.options(**options, multiLine=True).csv(path)
+    columns = there.columns + [c for c in rows.columns if c not in there.columns]
+
+    def filled(df: DataFrame) -> DataFrame:
+        return df.select(*[(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) if c in df.columns else F.lit("")).alias(c) for c in columns])
+
+    if columns == there.columns:
+        filled(rows).write.mode("append").options(**options).csv(path)
+        return
+    beside, before = (spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + end) for end in (".next", ".before"))
+    filled(there).unionByName(filled(rows)).write.mode("overwrite").options(**options).csv(beside.toString())
+    store.delete(before, True)
+    if not (store.rename(folder, before) and store.rename(beside, folder)):
+        raise OSError(f"could not replace {path}; its rows are in {before.toString()}")
+    store.delete(before, True)
 
 
 def file_inventory(spark: SparkSession, path: str, suffixes: list[str] | None = None) -> DataFrame:

@@ -91,7 +91,10 @@ def test_csv_round_trip(spark, tmp_path):
     files.append_aligned(tiers.select("handle", "tags"), appended)
     files.append_aligned(spark.createDataFrame([("c", "x")], "handle string, other string"), appended)
     got = spark.read.option("header", True).csv(appended)
-    assert set(got.columns) == {"handle", "tags"} and got.count() == 3
+    assert {tuple(r[c] or "" for c in ("handle", "tags", "other")) for r in got.collect()} == {("a", "ice", ""), ("b", "", ""), ("c", "", "x")}
+    files.append_aligned(spark.createDataFrame([("d",)], "handle string"), appended)
+    assert spark.read.option("header", True).csv(appended).count() == 4
+    assert rows["a"]["Option1 Linked To"] == "z"
 
 
 def test_rejects_and_required_columns(spark, tmp_path):

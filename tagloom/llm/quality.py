@@ -121,13 +121,14 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.02, confiden
     held = measured.filter(~F.col("base_failed")).join(holdout, F.col("id") == F.col("label_id"), "left_semi")
     counts = held.groupBy("stratum").agg(F.count("*").alias("n"), *[
         F.count_if(F.col(rule) > c).alias(f"{rule}_{i}") for rule, grid in GRID.items() for i, c in enumerate(grid)])
-    level = (1 - confidence) / (F.greatest(F.col("strata"), F.lit(1)) * len(GRID))
-    tested = counts.crossJoin(F.broadcast(counts.agg(F.count("*").alias("strata")))).select("stratum", *[
-        (binomial_tail(F.col(f"{rule}_{i}"), F.col("n"), risk / len(GRID)) <= level).alias(f"{rule}_{i}")
-        for rule, grid in GRID.items() for i in range(len(grid))])
-    last = lambda rule, i: reduce(lambda a, b: a & b, [F.col(f"{rule}_{j}") for j in range(i, len(GRID[rule]))])
-    return tested.select("stratum", *[
-        F.coalesce(*[F.when(last(rule, i), F.lit(c)) for i, c in enumerate(grid)]).alias(f"cut_{rule}") for rule, grid in GRID.items()])
+    tests = counts.crossJoin(F.broadcast(counts.agg(F.count("*").alias("strata")))).select("stratum", "n", "strata", F.inline(F.array(*[
+        F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("i"), F.col(f"{rule}_{i}").alias("k")) for rule, grid in GRID.items() for i in range(len(grid))])))
+    level = (1 - confidence) / (F.col("strata") * len(GRID))
+    failed = tests.filter(binomial_tail(F.col("k"), F.col("n"), risk / len(GRID)) > level).groupBy("stratum").agg(
+        *[F.max(F.when(F.col("rule") == rule, F.col("i"))).alias(rule) for rule in GRID])
+    # the cutoff after the last that failed; none is left where the laxest failed
+    return counts.select(F.col("stratum").alias("of")).join(failed, F.col("of") == F.col("stratum"), "left").select(F.col("of").alias("stratum"), *[
+        F.get(F.array(*map(F.lit, grid)), F.coalesce(F.col(rule), F.lit(-1)) + 1).alias(f"cut_{rule}") for rule, grid in GRID.items()])
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.02, confidence: float = 0.95, id_col: str = "doc_id",

@@ -147,7 +147,8 @@ def filter_catalog(catalog: DataFrame, brand: str | None = None, category: str |
         if wanted:
             catalog = catalog.filter(F.lower(col) == wanted.lower())
     if min_quality is not None:
-        catalog = catalog.filter(F.exists("media_assets", lambda a: a["quality_score"] >= min_quality))
+        good = catalog.filter(F.exists("media_assets", lambda a: a["quality_score"] >= min_quality)).select("product_id").distinct()
+        catalog = catalog.join(good, "product_id", "left_semi")  # with all parts of a long list
     return catalog
 
 

@@ -129,15 +129,17 @@ def export_variants(variants: DataFrame, products: DataFrame,
         tier(F.col("_final"), review).alias("tier"))
 
 
-def image_rows(products: DataFrame) -> DataFrame:
+def image_rows(products: DataFrame, limit: int = 10_000) -> DataFrame:
     """Catalogue rows: the first carries the product, each further image its own row.
 
-    Positions run from 1 when there are images; a product without images keeps
+    Positions run from 1 when there are images, on through the further parts of
+    long lists (as :func:`consolidate` makes them); a product without images keeps
     one row without a position.
     """
-    spread = products.select("*", F.posexplode_outer("images").alias("_pos", "image_src"))
+    before = F.col("part") * limit if "part" in products.columns else F.lit(0)
+    spread = products.select("*", F.posexplode_outer("images").alias("_at", "image_src")).withColumn("_pos", F.col("_at") + before)
     lead = F.coalesce(F.col("_pos"), F.lit(0)) == 0
-    own = [c for c in products.columns if c not in ("handle", "images")]
+    own = [c for c in products.columns if c not in ("handle", "images", "part")]
     return spread.select("handle", *[F.when(lead, F.col(c)).alias(c) for c in own], "image_src",
                          (F.col("_pos") + 1).alias("image_position"))
 

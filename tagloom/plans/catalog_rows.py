@@ -116,7 +116,7 @@ SELECT handle, CASE WHEN coalesce(pos, 1) = 1 THEN title END AS title, image_src
 def q_image_rows(spark, sf):
     """S11 and W14."""
     rows = view(spark, sf, "variants").select("ord", "handle", "title", "image")
-    return route.image_rows(route.consolidate(rows).drop("part")).select("handle", "title", "image_src", "image_position")
+    return route.image_rows(route.consolidate(rows)).select("handle", "title", "image_src", "image_position")
 
 
 @query("shopify_rows", cte("products") + r""" SELECT regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(title), '[^a-z0-9\s-]', '', 'g'), '\s+', '-', 'g'), '-+', '-', 'g'), '^-+|-+$', '', 'g') AS handle, title, '<p>' || trim(description) || '</p>' AS body_html, image AS image_src, 1 AS image_position FROM products WHERE image <> ''

@@ -6,10 +6,9 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tagloom.operators import cache as tag_cache
 from tagloom.operators.health import BLOCKING, FIRST_BACKOFF, HISTORY, RECENT, TOP_BACKOFF
 
 HEALTH_OUT = """site string, seq long, ts timestamp, failures long, backoff_s int, avg_ms double,
@@ -95,65 +94,50 @@ def run_once(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
-class VersionedTable:
-    """A small-to-large table replaced as a whole: versions in folders, a pointer file.
+def _prefix(key: str) -> Column:
+    """256 partitions by hash, so that a batch reads and writes the parts of its own keys."""
+    return F.substring(F.md5(F.col(key).cast("string")), 1, 2)
 
-    A version is written completely before the pointer names it, so a lost
-    executor or a failed batch leaves the old version in place.
-    """
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _fs(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def version(self) -> int | None:
-        fs, hp = self._fs(), self.spark._jvm.org.apache.hadoop.fs.Path
-        if not fs.exists(hp(self.root)):
-            return None
-        done = [s.getPath().getName() for s in fs.listStatus(hp(self.root)) if s.getPath().getName().startswith("ready-")]
-        return max((int(n.split("-")[1]) for n in done), default=None)
+def append_cache_batch(path: str):
+    """``foreachBatch`` function: append a batch of cache rows as its epoch; a repeated epoch overwrites itself."""
+    def append(batch: DataFrame, epoch: int) -> None:
+        batch.withColumn("prefix", _prefix("content_hash")).write.mode("overwrite").partitionBy("prefix").parquet(f"{path}/epoch={epoch}")
+    return append
 
-    def read(self) -> DataFrame | None:
-        v = self.version()
-        return None if v is None else self.spark.read.parquet(f"{self.root}/v-{v}")
 
-    def replace(self, df: DataFrame, version: int) -> None:
-        """Write a version; repeating one that is ready does nothing."""
-        current = self.version()
-        if current is not None and version <= current:
-            return
-        df.write.mode("overwrite").parquet(f"{self.root}/v-{version}")
-        hp = self.spark._jvm.org.apache.hadoop.fs.Path
-        self._fs().create(hp(f"{self.root}/ready-{version}"), True).close()
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The latest row per content hash over all epochs; of equal times, the later epoch's."""
+    rows = spark.read.parquet(path)
+    others = [c for c in rows.columns if c not in ("content_hash", "prefix", "epoch")]
+    return rows.groupBy("content_hash").agg(F.max_by(F.struct(*others), F.struct("cached_at", "epoch")).alias("r")).select("content_hash", "r.*")
 
 
-def merge_cache_batch(table: VersionedTable):
-    """``foreachBatch`` function: merge new cache rows, latest per content hash."""
-    def merge(batch: DataFrame, epoch: int) -> None:
-        old = table.read()
-        table.replace(tag_cache.merge(old, batch) if old is not None else tag_cache.merge(batch.limit(0), batch), epoch + 1)
-    return merge
+def compact_cache(spark: SparkSession, path: str, target: str) -> None:
+    """The latest rows as one epoch of another folder, for readers to move to; ``path`` is left alone."""
+    append_cache_batch(target)(read_cache(spark, path), 0)
 
 
 def tag_new_batch(done_path: str, tag):
     """``foreachBatch`` function: tag only handles never processed, in any batch.
 
-    ``tag`` turns products into tagged rows with ``handle``; results are appended
-    under the epoch's folder, so a repeated epoch overwrites itself.
+    ``tag`` turns products into tagged rows with ``handle``; results are appended under the epoch's folder by
+    the handle's hash, so a repeated epoch overwrites itself and a batch looks only where its handles can be.
+    Of several rows of a handle the least by all columns is taken, the same one every time.
     """
     def process(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(["handle"])
+        others = [c for c in batch.columns if c != "handle"]
+        row = F.min(F.struct(*others) if others else F.struct(F.lit(0))).alias("r")
+        fresh = batch.groupBy("handle").agg(row).select("handle", *[F.col(f"r.{c}").alias(c) for c in others])
         root = spark._jvm.org.apache.hadoop.fs.Path(done_path)
         fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
         if fs.exists(root):
             folders = [s.getPath().toString() for s in fs.listStatus(root)
                        if s.getPath().getName().startswith("epoch=") and int(s.getPath().getName()[6:]) < epoch]
             if folders:
-                seen = spark.read.parquet(*folders).select("handle")
+                prefixes = [r[0] for r in batch.select(_prefix("handle")).distinct().collect()]  # at most 256
+                seen = spark.read.option("basePath", done_path).parquet(*folders).filter(F.col("prefix").isin(prefixes)).select("handle").distinct()
                 fresh = fresh.join(seen, "handle", "left_anti")
-        tag(fresh).write.mode("overwrite").parquet(os.path.join(done_path, f"epoch={epoch}"))
+        tag(fresh).withColumn("prefix", _prefix("handle")).write.mode("overwrite").partitionBy("prefix").parquet(os.path.join(done_path, f"epoch={epoch}"))
     return process

@@ -3,7 +3,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tagloom.operators import cache, health as H, route
+from tagloom.operators import assets, cache, health as H, route
 from tagloom.operators.improve import improve
 from tagloom.sources import files
 from tagloom.sources.store import AuditStore
@@ -134,16 +134,18 @@ def test_json_and_inventories(spark, tmp_path):
 
 
 def test_cache_and_incremental_batches(spark, tmp_path):
-    table = jobs.VersionedTable(spark, str(tmp_path / "cache"))
-    merge = jobs.merge_cache_batch(table)
+    path = str(tmp_path / "cache")
+    merge = jobs.append_cache_batch(path)
 
     def batch(day, tag):
         return spark.createDataFrame([("k", [tag], dt.datetime(2024, 1, day))], "content_hash string, tags array<string>, cached_at timestamp")
 
     merge(batch(1, "old"), 0)
-    merge(batch(2, "new"), 1)
-    merge(batch(3, "again"), 1)  # a repeated epoch changes nothing
-    assert [r.tags for r in table.read().collect()] == [["new"]]
+    merge(batch(3, "late"), 1)
+    merge(batch(2, "new"), 1)  # a repeated epoch takes its own place
+    assert [r.tags for r in jobs.read_cache(spark, path).collect()] == [["new"]]
+    jobs.compact_cache(spark, path, str(tmp_path / "compact"))
+    assert [r.tags for r in jobs.read_cache(spark, str(tmp_path / "compact")).collect()] == [["new"]]
     done = str(tmp_path / "done")
     step = jobs.tag_new_batch(done, lambda df: df.withColumn("tags", F.lit("t")))
     products = spark.createDataFrame([("a",), ("b",), ("a",)], "handle string")
@@ -152,6 +154,16 @@ def test_cache_and_incremental_batches(spark, tmp_path):
     assert sorted(r.handle for r in spark.read.parquet(done).collect()) == ["a", "b", "c"]
 
 
+def test_long_lists_keep_positions_and_products(spark):
+    rows = spark.range(12_000).selectExpr("'h' AS handle", "'T' AS title", "concat('i', id) AS image", "id AS ord")
+    got = route.image_rows(route.consolidate(rows)).agg(F.count("*"), F.min("image_position"), F.max("image_position"), F.count_distinct("image_position"), F.count("title")).first()
+    assert tuple(got) == (12_000, 1, 12_000, 12_000, 1)
+    media = spark.range(12_000).selectExpr("'p' AS group_id", "concat('a', id) AS asset_id", "'s' AS source", "1 AS source_priority", "CASE WHEN id = 0 THEN 9.5 ELSE 7.5 END AS quality_score", "id AS ord")
+    product = spark.createDataFrame([("p", "n", "b", "m", ["c"], "s", 1)], "product_id string, name string, brand string, model_number string, categories array<string>, primary_source string, source_count int")
+    found = assets.filter_catalog(assets.build_catalog(product, media), min_quality=9.0)
+    assert found.agg(F.sum(F.size("media_assets")), F.count_distinct("product_id")).first()[:] == (12_000, 1)
+
+
 def test_improvement_stops_at_the_target(spark):
     base = spark.createDataFrame([("a", ["x"], True, 0.2), ("b", ["x"], True, 0.9), ("c", ["x"], False, 0.9)],
                                  "handle string, tags array<string>, needs_manual_review boolean, ai_confidence double")

@@ -14,9 +14,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tagloom.functions.text import let
+from tagloom.llm.stored import stored
 from tagloom.session import cut
 
 WINDOW = 5
+MOST_SENT = 10_000  # strata whose cutoffs go to all tasks
 #: The cutoffs tried for each rule, from the strictest on.
 GRID = {
     "symbols_per_word": [0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.75, 1.0],
@@ -135,7 +137,9 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.02, confidence: fl
           text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """The counts of every document, ``base_failed`` and ``kept``; the measured texts are written once."""
     measured = cut(features(docs, id_col, text_col, stratum_col))
-    chosen = cutoffs(measured, labels, risk, confidence, id_col).withColumnRenamed("stratum", "of")
+    chosen = stored(cutoffs(measured, labels, risk, confidence, id_col).withColumnRenamed("stratum", "of"))
+    if chosen.count() <= MOST_SENT:  # else strata are many, and none can be very hot
+        chosen = F.broadcast(chosen)
     over = reduce(lambda a, b: a | b, [F.coalesce(F.col(rule) > F.col(f"cut_{rule}"), F.lit(False)) for rule in GRID])
     return (measured.join(chosen, F.col("stratum") == F.col("of"), "left")
             .select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

@@ -215,12 +215,21 @@ def unique_names(files: DataFrame) -> DataFrame:
 
 def pack_metadata(files: DataFrame, sample: int = 10) -> DataFrame:
     """Per category the number of files and its first names; the sample is the report's length."""
-    named = first_rows(files.select("category", "name", "ord").distinct(), ["category", "name", "ord"], F.col("ord"))
-    firsts = top_rows(named, ["category"], sample, F.col("ord"), F.col("name")).groupBy("category").agg(
+    firsts = top_rows(files.select("category", "name", "ord").distinct(), ["category"], sample, F.col("ord"), F.col("name")).groupBy("category").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]), "|").alias("files"))
     return files.groupBy("category").agg(F.count("*").alias("count")).join(firsts, "category", "left")
 
 
+def pack_inventory(files: DataFrame, inventory: int = 100) -> DataFrame:
+    """Per media pack (``pack``) its number of files, how many contents had copies removed, and its first files
+    with size and path; the inventory's length is the report's.  ``files``: pack, name, size, path, digest, ord."""
+    per_content = files.groupBy("pack", "digest").agg(F.count("*").alias("copies"))
+    counts = per_content.groupBy("pack").agg(F.sum("copies").alias("total_files"), F.count_if(F.col("copies") > 1).alias("duplicates_removed"))
+    firsts = top_rows(files.select("pack", "name", "size", "path", "ord"), ["pack"], inventory, F.col("ord"), F.col("path")).groupBy("pack").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "name", "size", "path"))), lambda x: F.struct(x["name"].alias("name"), x["size"].alias("size"), x["path"].alias("path"))).alias("file_inventory"))
+    return counts.join(firsts, "pack")
+
+
 def download_summary(files: DataFrame) -> DataFrame:
     """Images and size by brand and site, with totals."""
     rolled = files.rollup("brand", "site").agg(

@@ -158,19 +158,37 @@ def crawl_delay(rules: DataFrame) -> DataFrame:
         .agg(F.min_by(delay, F.col("line_no")).alias("crawl_delay"))
 
 
-def path_verdicts(paths: DataFrame, rules: DataFrame) -> DataFrame:
+def agent_rules(lines: DataFrame, agent: str = "*") -> DataFrame:
+    """The rules one agent has to obey: those of the first group that names it, else of the first ``*`` group.
+
+    Consecutive ``user-agent`` lines share a group, a name holds for agents that contain it up to their ``/``,
+    comments go, and paths keep their case.  An empty ``disallow`` forbids nothing.
+    """
+    from pyspark.sql import Window
+    line = F.trim(F.regexp_replace("line", "#.*", ""))
+    rows = lines.select("domain", "line_no", F.lower(F.trim(F.substring_index(line, ":", 1))).alias("field"),
+                        F.trim(F.regexp_replace(line, "^[^:]*:", "")).alias("value"), line.contains(":").alias("rule"))
+    rows = rows.filter(F.col("rule") & F.col("field").isin("user-agent", "allow", "disallow", "crawl-delay")).drop("rule")
+    order = Window.partitionBy("domain").orderBy("line_no")
+    names = F.col("field") == "user-agent"
+    begins = names & ~F.coalesce(F.lag("field").over(order) == "user-agent", F.lit(False))
+    rows = rows.withColumn("begins", begins.cast("int")).withColumn("group", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    mine, name = F.lit(agent.lower().split("/")[0]), F.lower("value")
+    fits = F.when(name == "*", 2).when(F.contains(mine, name), 1)
+    group = rows.filter(names & fits.isNotNull()).groupBy("domain").agg(F.min(F.struct(fits.alias("f"), "group"))["group"].alias("group"))
+    return rows.filter(~names & (F.col("value") != "")).join(group, ["domain", "group"], "left_semi").select("domain", "line_no", "field", "value")
+
+
+def path_verdicts(paths: DataFrame, rules: DataFrame, fold_case: bool = True) -> DataFrame:
     """Whether each path may be fetched: the first rule whose path it starts with.
 
-    A path starts with a rule exactly when the rule is one of its prefixes, so
-    prefixes are joined by equality.
+    A domain's rules are one small document, so they meet its paths as one array.
     """
-    prefixes = paths.select("domain", "path", F.explode(F.transform(
-        F.sequence(F.lit(1), F.length("path")), lambda n: F.substring(F.lower("path"), 1, n))).alias("value"))
-    allowed = F.col("field") == "allow"
-    hit = prefixes.join(rules.filter("field <> 'crawl-delay'"), ["domain", "value"]).groupBy("domain", "path") \
-        .agg(F.min_by(allowed, F.col("line_no")).alias("allowed"))
-    return paths.join(hit, ["domain", "path"], "left").select(
-        "domain", "path", F.coalesce("allowed", F.lit(True)).alias("allowed"))
+    rule = F.struct("line_no", (F.col("field") == "allow").alias("allowed"), "value")
+    known = rules.filter("field <> 'crawl-delay'").groupBy("domain").agg(F.array_sort(F.collect_list(rule)).alias("_rules"))
+    path = F.lower("path") if fold_case else F.col("path")
+    first = F.get(F.filter("_rules", lambda r: F.startswith(path, r["value"])), F.lit(0))["allowed"]
+    return paths.join(known, "domain", "left").select("domain", "path", F.coalesce(first, F.lit(True)).alias("allowed"))
 
 
 def compliance(verdicts: DataFrame, delays: DataFrame) -> DataFrame:

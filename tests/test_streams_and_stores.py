@@ -3,7 +3,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tagloom.operators import assets, cache, health as H, route
+from tagloom.operators import assets, cache, health as H, registry, route
 from tagloom.operators.improve import improve
 from tagloom.sources import files
 from tagloom.sources.store import AuditStore
@@ -180,3 +180,17 @@ def test_cache_misses_and_images(spark):
     rows = spark.createDataFrame([("h", ["i1", "i2"], "T"), ("g", [], "U")], "handle string, images array<string>, title string")
     got = [(r.handle, r.title, r.image_src, r.image_position) for r in route.image_rows(rows).filter("image_src is not null").orderBy("image_position").collect()]
     assert got == [("h", "T", "i1", 1), ("h", None, "i2", 2)]
+
+
+def test_an_agent_obeys_its_own_group(spark):
+    text = ["User-agent: *", "Disallow: /Private # all", "Crawl-delay: 2", "", "User-agent: Good", "User-agent: Fine", "Allow: /Private/open", "Disallow: /Private", "", "User-agent: free", "Disallow:"]
+    lines = spark.createDataFrame([("d", i, t) for i, t in enumerate(text)], "domain string, line_no int, line string")
+    paths = spark.createDataFrame([("d", "/Private/open/x"), ("d", "/Private/x"), ("d", "/private/x"), ("e", "/x")], "domain string, path string")
+
+    def allowed(agent):
+        return [r.allowed for r in registry.path_verdicts(paths, registry.agent_rules(lines, agent), fold_case=False).orderBy("domain", "path").collect()]
+
+    assert allowed("GoodBot/1.0") == [True, False, True, True]
+    assert allowed("fine") == [True, False, True, True]
+    assert allowed("other") == [False, False, True, True]
+    assert allowed("free") == [True, True, True, True]

@@ -3,8 +3,8 @@
 Windows are hashed by Rabin-Karp and counted in Spark, in two steps that give the counts of all windows
 without moving one row per word.  Neighbouring windows whose least ``GRAM``-gram hash stands at the same
 place form a run.  Equal windows have equal least grams, so a run whose gram no other run has holds no
-repeated window, and runs that all have the same words are repeated as a whole.  Only runs that share a
-gram but not all words have their windows counted one by one.
+repeated window, and runs with the same words are repeated as a whole.  Only runs that share a gram but not
+all words have their windows counted one by one, runs with the same words once for all.
 """
 from __future__ import annotations
 
@@ -67,22 +67,23 @@ def text_runs(docs: DataFrame, size: int) -> DataFrame:
 
 
 def run_windows(docs: DataFrame, size: int) -> DataFrame:
-    """Hash and place of every window of the runs in ``spans`` (an array of first window and number)."""
+    """Hash and place of every window of the runs in ``spans`` (first window, number, does the run occur again)."""
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, words in word_chunks(batches, "text", NOT_SPACE):
             hashes = window_hashes(words.hash, size)
             spans = part.column("spans")
             flat = spans.flatten()
             doc = np.repeat(np.arange(len(spans)), spans.value_lengths().to_numpy(zero_copy_only=False))
-            low, n = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            low, n, again = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1, 2))
+            again = np.repeat(again > 0, n)
             doc, inside = np.repeat(doc, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             at = np.repeat(low, n) + inside
             which = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(hashes[words.first[doc] + at].view(np.int64)), part.column("k1").take(which), part.column("k2").take(which),
-                 pa.array(at.astype(np.int32))], ["w", "k1", "k2", "start"])
+                 pa.array(at.astype(np.int32)), pa.array(again)], ["w", "k1", "k2", "start", "again"])
 
-    return docs.select("k1", "k2", "text", "spans").mapInArrow(find, "w long, k1 long, k2 long, start int")
+    return docs.select("k1", "k2", "text", "spans").mapInArrow(find, "w long, k1 long, k2 long, start int, again boolean")
 
 
 def cover(spans: list, n_words: int) -> bytearray:
@@ -130,12 +131,15 @@ def remove_repeats(docs: DataFrame, size: int = 35, id_col: str = "doc_id", text
     runs = stored(text_runs(keyed, size))
     shared = (runs.groupBy("g").agg(F.count("*").alias("c"), F.min("r").alias("lo"), F.max("r").alias("hi"))
               .filter("c > 1").select("g", (F.col("lo") == F.col("hi")).alias("whole")))
-    repeated = stored(runs.join(shared, "g").select("k1", "k2", "start", "n", "whole").distinct())
-    unsure = (repeated.filter(~F.col("whole")).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n")).alias("spans")))
-    windows = stored(run_windows(keyed.join(unsure, ["k1", "k2"]), size))
-    twice = windows.groupBy("w").agg(F.count("*").alias("c")).filter("c > 1").select("w")
-    found = windows.join(twice, "w").select("k1", "k2", "start", F.lit(1).alias("n")).distinct()
-    spans = (repeated.filter("whole").select("k1", "k2", "start", "n").unionByName(found)
-             .groupBy("k1", "k2").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n") + (size - 1)).alias("stop"))).alias("spans")))
+    repeated = stored(runs.join(shared, "g").select("r", "k1", "k2", "start", "n", "whole"))
+    # of runs with the same words, one stands for all when windows are counted
+    unsure = stored(repeated.filter(~F.col("whole")).groupBy("r").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "start", "n")).alias("one")))
+    spans_of = unsure.select("one.*", (F.col("c") > 1).alias("again")).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n", "again")).alias("spans"))
+    windows = stored(run_windows(keyed.join(spans_of, ["k1", "k2"]), size))
+    twice = windows.groupBy("w").agg(F.sum(F.when(F.col("again"), 2).otherwise(1)).alias("c")).filter("c > 1").select("w")
+    found = windows.filter(~F.col("again")).join(twice, "w").select("k1", "k2", "start", F.lit(1).alias("n"))
+    same = repeated.filter(~F.col("whole")).join(unsure.filter("c > 1").select("r"), "r", "left_semi")
+    spans = (repeated.filter("whole").unionByName(same).select("k1", "k2", "start", "n").unionByName(found)
+             .groupBy("k1", "k2").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("n") + (size - 1)).alias("stop"))).alias("spans")))
     return (without_repeats(keyed.join(spans, ["k1", "k2"], "left"), docs.schema[id_col].dataType)
             .withColumnRenamed("id", id_col))

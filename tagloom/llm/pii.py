@@ -18,7 +18,7 @@ from tagloom.llm.stored import stored
 PATTERNS = {
     "secret_pair": r"(?:password|passwd|pwd|secret|api_key|token)\s?[=:]\s?\"?[A-Za-z0-9_\-]{8,}\"?",
     "key_id": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "email": r"[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}",
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,256}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}",
     "phone": r"(?<![\w+])\+?\d{1,3}[ \-.]?\(\d{2,4}\)[ \-.]?\d{3}[ \-.]?\d{4}(?!\d)",
     "card": r"(?<![\w.])\d{4}(?:[ \-]?\d{4}){3}(?!\w)",
     "national_id": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
@@ -27,6 +27,8 @@ PATTERNS = {
     "name": r"(?<!\p{L})(?:Mr|Mrs|Ms|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? \p{Lu}\p{Ll}{1,30}(?: \p{Lu}\p{Ll}{1,30})?",
 }
 ANY = "|".join(PATTERNS.values())
+#: What every entity has; it costs little to look for, and most texts have none of it.
+NEEDED = "[0-9@=:]|AKIA|M[rs]|Herr|Frau|Monsieur|Madame|Señor"
 #: Given names by what a title says of gender.
 NAMES = {
     "female": ["Anna", "Clara", "Elena", "Emma", "Julia", "Laura", "Maria", "Nora", "Paula", "Sofia", "Teresa", "Vera"],
@@ -62,12 +64,13 @@ def _mapped(text: Column, seed: Column) -> Column:
     """Every ASCII digit and letter replaced by one of its class; other characters, and so the format, stay.
     The n-th digit or letter gets the same replacement however an entity is spaced."""
     def letter(c: Column, i: Column, x: Column) -> Column:
-        nth = F.length(F.regexp_replace(F.substring(x["t"], F.lit(1), i), "[^0-9A-Za-z]", ""))
-        r = F.get(x["n"], F.pmod(nth, F.size(x["n"])))
+        before = F.substring(x["t"], F.lit(1), i)
+        nth = F.when(x["spaced"], F.length(F.regexp_replace(before, "[^0-9A-Za-z]", ""))).otherwise(i)
+        r = F.get(x["n"], F.pmod(nth, F.lit(64)))
         pick = lambda letters: F.substring(F.lit(letters), F.pmod(r, F.lit(len(letters))) + 1, F.lit(1))
-        return F.when(c.rlike("[0-9]"), pick(_DIGITS)).when(c.rlike("[a-z]"), pick(_LOWER)).when(c.rlike("[A-Z]"), pick(_UPPER)).otherwise(c)
+        return F.when(c.between("0", "9"), pick(_DIGITS)).when(c.between("a", "z"), pick(_LOWER)).when(c.between("A", "Z"), pick(_UPPER)).otherwise(c)
 
-    return let(F.struct(text.alias("t"), stream(seed, 4).alias("n")),
+    return let(F.struct(text.alias("t"), stream(seed, 2).alias("n"), text.rlike("[^0-9A-Za-z]").alias("spaced")),
                lambda x: F.array_join(F.transform(F.split(x["t"], ""), lambda c, i: letter(c, i, x)), ""))
 
 
@@ -103,9 +106,11 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     spelled = stored(entities.select("entity", kind_of(F.col("entity")).alias("kind")).distinct())
     real = spelled.select(canonical(F.col("entity"), F.col("kind")).alias("taken")).distinct()
     kept, waiting, attempt = None, spelled, 0
+    tasks = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
-        tried = waiting.withColumn("surrogate", surrogate(F.col("entity"), F.col("kind"), key, F.lit(attempt)))
-        tried = tried.withColumns({"who": canonical(F.col("entity"), F.col("kind")), "as": canonical(F.col("surrogate"), F.col("kind"))})
+        # made once, by all cores however few bytes the entities are
+        made = waiting.repartition(tasks, "entity").withColumn("surrogate", surrogate(F.col("entity"), F.col("kind"), key, F.lit(attempt)))
+        tried = stored(made).withColumns({"who": canonical(F.col("entity"), F.col("kind")), "as": canonical(F.col("surrogate"), F.col("kind"))})
         used = real if kept is None else real.union(kept.select(canonical(F.col("surrogate"), F.col("kind"))).distinct()).distinct()
         first = tried.groupBy("as").agg(F.min("who").alias("owner")).join(used, F.col("as") == F.col("taken"), "left_anti")
         settled = stored(tried.join(first.withColumnRenamed("as", "of"), (F.col("as") == F.col("of")) & (F.col("who") == F.col("owner")), "left"))
@@ -126,7 +131,7 @@ def with_surrogates(docs: DataFrame, key: str, text_col: str = "text") -> DataFr
     if "pii" in docs.columns:
         raise ValueError("a column pii is added here; rename yours")
     none = F.expr("cast(array() as array<struct<kind:string,surrogate:string,start:int,length:int>>)")
-    found = F.col(text_col).rlike(ANY)
+    found = F.col(text_col).rlike(NEEDED) & F.col(text_col).rlike(ANY)
     plain = docs.filter(~F.coalesce(found, F.lit(False))).withColumn("pii", none)
     hit = stored(docs.filter(found).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                                            F.regexp_extract_all(F.col(text_col), F.lit(ANY), F.lit(0)).alias("entities"))

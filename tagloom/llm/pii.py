@@ -16,17 +16,26 @@ from tagloom.llm.stored import stored
 
 #: What counts as an entity, in order of precedence.
 PATTERNS = {
-    "secret_pair": r"(?:password|passwd|pwd|secret|api_key|token)\s?[=:]\s?\"?[A-Za-z0-9_\-]{8,}\"?",
+    "secret_pair": r"(?i:password|passwd|pwd|secret|api[_\-]?key|token)[\"']?\s?[=:]\s?(?=[\"']?[^\s\"']*[\p{L}\p{N}])(?:\"[^\s\"]{8,}\"?|'[^\s']{8,}'?|[^\s\"']{8,}[\"']?)",
     "key_id": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,256}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}",
-    "phone": r"(?<![\w+])\+?\d{1,3}[ \-.]?\(\d{2,4}\)[ \-.]?\d{3}[ \-.]?\d{4}(?!\d)",
-    "card": r"(?<![\w.])\d{4}(?:[ \-]?\d{4}){3}(?!\w)",
+    # 16 digits; 13 to 19 from a card network's first digit, in groups of four or as printed on 13, 14, 15 and 19 digit cards
+    "card": (r"(?<![\w.])(?:[2-6]\d{3}(?:[ \-]?\d{4}){3}(?:[ \-]\d{3}|\d{1,3})|\d{4}(?:[ \-]?\d{4}){3}|[2-6]\d{3}(?:[ \-]?\d{4}){2}[ \-]?\d{1,3}"
+             r"|[2-6]\d{3}(?:[ \-]?\d{3}){3}|[2-6]\d{3}[ \-]?\d{6}[ \-]?\d{4,5}|[2-6]\d{5}[ \-]?\d{13}|1\d{3}[ \-]?\d{5}[ \-]?\d{6})(?!\w)"),
+    # with a bracketed area code; three groups joined by one mark; from + and the country code; from a trunk 0
+    "phone": (r"(?:(?:(?<![\w+])\+?\d{1,3}[ \-.]?)?\(\d{2,5}\)[ \-.]?\d{3,4}[ \-.]?\d{4}"
+              r"|(?<![\w+.\-])(?:1[ \-.])?[2-9]\d\d(?:-\d{3}-|\.\d{3}\.| \d{3} |[ \-.]?\d{3}-)\d{4}(?!-\d)"
+              r"|(?<![\w+])\+[1-9](?:(?:[ \-./]| ?\(|\)[ \-]?)?\d){6,14}"
+              r"|(?<![\w+.\-])(?:\(0\d{1,5}\)[ \-]?\d{3,4}[ \-]?\d{2,5}|0[1-9](?:(?: \d\d){4}|(?:\.\d\d){4}|(?:-\d\d){4}|\d{8,9})|0[1-9]\d{0,4}[ /\-]\d{3,4}[ \-]?\d{3,5}))(?!\d)"),
     "national_id": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])",
+    # the last group has one to four characters; a short one that stands alone ends on a digit, or on a currency where the country puts it there
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?=(?: ?[A-Z0-9]){11})(?: ?[A-Z0-9]{4}){2,7}(?:[A-Z0-9]{1,3}| [A-Z0-9]{0,2}\d| (?:UR|USD|SCR))?(?![A-Za-z0-9])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)",
     "name": r"(?<!\p{L})(?:Mr|Mrs|Ms|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? \p{Lu}\p{Ll}{1,30}(?: \p{Lu}\p{Ll}{1,30})?",
 }
 ANY = "|".join(PATTERNS.values())
+#: What stands before a secret's value.
+SECRET_PREFIX = r"^[A-Za-z_\-]+[\"']?\s?[=:]\s?[\"']?"
 #: What every entity has; it costs little to look for, and most texts have none of it.
 NEEDED = "[0-9@=:]|AKIA|M[rs]|Herr|Frau|Monsieur|Madame|Señor"
 #: Given names by what a title says of gender.
@@ -49,8 +58,9 @@ def kind_of(entity: Column) -> Column:
 
 
 def canonical(entity: Column, kind: Column) -> Column:
-    """What different spellings of one entity share: letters of an address lowered, separators left out."""
-    return (F.when(kind == "email", F.lower(entity)).when(kind.isin("phone", "card", "iban"), F.regexp_replace(entity, r"[ \-.()+]", ""))
+    """What different spellings of one entity share: letters of an address lowered, separators left out, of a secret its value."""
+    return (F.when(kind == "email", F.lower(entity)).when(kind.isin("phone", "card", "iban"), F.regexp_replace(entity, r"[ \-.()+/]", ""))
+            .when(kind == "secret_pair", F.regexp_replace(F.regexp_replace(entity, SECRET_PREFIX, ""), "[\"']$", ""))
             .otherwise(entity))
 
 
@@ -61,14 +71,16 @@ def stream(seed: Column, n: int) -> Column:
 
 
 def _mapped(text: Column, seed: Column) -> Column:
-    """Every ASCII digit and letter replaced by one of its class; other characters, and so the format, stay.
+    """Every ASCII digit and letter replaced by one of its class, any other letter or digit by a small letter; other
+    characters, and so the format, stay.
     The n-th digit or letter gets the same replacement however an entity is spaced."""
     def letter(c: Column, i: Column, x: Column) -> Column:
         before = F.substring(x["t"], F.lit(1), i)
         nth = F.when(x["spaced"], F.length(F.regexp_replace(before, "[^0-9A-Za-z]", ""))).otherwise(i)
         r = F.get(x["n"], F.pmod(nth, F.lit(64)))
         pick = lambda letters: F.substring(F.lit(letters), F.pmod(r, F.lit(len(letters))) + 1, F.lit(1))
-        return F.when(c.between("0", "9"), pick(_DIGITS)).when(c.between("a", "z"), pick(_LOWER)).when(c.between("A", "Z"), pick(_UPPER)).otherwise(c)
+        return (F.when(c.between("0", "9"), pick(_DIGITS)).when(c.between("a", "z"), pick(_LOWER)).when(c.between("A", "Z"), pick(_UPPER))
+                .when(c.rlike(r"[\p{L}\p{N}]"), pick(_LOWER)).otherwise(c))
 
     return let(F.struct(text.alias("t"), stream(seed, 2).alias("n"), text.rlike("[^0-9A-Za-z]").alias("spaced")),
                lambda x: F.array_join(F.transform(F.split(x["t"], ""), lambda c, i: letter(c, i, x)), ""))
@@ -82,9 +94,13 @@ def surrogate(entity: Column, kind: Column, key: str, attempt: Column) -> Column
     # a domain keeps its public end; the rest of the address changes
     local, host = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
     end = F.substring_index(host, ".", -1)
-    email = F.concat(part(local, "l"), F.lit("@"), part(F.substring(host, F.lit(1), F.length(host) - F.length(end) - 1), "h"), F.lit("."), end)
-    prefix = F.regexp_extract(entity, "^([A-Za-z_]+\\s?[=:]\\s?\"?)", 1)
-    secret = F.concat(prefix, part(F.substring(entity, F.length(prefix) + 1, F.length(entity)), "s"))
+    more = F.when(attempt < 6, F.lit("")).otherwise(F.substring(seed, F.lit(33), attempt - 5))  # short ones have few of their length
+    email = F.concat(part(local, "l"), more, F.lit("@"), part(F.substring(host, F.lit(1), F.length(host) - F.length(end) - 1), "h"), F.lit("."), end)
+    prefix, quote = F.regexp_extract(entity, SECRET_PREFIX, 0), F.regexp_extract(entity, "[\"']?$", 0)
+    secret = F.concat(prefix, part(canonical(entity, F.lit("secret_pair")), "s"), more, quote)
+    # the first digits say what form a number has
+    lead = F.regexp_extract(entity, r"^\D*(?:0\d|\d)", 0)
+    numbered = F.concat(lead, part(F.substring(entity, F.length(lead) + 1, F.length(entity)), "o"))
     key_id = F.concat(F.lit("AKIA"), part(F.substring(entity, F.lit(5), F.length(entity)), "k"))
     iban = F.concat(F.substring(entity, F.lit(1), F.lit(2)), part(F.substring(entity, F.lit(3), F.length(entity)), "b"))
     octet = lambda i: F.pmod(number(i, 1 << 31), F.lit(254)).cast("string") if i else (F.lit(1) + number(0, 223)).cast("string")
@@ -92,9 +108,10 @@ def surrogate(entity: Column, kind: Column, key: str, attempt: Column) -> Column
     words = F.split(entity, " ")
     pick = lambda names, i: F.get(F.array(*map(F.lit, names)), number(i, len(names)).cast("int"))
     given = F.when(entity.rlike(TITLES["female"]), pick(NAMES["female"], 1)).when(entity.rlike(TITLES["male"]), pick(NAMES["male"], 1)).otherwise(pick(NAMES["any"], 1))
-    more = F.when(attempt < 3, F.lit("")).otherwise(F.concat(F.lit("-"), pick(SURNAMES, 3)))  # more names than the lists have
-    name = F.concat_ws(" ", F.get(words, F.lit(0)), F.when(F.size(words) > 2, given), F.concat(pick(SURNAMES, 2), more))
+    second = F.when(attempt < 3, F.lit("")).otherwise(F.concat(F.lit("-"), pick(SURNAMES, 3)))  # more names than the lists have
+    name = F.concat_ws(" ", F.get(words, F.lit(0)), F.when(F.size(words) > 2, given), F.concat(pick(SURNAMES, 2), second))
     return (F.when(kind == "email", email).when(kind == "secret_pair", secret).when(kind == "key_id", key_id).when(kind == "iban", iban)
+            .when(kind.isin("phone", "card"), numbered)
             .when(kind == "ip", ip).when(kind == "name", name).otherwise(part(entity, "o")))
 
 

@@ -267,6 +267,36 @@ def test_surrogates_are_consistent_distinct_and_formatted(spark, docs, empty):
     assert pii.with_surrogates(empty, "k").count() == 0
 
 
+PLANTED = {
+    "secret_pair": ['TOKEN = "9233A8EC01B2C3D4"', "Password: hunter2!x#", "API_KEY=ab/cd+ef==12", "token='a.b-c_d~e9'", 'secret: "пароль-12345"'],
+    "phone": ["+1 (988) 555-2485", "(555) 123-4567", "555-123-4567", "555.123.4567", "1-555-123-4567", "+49 170 1234567", "+33 1 23 45 67 89", "+442079460958",
+              "+44 (0)20 7946 0958", "01 23 45 67 89", "0170 1234567", "030/12345678", "(030) 1234567", "020 7946 0958", "01701234567"],
+    "iban": ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "GB82 WEST 1234 5698 7654 32", "FR1420041010050500013M02606",
+             "FR14 2004 1010 0505 0001 3M02 606", "NL91ABNA0417164300", "NL91 ABNA 0417 1643 00", "BE68 5390 0754 7034", "NO93 8601 1117 947", "NO9386011117947"],
+    "card": ["4041894974608795", "4041 8949 7460 8795", "378282246310005", "3782 822463 10005", "30569309025904", "3056 930902 5904", "4222222222222",
+             "6304 0000 0000 0000 000", "6304000000000000000"],
+}
+NO_ENTITIES = ["On 01.02.2024 10:30 it was", "ISBN 9783161484100 of", "at 1700000000000 ms", "from 2024-01-02 12:30 on", "IN 2024 AND 2025", "token: ========= end",
+               "pages 100 200 300", "1.234.567 things", "no. 12345678"]
+
+
+def test_planted_entities_are_found_whole(spark):
+    planted = [(kind, e) for kind, found in PLANTED.items() for e in found]
+    rows = [(i, f"before this, {e} and after it") for i, (_, e) in enumerate(planted)] + [(1000 + i, text) for i, text in enumerate(NO_ENTITIES)]
+    got = {r.doc_id: r for r in pii.with_surrogates(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    for i, (kind, e) in enumerate(planted):
+        assert [x.kind for x in got[i].pii] == [kind] and got[i].pii[0].length == len(e), (e, got[i].text)
+        assert got[i].text.startswith("before this, ") and got[i].text.endswith(" and after it") and e not in got[i].text
+        new = got[i].pii[0].surrogate
+        assert kind == "secret_pair" or [c.isdigit() for c in new] == [c.isdigit() for c in e] and regex.fullmatch(pii.PATTERNS[kind], new), (e, new)
+    for i, text in enumerate(NO_ENTITIES):
+        assert got[1000 + i].text == text and not got[1000 + i].pii
+    # one value has one surrogate, however its key word is written, and short addresses do not run out
+    same = spark.createDataFrame([(1, "Token=abcdefgh1 or PWD: abcdefgh1"), *((2 + i, f"{chr(97 + i % 26)}@{chr(97 + i // 26)}.de") for i in range(676))], "doc_id long, text string")
+    back = {r.doc_id: r for r in pii.with_surrogates(same, "k").collect()}
+    assert len({x.surrogate[-9:] for x in back[1].pii}) == 1 and len({r.text for i, r in back.items() if i > 1}) == 676
+
+
 def test_many_names_stay_distinct(spark):
     rows = [(i, f"Mr Xa{chr(97 + i % 26)}{chr(97 + i // 26)} Yb{chr(97 + i % 26)}") for i in range(400)]
     got = pii.with_surrogates(spark.createDataFrame(rows, "doc_id long, text string"), "k").select(F.explode("pii").alias("e")).select("e.surrogate")

@@ -48,6 +48,8 @@ NAMES = {
 TITLES = {"female": r"^(?:Mrs|Ms|Frau|Madame|Señora)\b", "male": r"^(?:Mr|Herr|Monsieur|Señor)\b"}
 SURNAMES = ["Arden", "Bellin", "Corvo", "Dalmas", "Ebner", "Ferro", "Galen", "Holt", "Irving", "Jansen", "Keller", "Lorenz",
             "Marin", "Navas", "Orlov", "Perrin", "Quint", "Rossi", "Sander", "Tilden", "Ulrich", "Varga", "Winter", "Zeller"]
+#: What made-up names consist of.
+ONSETS, NUCLEI, LISTED, MOST_SYLLABLES = ["b", "d", "f", "g", "k", "l", "m", "n", "p", "r", "s", "t", "v", "z"], ["a", "e", "i", "o", "u"], 2, 14
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -86,6 +88,14 @@ def _mapped(text: Column, seed: Column) -> Column:
                lambda x: F.array_join(F.transform(F.split(x["t"], ""), lambda c, i: letter(c, i, x)), ""))
 
 
+def made_up(seed: Column, attempt: Column) -> Column:
+    """A name of syllables; each attempt has one more, so names never run out."""
+    n = F.least(attempt + (3 - LISTED), F.lit(MOST_SYLLABLES)).cast("int")
+    pick = lambda parts, r: F.get(F.array(*map(F.lit, parts)), F.pmod(r, F.lit(len(parts))))
+    return let(stream(seed, 1), lambda r: F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(
+        pick(ONSETS, F.get(r, i * 2)), pick(NUCLEI, F.get(r, i * 2 + 1)))), "")))
+
+
 def surrogate(entity: Column, kind: Column, key: str, attempt: Column) -> Column:
     """A replacement of the same type and format, from the key, the entity and the number of the attempt."""
     seed = F.sha2(F.concat_ws("|", F.lit(key), kind, canonical(entity, kind), attempt.cast("string")), 256)
@@ -108,8 +118,8 @@ def surrogate(entity: Column, kind: Column, key: str, attempt: Column) -> Column
     words = F.split(entity, " ")
     pick = lambda names, i: F.get(F.array(*map(F.lit, names)), number(i, len(names)).cast("int"))
     given = F.when(entity.rlike(TITLES["female"]), pick(NAMES["female"], 1)).when(entity.rlike(TITLES["male"]), pick(NAMES["male"], 1)).otherwise(pick(NAMES["any"], 1))
-    second = F.when(attempt < 3, F.lit("")).otherwise(F.concat(F.lit("-"), pick(SURNAMES, 3)))  # more names than the lists have
-    name = F.concat_ws(" ", F.get(words, F.lit(0)), F.when(F.size(words) > 2, given), F.concat(pick(SURNAMES, 2), second))
+    surname = F.when(attempt < LISTED, pick(SURNAMES, 2)).otherwise(made_up(F.concat(seed, F.lit("n")), attempt))
+    name = F.concat_ws(" ", F.get(words, F.lit(0)), F.when(F.size(words) > 2, given), surname)
     return (F.when(kind == "email", email).when(kind == "secret_pair", secret).when(kind == "key_id", key_id).when(kind == "iban", iban)
             .when(kind.isin("phone", "card"), numbered)
             .when(kind == "ip", ip).when(kind == "name", name).otherwise(part(entity, "o")))

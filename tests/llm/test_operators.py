@@ -303,6 +303,13 @@ def test_many_names_stay_distinct(spark):
     assert got.distinct().count() == 400
 
 
+def test_names_never_run_out(spark):
+    rows = [(i, "Mr. Q" + "".join(chr(97 + i // 26 ** k % 26) for k in range(3))) for i in range(3000)]
+    got = pii.with_surrogates(spark.createDataFrame(rows, "doc_id long, text string"), "k").select("text", F.explode("pii").alias("e")).collect()
+    assert len({r.text for r in got}) == len(got) == 3000 and not {r.text for r in got} & {text for _, text in rows}
+    assert all(r.e.kind == "name" and regex.fullmatch(pii.PATTERNS["name"], r.text) for r in got)
+
+
 # WARC
 
 def test_derived_records(spark):

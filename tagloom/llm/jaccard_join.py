@@ -4,7 +4,8 @@ A document is the set of its five-word shingles, embedded as ``SIZE`` min-hashes
 tree: a node samples coordinates, each with probability 1 / (threshold * SIZE), and sends a set to the
 child named by its value there, so similar sets go the same way.  Small buckets are compared by brute
 force; large ones are dealt in chunks, each chunk keeps one set for every cluster it finds, and what is
-kept is split again at the next level.  Runs repeat until the recall asked for.
+kept is split again at the next level.  Runs repeat until the recall asked for; where buckets were split more
+than twice, their sets get further runs, until there are enough for the depth reached.
 
 Sets that met and look alike are candidates.  Their connected clusters are then compared exactly, all
 pairs of a cluster in blocks that give counts and spanning links, never lists of pairs.
@@ -32,6 +33,20 @@ def runs_for(recall: float, levels: int = 2) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - one))
 
 
+def runs_at(recall: float, levels: int, threshold: float) -> int:
+    """The least number of runs that find a pair at the threshold with this probability, if a run must lead it
+    through ``levels`` nodes: the mean over how many coordinates it has equal, each of which a node samples and
+    follows on its own."""
+    weight = [math.comb(SIZE, a) * threshold**a * (1 - threshold)**(SIZE - a) for a in range(SIZE + 1)]
+    passed = [1.0] * (SIZE + 1)
+    for _ in range(levels):
+        passed = [1 - (1 - x / max(1.0, threshold * SIZE))**a for a, x in enumerate(passed)]
+    runs = 1
+    while sum(w * (1 - x)**runs for w, x in zip(weight, passed)) > 1 - recall:
+        runs += 1
+    return runs
+
+
 def sampled(threshold: float, *node: np.ndarray | int) -> np.ndarray:
     """Which coordinates a node samples: a row of ``SIZE`` booleans for each node."""
     h = np.uint64(0x9E3779B97F4A7C15)
@@ -157,24 +172,56 @@ def clustered(rows: DataFrame, alike: int, threshold: float) -> DataFrame:
     return rows.mapInArrow(compare, "rep long, root long, path long")
 
 
-def candidates(sets: DataFrame, threshold: float, alike: int) -> DataFrame:
-    """``a, b``: links between sets that met in a bucket and have ``alike`` equal sketch bytes or more."""
-    links, level = None, 0
-    active = sets.select("rep", F.explode("paths").alias("path"))
-    sketches = sets.select("rep", "sketch")
+def started(sets: DataFrame, threshold: float, runs: range) -> DataFrame:
+    """``rep, path``: the nodes below the roots of further runs, named by sketch bytes."""
+    chosen = [(r, np.flatnonzero(sampled(threshold, r, 0))) for r in runs]
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SIZE)
+            for r, at in chosen:
+                if len(at):
+                    paths = np.stack([children(r, i, sketch[:, i]) for i in at], 1)
+                    yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(np.repeat(np.arange(len(sketch)), len(at)))), pa.array(paths.ravel().view(np.int64))],
+                                                     ["rep", "path"])
+
+    return sets.select("rep", "sketch").mapInArrow(start, "rep long, path long")
+
+
+def descended(active: DataFrame, sketches: DataFrame, threshold: float, alike: int) -> tuple[DataFrame, int, DataFrame | None]:
+    """Links found on and below the nodes of ``active``, how many levels they took, and, if over two, the sets in
+    buckets that were split at the second."""
+    links, level, deep = None, 0, None
     while True:
         sizes = active.groupBy("path").agg(F.count("*").alias("c")).filter("c > 1")
         rows = (active.join(sizes, "path").join(sketches, "rep")
                 .select("rep", "sketch", "path", (F.col("c") > BUCKET).alias("large"),
-                        F.when(F.col("c") <= BUCKET, 0).otherwise(F.pmod(F.xxhash64("rep", F.lit(level)), F.ceil(F.col("c") / (BUCKET / 2)))).cast("long").alias("chunk")))
+                        F.when(F.col("c") <= BUCKET, 0).otherwise(F.pmod(F.xxhash64("rep", "path"), F.ceil(F.col("c") / (BUCKET / 2)))).cast("long").alias("chunk")))
         dealt = rows.repartition("path", "chunk").sortWithinPartitions("path", "chunk", "rep")
         found = stored(clustered(dealt, alike, threshold))
         here = found.filter("root is not null").select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct()
         links = here if links is None else links.unionByName(here)
-        active = found.filter("path is not null").select("rep", "path").distinct()
+        onward = found.filter("path is not null").select("rep", "path").distinct()
         level += 1
-        if active.isEmpty():
-            return links.distinct()
+        if onward.isEmpty():
+            return links, level, deep
+        if level == 2:
+            deep = stored(active.join(sizes.filter(F.col("c") > BUCKET), "path").select("rep").distinct())
+        active = onward
+
+
+def candidates(sets: DataFrame, threshold: float, alike: int, recall: float, runs: int) -> DataFrame:
+    """``a, b``: links between sets that met in a bucket and have ``alike`` equal sketch bytes or more.
+
+    ``runs`` are enough for two levels.  Sets in buckets that took more get as many runs as these levels need.
+    """
+    sketches = sets.select("rep", "sketch")
+    links, levels, deep = descended(sets.select("rep", F.explode("paths").alias("path")), sketches, threshold, alike)
+    while deep is not None and runs_at(recall, levels, threshold) > runs:
+        more = range(runs, runs_at(recall, levels, threshold))
+        again, reached, _ = descended(stored(started(sketches.join(deep, "rep"), threshold, more)), sketches, threshold, alike)
+        links, levels, runs = links.unionByName(again), max(levels, reached), more.stop
+    return links.distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -270,9 +317,10 @@ def similarity_classes(docs: DataFrame, threshold: float = 0.8, recall: float =
     stays null; its class is the least id of the others, or null.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = stored(embedded(texts, threshold, runs_for(recall)))
+    runs = runs_for(recall)
+    rows = stored(embedded(texts, threshold, runs))
     sets = stored(rows.groupBy("rep").agg(F.min("id").alias("chosen"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")))
-    links = candidates(sets, threshold, math.floor(SIZE * (threshold - 0.2)))
+    links = candidates(sets, threshold, math.floor(SIZE * (threshold - 0.2)), recall, runs)
     clusters = components(links)
     sizes = clusters.groupBy("label").agg(F.count("*").alias("m"))
     members = stored(clusters.join(sizes, "label").join(sets.select("rep", "chosen", "copies"), F.col("v") == F.col("rep"))

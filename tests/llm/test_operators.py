@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import regex
@@ -240,6 +241,33 @@ def test_large_groups_are_split_and_lose_no_link(spark, monkeypatch):
     assert {got[i].class_id for i in range(150)} == {0} and all(got[1000 + i].class_id == 1000 + i for i in range(60))
 
 
+def test_runs_follow_the_depth(spark, monkeypatch):
+    # by simulation: two sketches with each byte equal by chance 0.8 pass so many nodes together in one run at least
+    rng, passed = np.random.default_rng(1), np.zeros(5)
+    for n in range(3000):
+        same, nodes = rng.random(jaccard_join.SIZE) < 0.8, np.array([n], np.uint64)
+        for level in range(5):
+            who, at = np.nonzero(jaccard_join.sampled(0.8, nodes) & same)
+            nodes = jaccard_join.children(nodes[who], at, 1)
+            passed[level] += len(nodes) > 0
+    for level in range(5):
+        runs = jaccard_join.runs_at(0.999, level + 1, 0.8)
+        assert (1 - passed[level] / 3000) ** runs < 0.002 and runs > 4 * (level + 1)
+    assert jaccard_join.runs_at(0.999, 3, 0.8) > jaccard_join.runs_for(0.999)
+    # sets in buckets that were split at five levels get the runs of five levels, the others no more
+    asked = []
+
+    def descended(active, sketches, threshold, alike):
+        asked.append({r.rep: r.n for r in active.groupBy("rep").agg(F.count("*").alias("n")).collect()})
+        return spark.createDataFrame([(1, 2 + len(asked))], "a long, b long"), 5, spark.createDataFrame([(1,), (3,)], "rep long")
+
+    monkeypatch.setattr(jaccard_join, "descended", descended)
+    sets = spark.createDataFrame([(i, bytes(range(64)), [i]) for i in range(4)], "rep long, sketch binary, paths array<long>")
+    links = jaccard_join.candidates(sets, 0.8, 38, 0.999, 14)
+    nodes = sum(int(jaccard_join.sampled(0.8, r, 0).sum()) for r in range(14, jaccard_join.runs_at(0.999, 5, 0.8)))
+    assert asked == [{0: 1, 1: 1, 2: 1, 3: 1}, {1: nodes, 3: nodes}] and sorted(r.b for r in links.collect()) == [3, 4]
+
+
 # surrogates
 
 def test_surrogates_are_consistent_distinct_and_formatted(spark, docs, empty):

@@ -10,7 +10,14 @@ from tagloom.plans.views import cte, table, view
 BOTH = cte("source_a", "source_b")
 
 
+def whole_sides(spark, sf):
+    """Both sources with all their products."""
+    none = F.create_map().cast("map<string,string>")
+    return tuple(view(spark, sf, name).drop("keep").withColumn("specifications", none) for name in ("source_a", "source_b"))
+
+
 def sides(spark, sf):
+    """The halves of both sources that the SQL of the equal names compares."""
     a = view(spark, sf, "source_a").filter("keep").drop("keep")
     b = view(spark, sf, "source_b").filter("keep").drop("keep")
     none = F.create_map().cast("map<string,string>")
@@ -62,11 +69,10 @@ def q_equal(spark, sf):
 @query("product_matches")
 def q_matches(spark, sf):
     """All methods, near names included."""
-    return P.match_products(*sides(spark, sf)).withColumn("match_score", F.round("match_score", 6))
+    return P.match_products(*whole_sides(spark, sf)).withColumn("match_score", F.round("match_score", 6))
 
 
-def unified(spark, sf):
-    a, b = sides(spark, sf)
+def unified(a, b):
     return P.unify(P.match_products(a, b), a, b, "shop-a", "shop-b")
 
 
@@ -75,13 +81,13 @@ SELECT substr(md5(a.brand || '_' || a.title), 1, 16) AS product_id, a.title AS n
 FROM source_a a JOIN b ON b.name = {NORM.format('a.title')} JOIN source_b x ON x.ord = b.first WHERE a.keep""")
 def q_unified_equal(spark, sf):
     """The products that SQL can tell, those unified by equal names."""
-    return _unified_row(unified(spark, sf).filter("match_score = 1.0"))
+    return _unified_row(unified(*sides(spark, sf)).filter("match_score = 1.0"))
 
 
 @query("unified_products")
 def q_unified(spark, sf):
     """J11 over every accepted match."""
-    return _unified_row(unified(spark, sf))
+    return _unified_row(unified(*whole_sides(spark, sf)))
 
 
 def _unified_row(products):

@@ -346,13 +346,15 @@ def similarity_classes(docs: DataFrame, threshold: float = 0.8, recall: float =
 def one_of_each(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without all but one of each class: the one with the least id stays; columns as they are.
 
-    A row with a null id stays, as nothing names it.  Rows that share an id are told apart by their texts: of
-    equal ones, one stays.
+    A row with a null id stays, as nothing names it.  Rows are named by id and a hash of the text together, so
+    rows that share an id are judged each by its own text: of equal or similar ones, one stays.
     """
-    classes = similarity_classes(docs, threshold, recall, id_col, text_col).filter(F.col(id_col).isNotNull())
-    odd = (classes.groupBy(F.col(id_col).alias("odd_id")).agg(F.max(F.col(id_col) != F.col("class_id")).alias("gone"), (F.count("*") > 1).alias("again"))
-           .filter("gone or again"))
-    joined = docs.join(odd, F.col(id_col) == F.col("odd_id"), "left").filter(~F.coalesce("gone", F.lit(False)))
+    key = F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h")))
+    keyed = docs.select(key.alias("row_key"), F.col(text_col).alias("text"))
+    classes = similarity_classes(keyed, threshold, recall, "row_key", "text").filter("row_key is not null")
+    odd = (classes.groupBy("row_key").agg(F.max(F.col("row_key") != F.col("class_id")).alias("gone"), (F.count("*") > 1).alias("again"))
+           .filter("gone or again").select(F.col("row_key.id").alias("odd_id"), F.col("row_key.h").alias("odd_h"), "gone", "again"))
+    joined = docs.join(odd, (F.col(id_col) == F.col("odd_id")) & (F.xxhash64(F.col(text_col)) == F.col("odd_h")), "left").filter(~F.coalesce("gone", F.lit(False)))
     again = F.coalesce("again", F.lit(False))
     once = joined.filter(again).dropDuplicates([id_col, text_col])
     return joined.filter(~again).unionByName(once).select(*[F.col(f"`{c}`") for c in docs.columns])

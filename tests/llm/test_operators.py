@@ -225,6 +225,13 @@ def test_classes_and_links_equal_brute_force(spark, docs, empty):
     assert jaccard_join.similarity_classes(empty).count() == 0
 
 
+def test_a_unique_text_with_a_repeated_id_stays(spark):
+    base = prose(21, 150)
+    rows = [(1, base), (2, base + " more"), (2, prose(22, 150)), (2, prose(22, 150)), (3, prose(22, 150) + " end"), (None, base)]
+    kept = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in kept) == collections.Counter([rows[0], rows[2], rows[5]])
+
+
 def test_large_groups_are_split_and_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BUCKET", 16)
     monkeypatch.setattr(jaccard_join, "BLOCK", 32)

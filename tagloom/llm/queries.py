@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagloom.llm import chat, decontaminate, jaccard_join, lm_score, packing, pii, quality, substring_dedup, token_counts, warc
+from tagloom.llm import chat, decontaminate, jaccard_join, lm_score, packing, pii, quality, simhash, substring_dedup, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -94,6 +94,12 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their fingerprint and their component at 4 or fewer differing bits."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 # The same rows in SQL, where SQL can state them; ids tell rows apart in the given tables.
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

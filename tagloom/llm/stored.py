@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from tagloom.session import shared_dir
 
@@ -13,3 +13,18 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Keys that more than one in so many rows have are few by arithmetic, whatever the data: their rows may be broadcast.
+HEAVY = 1000
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, how: str = "left") -> DataFrame:
+    """``left`` joined (``how``: left or inner) to ``right``, which has one row for each value of ``key`` and, as ``count``, how many
+    rows of ``left`` have it; ``count`` stays out.  The rows of a heavy key, of which there are ``HEAVY`` at most, meet
+    their one partner by broadcast wherever they are; only the others are dealt by key.  Both are read twice, so
+    both should be stored."""
+    limit = left.count() / HEAVY
+    heavy = F.broadcast(right.filter(F.col(count) > limit).drop(count))
+    light = right.filter(F.col(count) <= limit).drop(count)
+    return left.join(heavy, key).unionByName(left.join(heavy.select(key), key, "left_anti").join(light, key, how))

@@ -40,23 +40,26 @@ def tokenise(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary, False, keep_space)
-        for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(at, TEXTS)
-                rows, number, starts, lengths, ids = [], [], [], [], []
-                texts = [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]
-                for row, found in enumerate(encode.texts(texts)):
-                    found += end
-                    for piece, low in enumerate(range(0, len(found), 4 * capacity)):
-                        body = found[low:low + 4 * capacity]
-                        rows.append(row)
-                        number.append(piece)
-                        starts.append(low // 4)
-                        lengths.append(len(body) // 4)
-                        ids.append(body)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(rows, pa.int32())), pa.array(number, pa.int32()), pa.array(starts, pa.int64()),
-                     pa.array(lengths, pa.int64()), pa.array(ids, pa.binary())], ["id", "piece", "start", "length", "ids"])
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, TEXTS):
+                    part = batch.slice(at, TEXTS)
+                    rows, number, starts, lengths, ids = [], [], [], [], []
+                    texts = [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]
+                    for row, found in enumerate(encode.texts(texts)):
+                        found += end
+                        for piece, low in enumerate(range(0, len(found), 4 * capacity)):
+                            body = found[low:low + 4 * capacity]
+                            rows.append(row)
+                            number.append(piece)
+                            starts.append(low // 4)
+                            lengths.append(len(body) // 4)
+                            ids.append(body)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0).take(pa.array(rows, pa.int32())), pa.array(number, pa.int32()), pa.array(starts, pa.int64()),
+                         pa.array(lengths, pa.int64()), pa.array(ids, pa.binary())], ["id", "piece", "start", "length", "ids"])
+        finally:
+            encode.forget()
 
     got = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(pieces, schema)
     return got.withColumnRenamed("id", id_col)

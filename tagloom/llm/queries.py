@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagloom.llm import chat, decontaminate, jaccard_join, lm_score, packing, pii, quality, simhash, substring_dedup, token_counts, warc
+from tagloom.llm import alignment, chat, decontaminate, filter_audit, jaccard_join, lm_score, packing, pii, quality, simhash, substring_dedup, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -94,6 +94,18 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over all documents in all 120 orders, by source."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the byte-level and the piece tokens of all documents."""
+    return alignment.align_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their fingerprint and their component at 4 or fewer differing bits."""
@@ -132,3 +144,23 @@ twice AS (SELECT k FROM k GROUP BY k HAVING count(*) > 1), gone AS (SELECT DISTI
 words AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS word FROM d),
 kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY word) AS s FROM words ANTI JOIN gone USING (doc_id, word) GROUP BY 1)
 SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
+CHECKS["op11_filter_audit"] = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+m AS (SELECT doc_id, part, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, length(text) AS n, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS caps,
+ regexp_matches(text, '[#$%&*|]') AS marked, doc_id > min(doc_id) OVER (PARTITION BY text) AS again FROM t),
+d AS (SELECT doc_id, part, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * caps > 5 * n, marked, again] AS fails,
+ doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS toxic FROM m),
+g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM d GROUP BY ALL),
+l AS (SELECT unnest(range(1, 6)) AS i),
+o AS (SELECT [a.i, b.i, c.i, e.i, f.i] AS o FROM l a, l b, l c, l e, l f WHERE len(list_distinct([a.i, b.i, c.i, e.i, f.i])) = 5),
+s AS (SELECT o, l.i AS step FROM o, l),
+r AS (SELECT part, array_to_string([chr((64 + x)::INT) for x in o], '') AS filter_order, step, o[step] AS f,
+ list_bool_or([fails[x] for x in o[1:step]]) AS out, list_bool_or([false] || [fails[x] for x in o[1:step - 1]]) AS earlier,
+ fails[o[step]] AS failing, len([x for x in fails if x]) = 1 AS alone, n, good, toxic FROM g, s),
+k AS (SELECT part, filter_order, step, any_value(f) AS f, sum(n) FILTER (NOT out) AS kept, sum(n) FILTER (failing AND NOT earlier) AS removed,
+ sum(n) FILTER (failing AND earlier) AS redundant, sum(n) FILTER (failing AND alone) AS unique_fails, sum(good) FILTER (failing AND NOT earlier) AS good_lost,
+ sum(toxic) FILTER (failing AND NOT earlier) AS toxic_lost FROM r GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+ coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+ coalesce(sum(removed) OVER (PARTITION BY part, f), 0)::BIGINT AS shapley FROM k"""

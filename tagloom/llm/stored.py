@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, functions as F
 from tagloom.session import shared_dir
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as a table there and read again: no lineage, and any column can be read alone."""
+def stored(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` written as a table there and read again: no lineage, and any column can be read alone; with columns ``by``,
+    rows with equal values of them lie in a folder of their own."""
     path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

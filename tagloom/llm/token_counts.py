@@ -46,11 +46,14 @@ def encode_misses(misses: DataFrame, vocabulary: str, keep_space: bool) -> DataF
     """``digest, n_tokens`` of rows ``digest, text``."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary, True, keep_space)
-        for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(at, TEXTS)
-                counts = encode.texts(part.column(1).cast(pa.binary()).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, TEXTS):
+                    part = batch.slice(at, TEXTS)
+                    counts = encode.texts(part.column(1).cast(pa.binary()).to_pylist())
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
+        finally:
+            encode.forget()
 
     return misses.select("digest", "text").mapInArrow(count, "digest binary, n_tokens long")
 

@@ -1,14 +1,17 @@
-"""Exact token ids and counts of whole texts, encoding every distinct piece once per worker.
+"""Exact token ids and counts of whole texts, encoding frequent pieces once per task.
 
 A text is cut at ASCII white space, where neither vocabulary lets a token cross; pieces seen before are
 looked up, the rest are encoded by the tokenizers library in one batch.  Texts with other white space or
-control separators are encoded whole, so no assumption is made about them.
+control separators are encoded whole, so no assumption is made about them.  The memory of pieces is bounded in
+bytes and ends with the task: Python workers live on, and what they kept would lie beside the next stage's.
 """
 from __future__ import annotations
 
 import gc
 import os
 import re
+from collections import deque
+from collections.abc import Iterable
 
 import numpy as np
 
@@ -18,7 +21,9 @@ _ODD_SPACE = re.compile(rb"[\x1c-\x1f\xc2\xe1-\xe3\xef](?:(?<=[\x1c-\x1f])|(?<=\
                         rb"|(?<=\xe2)(?:\x80[\x80-\xaf]|\x81[\x9f-\xa4])|(?<=\xe3)\x80\x80|(?<=\xef)\xbb\xbf)")
 TEXTS = 1024  # encoded together: the more, the fewer looks at the pieces known
 _STOPS = b".,;:!?"
-CACHED_PIECES, LONG_PIECE = 1_000_000, 4096
+KNOWN_BYTES, LONG_PIECE = 40 << 20, 4096
+ENTRY_BYTES = 170  # of an entry beside its key's and its value's characters: two objects and a place in the dictionary
+RECENT = 4  # batches whose pieces stay when the memory is full
 #: A stop between an ASCII letter and white space; blanks before it change no id where white space is dropped.
 _STOP_APART = re.compile(rb"[.,;:!?](?<=[a-z].)(?=[\t-\r ]|\Z)")
 _open: dict[tuple, Encoder] = {}
@@ -35,6 +40,17 @@ class Encoder:
         self.between_id, self.between = max((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items())
         self.known: dict[bytes, bytes | int] = {}  # pieces
         self.parts: dict[bytes, bytes | int] = {}  # words without stops, and stops
+        self.known_bytes = self.parts_bytes = 0
+        self.recent: deque[set[bytes]] = deque(maxlen=RECENT)
+
+    def forget(self) -> None:
+        self.known, self.parts, self.known_bytes, self.parts_bytes = {}, {}, 0, 0
+        self.recent.clear()
+
+    def _size(self, entries: Iterable[tuple[bytes, bytes | int]]) -> int:
+        if self.counts:
+            return sum(ENTRY_BYTES + len(k) for k, _ in entries)
+        return sum(ENTRY_BYTES + len(k) + len(v) for k, v in entries)
 
     def _encoded(self, texts: list[bytes]) -> list:
         """Each text by itself: a special token, which never merges with its neighbours, stands between them."""
@@ -73,13 +89,16 @@ class Encoder:
         apart = [p for p in parts if b"<|" in p[0]]
         parts = [p for p in parts if b"<|" not in p[0]] if apart else parts
         need = list({w for _, w, _ in parts}.union(s for _, _, s in parts).difference(self.parts))
-        if len(self.parts) + len(need) > CACHED_PIECES:
-            self.parts = {}
+        if self.parts_bytes > KNOWN_BYTES:
+            self.parts, self.parts_bytes = {}, 0
             need = list({w for _, w, _ in parts}.union(s for _, _, s in parts))
-        self.parts.update(zip(need, self._encoded(need)))
+        learnt = list(zip(need, self._encoded(need)))
+        self.parts.update(learnt)
+        self.parts_bytes += self._size(learnt)
         get = self.parts.__getitem__
-        self.known.update((piece, get(word) + get(stops)) for piece, word, stops in parts)
-        self.known.update((piece, self._whole(piece)) for piece, _, _ in apart)
+        learnt = [(piece, get(word) + get(stops)) for piece, word, stops in parts] + [(piece, self._whole(piece)) for piece, _, _ in apart]
+        self.known.update(learnt)
+        self.known_bytes += self._size(learnt)
 
     def _pieces(self, text: bytes) -> list[bytes]:
         if self.keep_space:
@@ -94,11 +113,13 @@ class Encoder:
         try:
             whole = {t for t in texts if _ODD_SPACE.search(t)}
             cut = [[t] if t in whole else self._pieces(t) for t in texts]
-            new = set().union(*cut).difference(self.known)
-            if len(self.known) + len(new) > CACHED_PIECES:
-                self.known = {}
-                new = set().union(*cut)
-            whole.update(p for p in new if len(p) > LONG_PIECE)
+            pieces = set().union(*cut)
+            whole.update(p for p in pieces if len(p) > LONG_PIECE)
+            self.recent.append(pieces.difference(whole))
+            if self.known_bytes > KNOWN_BYTES:  # frequent pieces are in recent batches too
+                kept = [(p, self.known[p]) for p in set().union(*self.recent).intersection(self.known)]
+                self.known, self.known_bytes = dict(kept), self._size(kept)
+            new = pieces.difference(self.known)
             self._learn(list(new.difference(whole)))
             self.known.update((p, self._whole(p)) for p in whole)
             get = self.known.__getitem__
@@ -111,7 +132,8 @@ class Encoder:
 
 
 def encoder(path: str, counts: bool, keep_space: bool) -> Encoder:
-    """The worker's encoder; Python workers serve many tasks, so pieces stay known among them."""
+    """The worker's encoder.  Its tables stay for the next task; the pieces it learns go by :meth:`Encoder.forget`,
+    which every user calls in the end."""
     key = (path, counts, keep_space)
     if key not in _open:
         _open.clear()

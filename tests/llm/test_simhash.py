@@ -89,10 +89,11 @@ def test_links_connect_what_pairs_connect_in_any_block_size(spark):
         assert [values[r] for r in root] == want
 
 
-def test_planted_copies_share_a_component(spark):
+def test_copies_in_another_case_or_spacing_share_a_component(spark):
+    upper = str.maketrans({chr(i): chr(i - 32) for i in range(97, 123)})
     rows = []
     for i in range(20):
-        words = prose(100 + i, 3000).split()
-        rows += [(10 * i, " ".join(words)), (10 * i + 1, " ".join(words[:1500] + ["new"] + words[1500:])), (10 * i + 2, " ".join(words).upper())]
+        words = prose(100 + i, 800).split()
+        rows += [(10 * i, " ".join(words)), (10 * i + 1, "\n".join(words)), (10 * i + 2, " ".join(words).translate(upper))]
     out = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(out[i] == i - i % 10 for i in out)

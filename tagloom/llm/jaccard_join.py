@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tagloom.llm.stored import stored
+from tagloom.llm.stored import join_counted, likely_in, stored
 from tagloom.llm.words import LOWER, NOT_SPACE, Words, mixed, span_hashes, window_hashes, word_chunks
 
 SIZE, WORDS = 64, 5
@@ -325,7 +325,8 @@ def similarity_classes(docs: DataFrame, threshold: float = 0.8, recall: float =
     sizes = clusters.groupBy("label").agg(F.count("*").alias("m"))
     members = stored(clusters.join(sizes, "label").join(sets.select("rep", "chosen", "copies"), F.col("v") == F.col("rep"))
                      .select("rep", "copies", "chosen", F.col("label").alias("cluster"), F.ceil(F.col("m") / BLOCK).cast("long").alias("blocks")))
-    found = shingle_sets(texts.join(members, F.col("id").eqNullSafe(F.col("chosen"))).select("rep", "copies", "cluster", "blocks", "text"))
+    near = likely_in(texts, members, F.col("id"), F.col("chosen"))  # few texts are in clusters; the others need not move
+    found = shingle_sets(near.join(members, F.col("id").eqNullSafe(F.col("chosen"))).select("rep", "copies", "cluster", "blocks", "text"))
     own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
     dealt = (found.withColumn("block", own).withColumn("peer", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
              .withColumn("one", F.least("block", "peer")).withColumn("other", F.greatest("block", "peer"))
@@ -337,8 +338,8 @@ def similarity_classes(docs: DataFrame, threshold: float = 0.8, recall: float =
              .select("rep", F.coalesce("label", "rep").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     known = stored(known)
     least = sets.join(known, "rep").groupBy("label").agg(F.min("chosen").alias("class_id"))
-    by_rep = known.join(least, "label").select("rep", "class_id", "n_links")
-    worded = rows.select("id", "rep").join(by_rep, "rep").select("id", "class_id", "n_links")
+    by_rep = stored(known.join(sets.select("rep", "copies"), "rep").join(least, "label").select("rep", "copies", "class_id", "n_links"))
+    worded = join_counted(rows.select("id", "rep"), by_rep, "rep", "copies", "inner").select("id", "class_id", "n_links")
     wordless = texts.filter(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return worded.unionByName(wordless).withColumnRenamed("id", id_col)
 
@@ -353,8 +354,10 @@ def one_of_each(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999,
     keyed = docs.select(key.alias("row_key"), F.col(text_col).alias("text"))
     classes = similarity_classes(keyed, threshold, recall, "row_key", "text").filter("row_key is not null")
     odd = (classes.groupBy("row_key").agg(F.max(F.col("row_key") != F.col("class_id")).alias("gone"), (F.count("*") > 1).alias("again"))
-           .filter("gone or again").select(F.col("row_key.id").alias("odd_id"), F.col("row_key.h").alias("odd_h"), "gone", "again"))
-    joined = docs.join(odd, (F.col(id_col) == F.col("odd_id")) & (F.xxhash64(F.col(text_col)) == F.col("odd_h")), "left").filter(~F.coalesce("gone", F.lit(False)))
-    again = F.coalesce("again", F.lit(False))
-    once = joined.filter(again).dropDuplicates([id_col, text_col])
-    return joined.filter(~again).unionByName(once).select(*[F.col(f"`{c}`") for c in docs.columns])
+           .filter("gone or again").select(F.struct("row_key", "gone", "again").alias("odd")))
+    # the caller's columns may have any names, so they stay in a struct of their own
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("own_key"))
+    joined = held.join(odd, F.col("own_key") == F.col("odd.row_key"), "left").filter(~F.coalesce("odd.gone", F.lit(False)))
+    again = F.coalesce("odd.again", F.lit(False))
+    once = joined.filter(again).dropDuplicates(["own_key"])
+    return joined.filter(~again).unionByName(once).select("row.*")

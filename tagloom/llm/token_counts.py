@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tagloom.llm.stored import join_counted, stored
 from tagloom.llm.tokens import TEXTS, encoder
 from tagloom.session import cut, shared_dir
 
@@ -79,5 +80,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, cache: str, id_col: str = "do
     counts = encode_misses(chosen, vocabulary, keep_space)
     (counts.dropDuplicates(["digest"]).select("digest", F.lit(version).alias("tokenizer"), "n_tokens")
      .write.mode("append").parquet(cache))
-    return (keyed.join(read_cache(spark, cache, version), "digest", "left")
-            .select(F.col("id").alias(id_col), "n_bytes", "n_tokens"))
+    keyed = stored(keyed)
+    rows_of = keyed.groupBy("digest").agg(F.count("*").alias("rows"))
+    counted = stored(rows_of.join(read_cache(spark, cache, version), "digest"))
+    return join_counted(keyed, counted, "digest", "rows").select(F.col("id").alias(id_col), "n_bytes", "n_tokens")

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tagloom.llm.stored import stored
+from tagloom.llm.stored import join_counted, stored
 from tagloom.llm.words import NOT_SPACE, Words, span_hashes, window_hashes, word_chunks
 
 GRAM = 8
@@ -130,8 +130,8 @@ def remove_repeats(docs: DataFrame, size: int = 35, id_col: str = "doc_id", text
                         F.xxhash64(F.col(text_col)).alias("k2"))
     runs = stored(text_runs(keyed, size))
     shared = (runs.groupBy("g").agg(F.count("*").alias("c"), F.min("r").alias("lo"), F.max("r").alias("hi"))
-              .filter("c > 1").select("g", (F.col("lo") == F.col("hi")).alias("whole")))
-    repeated = stored(runs.join(shared, "g").select("r", "k1", "k2", "start", "n", "whole"))
+              .filter("c > 1").select("g", "c", (F.col("lo") == F.col("hi")).alias("whole")))
+    repeated = stored(join_counted(runs, stored(shared), "g", "c", "inner").select("r", "k1", "k2", "start", "n", "whole"))
     # of runs with the same words, one stands for all when windows are counted
     unsure = stored(repeated.filter(~F.col("whole")).groupBy("r").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "start", "n")).alias("one")))
     spans_of = unsure.select("one.*", (F.col("c") > 1).alias("again")).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n", "again")).alias("spans"))

@@ -152,14 +152,16 @@ def with_surrogates(docs: DataFrame, key: str, text_col: str = "text") -> DataFr
     """``docs`` with the entities of ``text_col`` replaced, and ``pii``: an array of (kind, surrogate, start, length)
     in the new text, in order; empty where there is none.
 
-    A null text stays null.  Other columns stay, whatever their names; a column ``pii`` is not allowed.
+    A null text stays null.  Other columns stay, whatever their names; where ``pii`` is one of them, the added column
+    gets as many underscores behind its name as make it new.
     Repeated rows get equal texts.  What is no entity stays byte for byte.
     """
-    if "pii" in docs.columns:
-        raise ValueError("a column pii is added here; rename yours")
+    added = "pii"
+    while added.lower() in [c.lower() for c in docs.columns]:
+        added += "_"
     none = F.expr("cast(array() as array<struct<kind:string,surrogate:string,start:int,length:int>>)")
     found = F.col(text_col).rlike(NEEDED) & F.col(text_col).rlike(ANY)
-    plain = docs.filter(~F.coalesce(found, F.lit(False))).withColumn("pii", none)
+    plain = docs.filter(~F.coalesce(found, F.lit(False))).withColumn(added, none)
     hit = stored(docs.filter(found).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                                            F.regexp_extract_all(F.col(text_col), F.lit(ANY), F.lit(0)).alias("entities"))
                  .withColumn("key", F.monotonically_increasing_id()))
@@ -175,5 +177,5 @@ def with_surrogates(docs: DataFrame, key: str, text_col: str = "text") -> DataFr
         (acc["at"] + F.length(x["gaps"]) + F.length(x["new"]["surrogate"])).alias("at"),
         F.concat(acc["out"], F.array(F.struct(x["new"]["kind"].alias("kind"), x["new"]["surrogate"].alias("surrogate"), (acc["at"] + F.length(x["gaps"])).alias("start"),
                                               F.length(x["new"]["surrogate"]).alias("length")))).alias("out"))))["out"]
-    changed = joined.select(*[(text if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns], spans.alias("pii"))
+    changed = joined.select(*[(text if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns], spans.alias(added))
     return plain.unionByName(changed)

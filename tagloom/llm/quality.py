@@ -156,5 +156,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.02, confidence
     good = labels.filter("quality = 1").select(F.col(id_col).alias("of")).distinct()
     good = keyed.join(good, F.col("label_id") == F.col("of"), "left_semi").select("row_key", F.lit(1).alias("quality"))
     verdicts = judge(keyed, good, risk, confidence, "row_key", "text", "stratum")
-    bad = verdicts.filter(~F.col("kept")).select(F.col("row_key.id").alias("bad_id"), F.col("row_key.h").alias("bad_h")).distinct()
-    return docs.join(bad, key[0].eqNullSafe(F.col("bad_id")) & (key[1] == F.col("bad_h")), "left_anti")
+    bad = verdicts.filter(~F.col("kept")).select(F.col("row_key").alias("bad_key")).distinct()
+    # the caller's columns may have any names, so they stay in a struct of their own
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.struct(key[0].alias("id"), key[1].alias("h")).alias("own_key"))
+    return held.join(bad, F.col("own_key.id").eqNullSafe(F.col("bad_key.id")) & (F.col("own_key.h") == F.col("bad_key.h")), "left_anti").select("row.*")

@@ -199,9 +199,9 @@ def descended(active: DataFrame, sketches: DataFrame, threshold: float, alike: i
                         F.when(F.col("c") <= BUCKET, 0).otherwise(F.pmod(F.xxhash64("rep", "path"), F.ceil(F.col("c") / (BUCKET / 2)))).cast("long").alias("chunk")))
         dealt = rows.repartition("path", "chunk").sortWithinPartitions("path", "chunk", "rep")
         found = stored(clustered(dealt, alike, threshold))
-        here = found.filter("root is not null").select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct()
+        here = found.filter("root is not null").select(F.col("rep").alias("a"), F.col("root").alias("b"))  # components() folds repeats of all levels at once
         links = here if links is None else links.unionByName(here)
-        onward = found.filter("path is not null").select("rep", "path").distinct()
+        onward = found.filter("path is not null").select("rep", "path")  # a child has one parent, so none repeats
         level += 1
         if onward.isEmpty():
             return links, level, deep
@@ -221,7 +221,7 @@ def candidates(sets: DataFrame, threshold: float, alike: int, recall: float, run
         more = range(runs, runs_at(recall, levels, threshold))
         again, reached, _ = descended(stored(started(sketches.join(deep, "rep"), threshold, more)), sketches, threshold, alike)
         links, levels, runs = links.unionByName(again), max(levels, reached), more.stop
-    return links.distinct()
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:

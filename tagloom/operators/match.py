@@ -88,26 +88,28 @@ def _best(df: DataFrame, keys: list[str]) -> DataFrame:
         .select(*keys, F.col("b.score").alias("score"), (-F.col("b.neg")).alias("first"))
 
 
-def _name_best(left: DataFrame, right: DataFrame) -> DataFrame:
+def _name_best(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """Equal names score 1, which nothing beats; the others are searched for near names."""
     names = left.filter("name <> ''").select("name").distinct()
     known = _first(right.filter("name <> ''"), "name")
     same = names.join(known, "name").select("name", F.lit(1.0).alias("score"), "first")
+    if least >= 1:
+        return same
     rest = names.join(known, "name", "left_anti").select(F.col("name").alias("text"))
-    near = ratio_join(rest, known.select(F.col("name").alias("text")), LEAST)
+    near = ratio_join(rest, known.select(F.col("name").alias("text")), least)
     scored = near.join(known.withColumnRenamed("name", "b"), "b").select(F.col("a").alias("name"), F.col("ratio").alias("score"), "first")
     return same.unionByName(_best(scored, ["name"]))
 
 
-def _brand_best(left: DataFrame, right: DataFrame) -> DataFrame:
+def _brand_best(left: DataFrame, right: DataFrame, least_score: float) -> DataFrame:
     """Best right product per brand and model.
 
-    The score reaches the threshold only if brand and model each reach 0.556;
+    The score reaches the threshold of 0.70 only if brand and model each reach 0.556;
     the brand alone never does.  Equal brand and model score the most, so only
     keys without an equal go through near brands and near models.
     """
     weight = WEIGHTS["brand_model"]
-    least = 2 * LEAST / weight - 1
+    least = 2 * least_score / weight - 1
     keys = left.filter("brand <> '' and model is not null").select("brand", "model").distinct()
     known = _first(right.filter("brand <> '' and model is not null"), "brand", "model")
     same = keys.join(known, ["brand", "model"]).select("brand", "model", F.lit(weight).alias("score"), "first")
@@ -119,11 +121,11 @@ def _brand_best(left: DataFrame, right: DataFrame) -> DataFrame:
             .select(F.col("a").alias(col), F.col("b").alias(f"{col}_r"), F.col("ratio").alias(f"{col}_s"))
 
     pairs = rest.join(near("brand"), "brand").join(near("model"), "model").filter(
-        F.col("brand_s") + F.col("model_s") >= 2 * LEAST / weight - 1e-9)
+        F.col("brand_s") + F.col("model_s") >= 2 * least_score / weight - 1e-9)
     scored = pairs.join(known.select(F.col("brand").alias("brand_r"), F.col("model").alias("model_r"), "first"),
                         ["brand_r", "model_r"]).select(
         "brand", "model", (brand_model_score(F.col("brand_s"), F.col("model_s")) * weight).alias("score"), "first")
-    return same.unionByName(_best(scored.filter(F.col("score") >= LEAST), ["brand", "model"]))
+    return same.unionByName(_best(scored.filter(F.col("score") >= least_score), ["brand", "model"]))
 
 
 def _image_best(right: DataFrame) -> DataFrame:
@@ -148,24 +150,29 @@ def _spec_best(left: DataFrame, right: DataFrame) -> DataFrame:
         .select("specs", F.lit(WEIGHTS["specifications"]).alias("score"), "first")
 
 
-def match_products(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Best match per left product at 0.70 or more.
+def match_products(left: DataFrame, right: DataFrame, least: float = LEAST) -> DataFrame:
+    """Best match per left product at ``least`` (0.70 as in the source, or more).  Methods that cannot score so
+    much are not run: at 1.0 equal names are all there is.
 
     Both sides: ``id``, ``ord``, ``title``, ``brand``, ``image_url``,
     ``description``, ``specifications`` (map).  Ties go to the first right
     product, then to the method order.
     """
     l, r = _prepared(left), _prepared(right)
-    by_name, by_brand, by_image, by_spec = _name_best(l, r), _brand_best(l, r), _image_best(r), _spec_best(l, r)
+    makers = {"exact_name": lambda: _name_best(l, r, least), "brand_model": lambda: _brand_best(l, r, least),
+              "image_hash": lambda: _image_best(r), "specifications": lambda: _spec_best(l, r)}
+    keys = {"exact_name": ["name"], "brand_model": ["brand", "model"], "image_hash": ["image"], "specifications": ["specs"]}
+    able = [m for m, weight in WEIGHTS.items() if weight >= least]
 
     def renamed(df: DataFrame, n: int) -> DataFrame:
         return df.withColumnsRenamed({"score": f"s{n}", "first": f"o{n}"})
 
-    joined = (l.join(renamed(by_name, 1), "name", "left").join(renamed(by_brand, 2), ["brand", "model"], "left")
-              .join(renamed(by_image, 3), "image", "left").join(renamed(by_spec, 4), "specs", "left"))
-    options = F.array(*[F.when(F.col(f"s{n}") >= LEAST, F.struct(
+    joined = l
+    for n, method in enumerate(able, 1):
+        joined = joined.join(renamed(makers[method](), n), keys[method], "left")
+    options = F.array(*[F.when(F.col(f"s{n}") >= least, F.struct(
         (-F.col(f"s{n}")).alias("neg"), F.col(f"o{n}").alias("o"), F.lit(n).alias("n"), F.lit(m).alias("method")))
-        for n, m in enumerate(WEIGHTS, 1)])
+        for n, m in enumerate(able, 1)])
     best = F.array_min(F.array_compact(options))
     picked = joined.select("id", "ord", best.alias("b")).filter(F.col("b").isNotNull())
     return picked.join(right.select(F.col("id").alias("right_id"), F.col("ord").alias("_o")),

@@ -10,18 +10,10 @@ from tagloom.plans.views import cte, table, view
 BOTH = cte("source_a", "source_b")
 
 
-def whole_sides(spark, sf):
-    """Both sources with all their products."""
-    none = F.create_map().cast("map<string,string>")
-    return tuple(view(spark, sf, name).drop("keep").withColumn("specifications", none) for name in ("source_a", "source_b"))
-
-
 def sides(spark, sf):
-    """The halves of both sources that the SQL of the equal names compares."""
-    a = view(spark, sf, "source_a").filter("keep").drop("keep")
-    b = view(spark, sf, "source_b").filter("keep").drop("keep")
+    """Both sources with all their products."""
     none = F.create_map().cast("map<string,string>")
-    return a.withColumn("specifications", none), b.withColumn("specifications", none)
+    return tuple(view(spark, sf, name).withColumn("specifications", none) for name in ("source_a", "source_b"))
 
 
 NORM = r"trim(regexp_replace(regexp_replace(lower({0}), '\b(the|kit|vape|e-cigarette|device)\b', '', 'g'), '\s+', ' ', 'g'))"
@@ -59,35 +51,35 @@ def q_images(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.round(P.image_score(a, b), 6).alias("score"))
 
 
-@query("equal_name_matches", BOTH + f""", b AS (SELECT {NORM.format('title')} AS name, min(ord) AS first FROM source_b WHERE keep GROUP BY 1)
-SELECT a.id AS left_id, 'b' || CAST(first AS STRING) AS right_id FROM source_a a JOIN b ON b.name = {NORM.format('a.title')} WHERE a.keep""")
+@query("equal_name_matches", BOTH + f""", b AS (SELECT {NORM.format('title')} AS name, min(ord) AS first FROM source_b GROUP BY 1)
+SELECT a.id AS left_id, 'b' || CAST(first AS STRING) AS right_id FROM source_a a JOIN b ON b.name = {NORM.format('a.title')}""")
 def q_equal(spark, sf):
     """The part of the matches SQL can tell, equal names."""
-    return P.match_products(*sides(spark, sf)).filter("match_score = 1.0").select("left_id", "right_id")
+    return P.match_products(*sides(spark, sf), least=1.0).select("left_id", "right_id")
 
 
 @query("product_matches")
 def q_matches(spark, sf):
     """All methods, near names included."""
-    return P.match_products(*whole_sides(spark, sf)).withColumn("match_score", F.round("match_score", 6))
+    return P.match_products(*sides(spark, sf)).withColumn("match_score", F.round("match_score", 6))
 
 
-def unified(a, b):
-    return P.unify(P.match_products(a, b), a, b, "shop-a", "shop-b")
+def unified(a, b, least=P.LEAST):
+    return P.unify(P.match_products(a, b, least), a, b, "shop-a", "shop-b")
 
 
-@query("unified_equal_names", BOTH + f""", b AS (SELECT {NORM.format('title')} AS name, min(ord) AS first FROM source_b WHERE keep GROUP BY 1)
+@query("unified_equal_names", BOTH + f""", b AS (SELECT {NORM.format('title')} AS name, min(ord) AS first FROM source_b GROUP BY 1)
 SELECT substr(md5(a.brand || '_' || a.title), 1, 16) AS product_id, a.title AS name, a.brand, a.url || '|' || x.url AS urls, array_to_string(list_sort(list_distinct([a.category, x.category])), '|') AS categories
-FROM source_a a JOIN b ON b.name = {NORM.format('a.title')} JOIN source_b x ON x.ord = b.first WHERE a.keep""")
+FROM source_a a JOIN b ON b.name = {NORM.format('a.title')} JOIN source_b x ON x.ord = b.first""")
 def q_unified_equal(spark, sf):
     """The products that SQL can tell, those unified by equal names."""
-    return _unified_row(unified(*sides(spark, sf)).filter("match_score = 1.0"))
+    return _unified_row(unified(*sides(spark, sf), least=1.0))
 
 
 @query("unified_products")
 def q_unified(spark, sf):
     """J11 over every accepted match."""
-    return _unified_row(unified(*whole_sides(spark, sf)))
+    return _unified_row(unified(*sides(spark, sf)))
 
 
 def _unified_row(products):

@@ -128,7 +128,7 @@ VIEWS: dict[str, tuple[str, list[tuple[str, str]]]] = {
         ("brand", "p_brand"), ("url", "'http://a.example.com/' || CAST(p_partkey AS STRING)"),
         ("image_url", "CASE WHEN p_partkey % 4 = 0 THEN 'http://i/' || CAST(p_size AS STRING) ELSE '' END"),
         ("description", "CASE WHEN p_partkey % 5 = 0 THEN 'holds ' || CAST(p_size AS STRING) || 'ml' ELSE '' END"),
-        ("category", "p_type"), ("price", "CAST(CAST(FLOOR(p_retailprice) AS INT) AS STRING)"), ("keep", "p_partkey % 2 = 0")]),
+        ("category", "p_type"), ("price", "CAST(CAST(FLOOR(p_retailprice) AS INT) AS STRING)")]),
     "source_b": ("part", [
         ("id", "'b' || CAST(p_partkey AS STRING)"), ("ord", "p_partkey"),
         ("title", "CASE WHEN p_partkey % 7 = 0 THEN p_name ELSE p_name || ' V' || CAST(p_size AS STRING) || ' device' END"),
@@ -136,7 +136,7 @@ VIEWS: dict[str, tuple[str, list[tuple[str, str]]]] = {
         ("url", "'http://b.example.com/' || CAST(p_partkey AS STRING)"),
         ("image_url", "CASE WHEN p_partkey % 9 = 0 THEN 'http://i/' || CAST(p_size AS STRING) ELSE '' END"),
         ("description", "CASE WHEN p_partkey % 5 = 1 THEN 'about ' || CAST(p_size AS STRING) || ' ml' ELSE '' END"),
-        ("category", "p_type"), ("price", "CAST(CAST(FLOOR(p_retailprice) AS INT) AS STRING)"), ("keep", "p_partkey % 2 = 1")]),
+        ("category", "p_type"), ("price", "CAST(CAST(FLOOR(p_retailprice) AS INT) AS STRING)")]),
     "cache": ("part", [
         ("title", "p_name || ' ' || CAST(p_size AS STRING)"), ("description", "lower(p_type) || ' from ' || p_brand"),
         ("tags_list", "p_name || ',' || lower(p_type)"), ("ai_tags_list", "lower(p_type)"), ("rule_tags_list", "p_name"),

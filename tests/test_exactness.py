@@ -2,10 +2,11 @@
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tagloom.functions.similarity import ratio_join
+from tagloom.functions.similarity import char_classes, common_subsequence, ratio_join
 from tagloom.operators import match as P, ordering as O, similar_images as S
 from tagloom.operators.training import balanced_sample
 
@@ -26,6 +27,29 @@ def test_ratio_join_misses_nothing(spark, least):
     assert got == pytest.approx(want)
 
 
+def test_ratio_join_in_small_cells_and_blocks(spark):
+    rnd = random.Random(8)
+    stems = ["pod kit mini", "long range bolt", "éclair zéta", "x" * 70 + " end", "q", "ring 5 amp with a name of more than sixty-four characters, all told"]
+    vary = lambda s: "".join(c for c in s if rnd.random() > 0.12) + rnd.choice(["", " 2", "xx", "Ω"])
+    left, right = (sorted({vary(rnd.choice(stems)) for _ in range(250)} - {""}) for _ in range(2))
+    for least in (0.6, 0.7, 0.95):
+        want = {(a, b): r for a in left for b in right if (r := SequenceMatcher(None, a, b).ratio()) >= least}
+        got = ratio_join(*(spark.createDataFrame([(t,) for t in side] + [("",), (None,)], "text string") for side in (left, right)), least, cell=7, left_block=40, right_block=11)
+        assert {(r.a, r.b): r.ratio for r in got.collect()} == pytest.approx(want)
+    nothing = spark.createDataFrame([("",)], "text string")
+    assert ratio_join(nothing, nothing, 0.7).collect() == []
+
+
+def test_bounds_are_necessary():
+    rnd = random.Random(3)
+    a = ["".join(rnd.choices("abcde é", k=rnd.randint(1, 80))) for _ in range(60)]
+    i, j = np.divmod(np.arange(3600), 60)
+    bound = common_subsequence(char_classes(a), char_classes(a), i, j)
+    for x, y, most in zip(i, j, bound):
+        matched = sum(m.size for m in SequenceMatcher(None, a[x], a[y]).get_matching_blocks())
+        assert matched <= most <= min(len(a[x]), len(a[y]))
+
+
 def brute_match(left, right):
     def score(a, b):
         best, method = 0.0, None

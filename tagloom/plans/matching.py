@@ -155,7 +155,7 @@ def hashes(spark, sf):
 @query("similar_images", PAIRS64 + " SELECT 'v' || CAST(i AS STRING) AS image_1, 'v' || CAST(j AS STRING) AS image_2, d AS distance, round(1 - d / 64, 6) AS similarity, d <= 6 AS is_duplicate FROM p WHERE d <= 19")
 def q_similar(spark, sf):
     """J12, F31 and O6 at the 0.70 report level."""
-    return S.similar_images(hashes(spark, sf)).select("image_1", "image_2", "distance", F.round("similarity", 6).alias("similarity"), "is_duplicate")
+    return S.similar_images(hashes(spark, sf), floor=S.FLOOR).select("image_1", "image_2", "distance", F.round("similarity", 6).alias("similarity"), "is_duplicate")
 
 
 @query("near_duplicates", PAIRS64 + " SELECT 'v' || CAST(i AS STRING) AS image_1, 'v' || CAST(j AS STRING) AS image_2, d AS distance FROM p WHERE d <= 19 AND s1 <> s2")
@@ -178,7 +178,17 @@ def q_report(spark, sf):
     return S.similarity_report(hashes(spark, sf)).select("total_matches", "near_duplicates", "similar_images", "average_similarity", "from_80", "from_70")
 
 
-@query("duplicate_groups")
+GROUPS = HASHES.replace("WITH ", "WITH RECURSIVE ", 1) + """, v AS (SELECT vec_id, lo, hi, row_number() OVER (ORDER BY vec_id) AS n FROM h),
+near AS (SELECT b.n, list(a.n) AS smaller FROM v a JOIN v b ON a.n < b.n AND bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) <= 19 GROUP BY b.n),
+walk AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS leads
+ UNION ALL SELECT walk.n + 1, CASE WHEN list_has_any(leads, coalesce(smaller, [])) THEN leads ELSE list_append(leads, walk.n + 1) END
+ FROM walk LEFT JOIN near ON near.n = walk.n + 1 WHERE walk.n < (SELECT count(*) FROM v)),
+done AS (SELECT leads FROM walk WHERE n = (SELECT count(*) FROM v))
+SELECT 'v' || CAST(a.vec_id AS STRING) AS leader, 'v' || CAST(b.vec_id AS STRING) AS member
+FROM (SELECT near.n, list_min(list_intersect(smaller, leads)) AS lead FROM near, done) f JOIN v a ON a.n = f.lead JOIN v b ON b.n = f.n"""
+
+
+@query("duplicate_groups", GROUPS)
 def q_groups(spark, sf):
     """W16 and X4."""
     return S.duplicate_groups(hashes(spark, sf), 0.70)

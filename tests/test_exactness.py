@@ -159,6 +159,46 @@ def test_groups_equal_the_sequential_loop(spark):
     assert {tuple(r) for r in S.duplicate_groups(df).collect()} == want
 
 
+def test_tiles_of_any_size_give_the_same(spark):
+    _, df = images(spark)
+    folded = S.cut(S.fold_copies(df))
+    want = sorted(map(tuple, S.banded_pairs(folded, 9).collect()))
+    for tile in (3, 50, 8192):
+        assert sorted(map(tuple, S.tiled_pairs(folded, 9, tile).collect())) == want
+        counted = {r.distance: r.pairs for r in S.distance_counts(folded, 9, tile).collect()}
+        copies = {r.ord: r.copies for r in folded.collect()}
+        by_distance = {}
+        for a, b, d in want:
+            by_distance[d] = by_distance.get(d, 0) + copies[a] * copies[b]
+        assert counted == by_distance
+    assert S.tiled_pairs(folded.limit(0), 19).collect() == [] and S.similarity_report(df.limit(0)).first().total_matches == 0
+
+
+def greedy(edges):
+    below, leads, follows = {}, set(), set()
+    for a, b in edges:
+        below.setdefault(b, []).append(a)
+    for v in sorted({v for e in edges for v in e}):
+        (follows if any(a in leads for a in below.get(v, [])) else leads).add(v)
+    return follows
+
+
+def test_followers_of_long_chains_and_any_batch(spark):
+    chain = [(i, i + 1) for i in range(10_000)]
+    rounds = []
+    original, S.cut = S.cut, lambda df: rounds.append(1) or original(df)
+    try:
+        got = {r.ord for r in S.greedy_followers(spark.createDataFrame(chain, "ord_1 long, ord_2 long")).collect()}
+    finally:
+        S.cut = original
+    assert got == greedy(chain) == set(range(1, 10_001, 2)) and len(rounds) <= 6
+    rnd = random.Random(2)
+    edges = sorted({tuple(sorted(rnd.sample(range(120), 2))) for _ in range(400)} | {(0, i) for i in range(1, 40)})
+    frame = spark.createDataFrame(edges, "ord_1 long, ord_2 long")
+    for batch in (30, 150):
+        assert {r.ord for r in S.greedy_followers(frame, batch).collect()} == greedy(edges)
+
+
 @pytest.mark.parametrize("parts", [1, 7, 32])
 def test_positions_and_running_under_skew(spark, parts):
     rows = [("hot" if i % 3 == 0 else f"k{i % 50}", i, i % 7) for i in range(3000)]

@@ -87,12 +87,12 @@ def q_health_stream(spark, sf):
     return _drained(spark, jobs.health_stream(stream)).select("site", "seq", "failures", "backoff_s", F.round("avg_ms", 4).alias("avg_ms"), "recent_blocks")
 
 
-@query("ordered_health", HISTORY + " SELECT site, seq, failures, backoff_s, avg_ms, recent_blocks FROM h WHERE epoch_ms(ts) // 900000 * 900000 + 900000 <= (SELECT max(epoch_ms(ts)) FROM h) - 3600000")
+@query("ordered_health", HISTORY + " SELECT site, seq, failures, backoff_s, avg_ms, recent_blocks FROM h WHERE epoch_ms(ts) // 21600000 * 21600000 + 21600000 <= (SELECT max(epoch_ms(ts)) FROM h) - 3600000")
 def q_ordered_health(spark, sf):
-    """T1 and X3 from checks in any order: those of every quarter of an hour that the watermark, one hour behind, has passed."""
+    """T1 and X3 from checks in any order: those of every six hours that the watermark, one hour behind, has passed."""
     _, columns = VIEWS["checks"]
     stream = _event_stream(spark, sf).selectExpr(*[f"{e} AS {c}" for c, e in columns], "'check' AS kind")
-    return _drained(spark, ordered_health_stream(stream)).select("site", "seq", "failures", "backoff_s", F.round("avg_ms", 4).alias("avg_ms"), "recent_blocks")
+    return _drained(spark, ordered_health_stream(stream, slot_seconds=21600)).select("site", "seq", "failures", "backoff_s", F.round("avg_ms", 4).alias("avg_ms"), "recent_blocks")
 
 
 @query("rate_windows", "WITH w AS (SELECT epoch(ts) AS e FROM events), s AS (SELECT unnest(range(0, 3)) AS k), x AS (SELECT (floor(e / 10) * 10 - k * 10)::BIGINT AS start FROM w, s WHERE e >= floor(e / 10) * 10 - k * 10 AND e < floor(e / 10) * 10 - k * 10 + 30) SELECT start, count(*) AS n FROM x GROUP BY 1")

@@ -1,16 +1,19 @@
 """Queries of variants, SKUs, images, tiers and runs."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tagloom.functions import text as T
-from tagloom.operators import cache, route
+from tagloom.operators import cache, import_file as I, route
 from tagloom.plans.registry import query
 from tagloom.plans.sqltext import has_any, in_list, quote, tag_list
 from tagloom.plans.tagging import _ratio
 from tagloom.plans.views import cte, table, view
 from tagloom.functions import extract as X
 from tagloom.rules.vocabulary import Vocabulary, flavour_words
+from tagloom.session import shared_dir
 from tagloom.sources import files, store
 
 VOCAB = Vocabulary()
@@ -243,3 +246,31 @@ def q_similar(spark, sf):
     """J22 in bulk: every cached product asks."""
     rows = cache.merge(_cache(spark, sf).drop("ord"), _cache(spark, sf).drop("ord").limit(0))
     return cache.similar_products(rows, rows, 5).select("content_hash", "other", "rank")
+
+
+IMPORTED = {  # of the first row, over p; the other columns are constants or empty
+    "Title": "title", "Body (HTML)": """'<p>' || trim(description) || '</p>' || chr(10) || '<p>Says "yes", twice</p>'""", "Vendor": "vendor", "Product Category": "product_category",
+    "Type": "type", "Tags": "'a, b, ' || lower(type)", "Variant SKU": "handle", "Variant Inventory Qty": "'0'", "Variant Price": "CAST(price AS STRING)", "SEO Title": "title",
+    "SEO Description": "coalesce(summary, '')",
+} | {name: f"'{value}'" for name, value in I.CONSTANTS.items()}
+_HANDLE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(title), '[^a-z0-9\s-]', '', 'g'), '\s+', '-', 'g'), '-+', '-', 'g'), '^-+|-+$', '', 'g')"
+_IMPORT = cte("products") + """, q AS (SELECT * REPLACE (CAST(CAST(FLOOR(price) AS INT) AS STRING) AS price), CASE WHEN ord % 2 = 0 THEN 'sum ' || handle END AS summary,
+ ['http://img.example.com/' || ord || '-' || x || '.jpg' for x in range(1, ord % 4 + 1)] AS images FROM products),
+p AS (SELECT *, unnest(CASE WHEN len(images) = 0 THEN [0] ELSE range(1, len(images) + 1) END) AS pos FROM q) SELECT """ + ", ".join(
+    f'{ {"Handle": _HANDLE, "Image Src": "coalesce(images[pos], chr(0))", "Image Position": "CASE WHEN pos > 0 THEN CAST(pos AS STRING) ELSE chr(0) END", "Image Alt Text": "CASE WHEN pos > 0 THEN title ELSE chr(0) END"}.get(name) or (f"CASE WHEN pos <= 1 THEN {IMPORTED[name]} ELSE chr(0) END" if name in IMPORTED else "chr(0)")} AS "{name}"'.replace("chr(0)", "''")
+    for name in I.HEADERS) + " FROM p"
+
+
+@query("import_file", _IMPORT)
+def q_import(spark, sf):
+    """All 49 columns of the import file, written as CSV with quotes and line breaks in texts and read back."""
+    p = view(spark, sf, "products")
+    numbers = F.when(F.col("ord") % 4 > 0, F.sequence(F.lit(1), (F.col("ord") % 4).cast("int"))).otherwise(F.array().cast("array<int>"))
+    rows = p.select(
+        "title", F.concat("description", F.lit('\n\n  Says "yes", twice ')).alias("description"), "vendor", F.col("product_category").alias("category"), "type",
+        F.array(F.lit("a"), F.lit("b"), F.lower("type")).alias("tags"), F.col("handle").alias("sku"), F.floor("price").cast("int").cast("string").alias("price"),
+        F.when(F.col("ord") % 2 == 0, F.concat(F.lit("sum "), "handle")).alias("summary"),
+        F.transform(numbers, lambda i: F.concat(F.lit("http://img.example.com/"), F.col("ord").cast("string"), F.lit("-"), i.cast("string"), F.lit(".jpg"))).alias("images"))
+    path = f"{shared_dir(spark)}/import-{uuid.uuid4().hex}"
+    I.write_import_csv(I.import_file(rows), path)
+    return I.read_import_csv(spark, path)

@@ -90,6 +90,17 @@ def q_pack(spark, sf):
     return A.pack_metadata(assets(spark, sf).select(F.col("source").alias("category"), "name", "ord"))
 
 
+@query("pack_inventory", ASSETS + """, f AS (SELECT group_id AS pack, name, size, path, md5(text) AS digest, ord FROM assets),
+c AS (SELECT pack, sum(n) AS total_files, count(*) FILTER (n > 1) AS duplicates_removed FROM (SELECT pack, digest, count(*) AS n FROM f GROUP BY 1, 2) GROUP BY 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY pack ORDER BY ord, path) AS rn FROM f)
+SELECT pack, total_files::BIGINT AS total_files, duplicates_removed, string_agg(name || ' ' || size || ' ' || path, '|' ORDER BY rn) FILTER (rn <= 100) AS inventory FROM c JOIN r USING (pack) GROUP BY 1, 2, 3""")
+def q_pack_inventory(spark, sf):
+    """A pack's files, copies and inventory."""
+    rows = assets(spark, sf).select(F.col("group_id").alias("pack"), "name", "size", "path", F.md5("text").alias("digest"), "ord")
+    listed = F.transform("file_inventory", lambda f: F.concat_ws(" ", f["name"], f["size"].cast("string"), f["path"]))
+    return A.pack_inventory(rows).select("pack", "total_files", "duplicates_removed", F.array_join(listed, "|").alias("inventory"))
+
+
 @query("download_summary", ASSETS + """ SELECT CASE WHEN grouping(lang) = 1 THEN 'ALL' ELSE lang END AS brand, CASE WHEN grouping(source) = 1 THEN 'ALL' ELSE source END AS site, count(*) AS images, round(sum(size) / 1048576, 2) AS size_mb FROM assets GROUP BY ROLLUP (lang, source)""")
 def q_downloads(spark, sf):
     """A20."""

@@ -98,6 +98,16 @@ class OpenBins:
         return number
 
 
+def place_apart(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
+    """As :func:`place`, for wide rows: only a number and the length of each go through the packing tasks, whose
+    batches would else hold the rows' bodies several times over; places come back by a join."""
+    number = "piece_number"
+    while number in pieces.columns:
+        number += "_"
+    numbered = stored(pieces.withColumn(number, F.monotonically_increasing_id()))
+    return numbered.join(stored(place(numbered.select(number, "length"), capacity)).drop("length"), number).drop(number)
+
+
 def place(pieces: DataFrame, capacity: int = 2048, open_bins: int = 65_536, rows_per_task: int = 100_000) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to rows with a ``length`` of 1 to ``capacity``.
 
@@ -129,5 +139,5 @@ def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     """One row per piece with its place; ``ids`` is kept, or replaced by ``ids_crc32`` to move less."""
     pieces = tokenise(docs, vocabulary, id_col, text_col, capacity, end_id)
     if not keep_ids:
-        pieces = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return place(pieces, capacity)
+        return place(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), capacity)
+    return place_apart(pieces, capacity)

@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tagloom.llm import jaccard_join, pii, quality
+from tagloom.llm import jaccard_join, packing, pii, quality
 from tagloom.llm.stored import join_counted, likely_in, stored
 
 CLASHING = ["gone", "again", "odd", "odd_id", "odd_h", "row", "row_key", "own_key", "bad_id", "bad_h", "bad_key", "pii", "rep", "label", "filter_part", "filter_bits", "id", "key", "h"]
@@ -48,3 +48,20 @@ def test_the_filter_loses_nothing(spark):
     found = {r.v for r in kept.collect()}
     assert {v for v in range(0, 60_000, 150)} | {None} <= found and len(found) < 500
     assert likely_in(left, right.limit(0), F.col("v"), F.col("w")).count() == 0
+
+
+def test_wide_pieces_are_placed_as_narrow_ones(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.randint(1, 60), bytes(rng.randint(0, 50)), str(i)) for i in range(3000)]
+    pieces = spark.createDataFrame(rows, "id long, length long, ids binary, piece_number string").repartition(5)
+    placed = packing.place_apart(pieces, 64)
+    assert placed.columns == [*pieces.columns, "sequence_id", "offset"]
+    found, filled = placed.collect(), {}
+    assert sorted((r.id, r.length, bytes(r.ids), r.piece_number) for r in found) == rows
+    for r in found:
+        filled.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in filled.values():
+        parts.sort()
+        assert parts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:])) and sum(parts[-1]) <= 64
+    assert len(filled) <= sum(r[1] for r in rows) / 64 * 1.02 + 1
+    assert packing.place_apart(pieces.limit(0), 64).collect() == []

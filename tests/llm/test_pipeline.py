@@ -26,5 +26,5 @@ def test_stages_keep_columns_and_decide(spark):
 def test_every_dealt_operator_has_a_query():
     import __spark_entry__ as entry_point
     names = set(entry_point.queries())
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
     assert importlib.util.find_spec("corpus_pipeline") is not None

@@ -5,17 +5,20 @@ that follow.  All suffixes of the benchmark are looked up in it by binary search
 of training suffixes with the longest verbatim match and its places.  A suffix that runs into a word
 which no benchmark item has before a window is complete cannot hold a window, so it is left out of the array.
 
-The benchmark is the stated query set: its words go to the tasks in blocks of at most ``BLOCK_WORDS``.
+The benchmark is the stated query set: its words go to the tasks in blocks of at most ``BLOCK_WORDS``, one block
+a pass, so no pass holds more of it however large it is.
 """
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tagloom.llm.stored import stored
 from tagloom.llm.words import LETTERS_DIGITS, LOWER, Words, buffers, word_chunks
 
 BLOCK_WORDS = 1_000_000
@@ -145,58 +148,64 @@ def _lists(doc: np.ndarray, n: int, *columns: np.ndarray, names: tuple[str, str]
 
 
 def item_blocks(items: DataFrame, item_col: str, text_col: str) -> Iterator[pa.Table]:
-    """The query set in blocks of bounded size, so that no broadcast grows with the benchmark.
-
-    Ids become strings; null ids and texts without words never match.
+    """The query set in blocks of bounded size, so that no broadcast grows with the benchmark; one block without rows
+    for an empty one.  Ids become strings and may be null; texts without words never match.
     """
     rows = items.select(F.col(item_col).cast("string").alias("item_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    block, words = [], 0
-    for row in rows.filter(F.col("item_id").isNotNull()).toLocalIterator():
+    block, words, made = [], 0, False
+    for row in rows.toLocalIterator():
         block.append(row)
         words += len(row.text) // 2 + 1
         if words >= BLOCK_WORDS:
-            yield pa.table({"item_id": pa.array([r.item_id for r in block], pa.string()), "text": pa.array([r.text for r in block], pa.string())})
-            block, words = [], 0
-    if block:
-        yield pa.table({"item_id": pa.array([r.item_id for r in block], pa.string()), "text": pa.array([r.text for r in block], pa.string())})
+            yield _block(block)
+            block, words, made = [], 0, True
+    if block or not made:
+        yield _block(block)
+
+
+def _block(rows: list) -> pa.Table:
+    return pa.table({"item_id": pa.array([r.item_id for r in rows], pa.string()), "text": pa.array([r.text for r in rows], pa.string())})
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text",
                        item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``id, n_words, n_hit, items, spans`` for every row of ``docs``.
+    """``id, n_words, n_hit, n_items, items, spans`` for every row of ``docs``.
 
     Words are runs of letters, digits and non-ASCII characters after lower-casing A-Z.  A window is ``size``
     words of an item; an item with fewer words, but not none, is one window.  ``n_hit`` counts the words inside
     windows, ``items`` are the sorted ids (as strings) of items with a window in the text, ``spans`` the
-    longest verbatim match of each.  Null and empty texts have no words.  Repeated rows each get a row; of
-    several blocks the results are joined by row, so then ids must tell rows apart.
+    longest verbatim match of each.  Items that share an id count once.  Items with a null id are searched too: their
+    words are hit, together they count as one in ``n_items``, and ``items`` leaves them out.  Null and empty texts
+    have no words.  Repeated rows each get a row, and rows may share an id or have none: of several blocks the
+    results are joined by row numbers that are written once.
     """
-    found = [matches(docs, block, size, id_col, text_col) for block in item_blocks(items, item_col, item_text_col)]
-    if not found:
-        empty = pa.table({"item_id": pa.array([], pa.string()), "text": pa.array([], pa.string())})
-        found = [matches(docs, empty, size, id_col, text_col)]
-    joined = found[0]
-    if len(found) > 1:  # rows without a hit in a block add nothing; the first block has every row
-        more = [f.filter(F.size("hits") > 0) for f in found[1:]]
-        extra = more[0]
-        for f in more[1:]:
-            extra = extra.unionByName(f)
-        extra = extra.groupBy("id").agg(F.flatten(F.collect_set("hits")).alias("more_hits"), F.flatten(F.collect_set("spans")).alias("more_spans"))
-        joined = (joined.withColumnRenamed("id", "of").join(extra, F.col("of").eqNullSafe(F.col("id")), "left")
-                  .select(F.col("of").alias("id"), "n_words", F.concat("hits", F.coalesce("more_hits", F.array())).alias("hits"),
-                          F.concat("spans", F.coalesce("more_spans", F.array())).alias("spans")))
+    blocks = item_blocks(items, item_col, item_text_col)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        joined = matches(docs, first, size, id_col, text_col)
+    else:
+        rows = stored(docs.select(F.col(id_col).alias("of"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id()))
+        # every row has its words from the first block; rows without a hit in another add nothing
+        passes = [stored(matches(rows, first, size, "row", "text"))]
+        passes += [stored(matches(rows, block, size, "row", "text").filter(F.size("hits") > 0)) for block in chain([second], blocks)]
+        found = (reduce(DataFrame.unionByName, passes).groupBy(F.col("id").alias("row"))
+                 .agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("spans")).alias("spans")))
+        joined = rows.select("row", F.col("of").alias("id")).join(found, "row").drop("row")
     covered = F.aggregate(F.array_sort("hits"), F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")), lambda acc, x: F.struct(
         (acc["n"] + F.greatest(F.lit(0), x["high"] - F.greatest(acc["to"], x["low"]))).alias("n"), F.greatest(acc["to"], x["high"]).alias("to")))["n"]
-    return joined.select(F.col("id").alias(id_col), "n_words", covered.cast("long").alias("n_hit"),
-                         F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["item"]))).alias("items"), "spans")
+    named = F.array_distinct(F.transform("spans", lambda s: s["item"]))
+    return joined.select(F.col("id").alias(id_col), "n_words", covered.cast("long").alias("n_hit"), F.size(named).cast("long").alias("n_items"),
+                         F.array_sort(F.array_compact(named)).alias("items"), "spans")
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text",
                         item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text has no window of an item; columns as they are.  One pass over the texts
-    for each block of items, without a join, so ids do not matter."""
-    for block in item_blocks(items, item_col, item_text_col):
-        docs = _without(docs, block, size, text_col)
+    """The rows of ``docs`` whose text has no window of an item, ids null or not; columns as they are.  One pass over
+    the texts for each block of items, without a join, so ids do not matter; what a pass keeps is written before the next."""
+    blocks = item_blocks(items, item_col, item_text_col)
+    docs = _without(docs, next(blocks), size, text_col)
+    for block in blocks:
+        docs = _without(stored(docs), block, size, text_col)
     return docs
 
 

@@ -163,20 +163,20 @@ def test_windows_of_the_benchmark_are_found(spark, docs, empty):
     words = texts()[3].split()
     items = [(1, " ".join(words[30:50])), (2, "ONE"), (3, None), (4, ""), (10, " ".join(words[35:46]) + " foreign tail"), (5, "a B c"), (5, "two words"), (None, "one")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.find_contamination(docs, bench).select("doc_id", "n_words", "n_hit", "items").collect()
+    got = decontaminate.find_contamination(docs, bench).select("doc_id", "n_words", "n_hit", "n_items", "items").collect()
     want = collections.Counter()
     for i, t in plain(docs):
         w, hit, found = LETTERS.findall(t.translate(LOWER)), set(), set()
         for item, text in items:
             q = LETTERS.findall((text or "").translate(LOWER))
             m = min(10, len(q))
-            for a in range(len(q) - m + 1 if m and item is not None else 0):
+            for a in range(len(q) - m + 1 if m else 0):
                 for b in range(len(w) - m + 1):
                     if w[b:b + m] == q[a:a + m]:
                         hit.update(range(b, b + m))
-                        found.add(str(item))
-        want[i, len(w), len(hit), tuple(sorted(found))] += 1
-    assert want == collections.Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in got)
+                        found.add(item)
+        want[i, len(w), len(hit), len(found), tuple(sorted(str(x) for x in found if x is not None))] += 1
+    assert want == collections.Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, tuple(r["items"])) for r in got)
     clean = decontaminate.remove_contaminated(docs, bench)
     assert clean.columns == docs.columns
     assert sorted(map(repr, (r.doc_id for r in clean.collect()))) == sorted(repr(k[0]) for k, c in want.items() if not k[2] for _ in range(c))
@@ -191,10 +191,21 @@ def test_longest_match_and_blocks(spark, docs, monkeypatch):
     one = docs.filter("doc_id = 3").limit(1)
     spans = decontaminate.find_contamination(one, bench).first()["spans"]
     assert [(s["item"], s["n"]) for s in sorted(spans, key=lambda s: s["item"])] == [("1", len(LETTERS.findall(" ".join(words[30:70])))), ("2", len(LETTERS.findall(" ".join(words[100:120]))))]
-    whole = decontaminate.find_contamination(docs.filter("doc_id < 5").dropDuplicates(["doc_id"]), bench)
-    want = rows_of(whole, "doc_id", "n_words", "n_hit", "items")
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 10)
-    assert rows_of(decontaminate.find_contamination(docs.filter("doc_id < 5").dropDuplicates(["doc_id"]), bench), "doc_id", "n_words", "n_hit", "items") == want
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items"]
+    # rows that share an id or have none, items without an id: the same for any number of blocks
+    mixed = docs.union(spark.createDataFrame([(7, " ".join(words[35:45]), *[None] * 8), (7, " ".join(words[105:117]), *[None] * 8), (None, " ".join(words[40:60]), *[None] * 8)], docs.schema))
+    bench = bench.union(spark.createDataFrame([(None, " ".join(words[50:65])), (3, "words that do not come again")], bench.schema))
+    order = lambda df: sorted(map(repr, (tuple(r[c] for c in columns) for r in df.collect())))
+    want, kept = order(decontaminate.find_contamination(mixed, bench)), order_of(decontaminate.remove_contaminated(mixed, bench))
+    assert sum("7, " == w[1:4] for w in want) >= 2 and len({w for w in want if w.startswith("(7, ")}) >= 2
+    for size in (1, 10):
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", size)
+        assert order(decontaminate.find_contamination(mixed, bench)) == want
+        assert order_of(decontaminate.remove_contaminated(mixed, bench)) == kept
+
+
+def order_of(df):
+    return sorted(map(repr, df.collect()))
 
 
 # n-gram Jaccard join

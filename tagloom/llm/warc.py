@@ -13,6 +13,7 @@ import html
 import json
 import re
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
@@ -20,8 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 _SKIP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_TAG = re.compile(r"<(/?[a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>")
-_ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.\-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_OPENING, _MARK = re.compile(r"<(?:(/?[a-zA-Z][a-zA-Z0-9]*+)|[!?])"), re.compile("[>\"']")
+#: A name and, if it has one, its value; a name is taken whole, so one without a value is looked at once.
+_ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.\-]*+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]++)))?")
+_NUMBERED = re.compile(r"&#0*(?=[0-9])|&#[xX]0*(?=[0-9a-fA-F])")
+_TOO_LARGE = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{7,});?")
 #: Elements that begin a new line of text.
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "br", "dd", "div", "dl", "dt", "fieldset", "figure", "footer", "form", "h1", "h2", "h3",
           "h4", "h5", "h6", "head", "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "table", "td", "th", "title", "tr", "ul"}
@@ -51,24 +55,65 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                         headers.alias("http_headers"), body.alias("payload"))
 
 
+def _closings(page: str) -> tuple[list[int], list[int]]:
+    """Places of ``>`` and quotes, and for each of them, met outside of quotes, where the tag around it would end (-1: nowhere).
+
+    Made once from the end of the page, so unclosed tags and quotes cost no second look at what follows them.
+    """
+    marks = [m.start() for m in _MARK.finditer(page)]
+    ends, after = [-1] * (len(marks) + 1), {'"': -1, "'": -1}  # after: the next quote of each kind
+    for k in range(len(marks) - 1, -1, -1):
+        mark = page[marks[k]]
+        if mark == ">":
+            ends[k] = marks[k]
+        else:
+            ends[k] = ends[after[mark] + 1] if after[mark] >= 0 else -1
+            after[mark] = k
+    return marks, ends
+
+
+def tags(page: str) -> Iterator[tuple[int, int, str, str]]:
+    """Start, end, name (lower case, ``/`` before that of an end tag, empty for declarations) and attributes of each tag.
+
+    A ``>`` inside quotes does not end a tag; what is never closed is text.  Time grows with the length of the page alone.
+    """
+    marks, ends = _closings(page)
+    at = 0
+    for found in _OPENING.finditer(page):
+        if found.start() < at:
+            continue
+        if found[1]:
+            end = ends[bisect_left(marks, found.end())]
+        elif (end := page.find(">", found.end())) < 0:
+            return  # and none further on
+        if end >= 0:
+            at = end + 1
+            yield found.start(), at, (found[1] or "").lower(), page[found.end():end] if found[1] else ""
+
+
+def unescaped(text: str) -> str:
+    """Character references resolved; numbers beyond all characters, of any length, give U+FFFD."""
+    if "&#" in text:
+        text = _TOO_LARGE.sub("\ufffd", _NUMBERED.sub(lambda m: m[0].rstrip("0"), text))
+    return html.unescape(text)
+
+
 def parsed(page: str, base: str) -> tuple[str, str, list, list]:
     """Text, title, links and meta entries of a page; broken markup never fails."""
     out, links, metas, title, at, in_title, anchor = [], [], [], [], 0, False, None
     page = _SKIP.sub(" ", page)
-    for tag in _TAG.finditer(page):
-        words = page[at:tag.start()]
-        at = tag.end()
+    for start, end, name, inner in tags(page):
+        words, at = page[at:start], end
         if words:
             (title if in_title else out).append(words)
             if anchor is not None:
                 anchor.append(words)
-        name = (tag[1] or "").lower()
         if name.lstrip("/") in BLOCKS:
             out.append("\n")
         if name in ("title", "/title"):
             in_title = name == "title"
         elif name in ("a", "img", "link", "meta"):
-            have = {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in _ATTRIBUTE.findall(tag[2] or "")}
+            have = {m[1].lower(): unescaped(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(inner) if m.end() > m.end(1)}
             where = have.get("href") if name != "img" else have.get("src")
             if where:
                 links.append({"path": f"{name}@/{'src' if name == 'img' else 'href'}", "url": _joined(base, where)})
@@ -79,11 +124,11 @@ def parsed(page: str, base: str) -> tuple[str, str, list, list]:
         elif name == "/a":
             anchor = None
     (title if in_title else out).append(page[at:])
-    tidy = lambda parts: " ".join(html.unescape("".join(parts)).split())
+    tidy = lambda parts: " ".join(unescaped("".join(parts)).split())
     for link in links:
         if "text" in link:
             link["text"] = tidy(link["text"])
-    lines = (" ".join(line.split()) for line in html.unescape("".join(out)).split("\n"))
+    lines = (" ".join(line.split()) for line in unescaped("".join(out)).split("\n"))
     return "\n".join(line for line in lines if line), tidy(title), links, metas
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tagloom.functions.text import fixed
 from tagloom.operators.ordering import bounded_lists, first_rows, positions, top_rows
+from tagloom.session import cut
 
 # Priority -> lowest quality accepted at that level, and its name.
 LEVELS = {1: (5.0, "official brand media"), 2: (6.0, "authorized distributor"),
@@ -198,19 +199,67 @@ def best_images(images: DataFrame, n: int = 10, prefer_high_res: bool = True) ->
     return top_rows(images, ["page_id"], n, F.desc(high), F.desc("score"), F.col("ord"))
 
 
-def unique_names(files: DataFrame) -> DataFrame:
-    """Target names per category without collisions.
+LONGEST_NAME = 255  # bytes, as file systems have it
 
-    The counter goes onto the already suffixed stem, so the third ``a.png``
-    becomes ``a_1_2.png`` as in the source.  Numbering runs inside one category
-    and name only.
+
+def _tail(slot: Column) -> Column:
+    """What the n-th try puts behind the stem: the counter goes onto the already suffixed stem, so ``_1``, ``_1_2``, .."""
+    return F.when(slot > 0, F.concat(F.lit("_"), F.array_join(F.sequence(F.lit(1), slot), "_"))).otherwise("")
+
+
+def unique_names(files: DataFrame, longest: int = LONGEST_NAME) -> DataFrame:
+    """``target`` for each file of a ``category``: in the order of ``ord`` (which must be total there) each takes its
+    ``name``, or the first of ``stem_1``, ``stem_1_2``, .. that no earlier file of the category has, be it as its own name or as a try.
+
+    A target over ``longest`` bytes is null, as no such file can be made, and keeps no name from others; so of
+    any number of equal names only the first hundred or so need to be looked at.  A null name has a null target.
+
+    A name ``t`` is a try of one other name at most: that which is left without ``_1_2_.._k`` at its end.  So names
+    form trees.  Inside a name its files take the tries in turn, leaving out those that a file of such a name took before;
+    whether a name itself is lost to the name above it hangs on whether that lost its own.  Both cases are worked
+    out for each name, and carried up the trees by doubling.
     """
-    placed = positions(files, ["category", "name"], [F.col("ord")], F.floor(F.col("ord") / 1_000_000), "_n")
-    stem = F.regexp_replace("name", r"\.[^.]*$", "")
-    suffix = F.regexp_extract("name", r"(\.[^.]*)$", 1)
-    tail = F.when(F.col("_n") > 1, F.concat(F.lit("_"), F.array_join(F.sequence(F.lit(1), F.col("_n") - 1), "_"))) \
-        .otherwise("")
-    return placed.select(*files.columns, F.concat(stem, tail, suffix).alias("target"))
+    tries = next(k for k in range(1, longest + 2) if sum(len(f"_{i}") for i in range(1, k + 1)) >= longest)
+    suffix = F.regexp_extract("name", r"(?s)^.+(\.[^.]+)$", 1)
+    named = files.select(*files.columns, F.struct("category").alias("_of"), suffix.alias("_suffix"),
+                         F.expr("substring(name, 1, length(name) - length(regexp_extract(name, '(?s)^.+(\\\\.[^.]+)$', 1)))").alias("_stem"))
+    firsts = top_rows(named.filter(F.col("name").isNotNull()).select("_of", "name", "_stem", "_suffix", "ord"), ["_of", "name"], tries, F.col("ord"))
+    names = firsts.groupBy("_of", "name", "_stem", "_suffix").agg(F.array_sort(F.collect_list("ord")).alias("at"))
+    count = F.coalesce(F.regexp_extract("_stem", r"_([1-9][0-9]{0,2})$", 1).try_cast("int"), F.lit(0))
+    below = cut(names.withColumn("k", F.when(count <= tries, count).otherwise(0)).withColumn("_end", _tail(F.col("k")))
+                .withColumn("up", F.when((F.col("k") > 0) & F.col("_stem").endswith(F.col("_end")) & (F.length("_stem") > F.length("_end")),
+                                         F.concat(F.expr("substring(_stem, 1, length(_stem) - length(_end))"), "_suffix"))).drop("_end"))
+    claims = below.filter("up is not null").groupBy("_of", F.col("up").alias("name")).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("k"), F.get("at", F.lit(0)).alias("first")))).alias("claims"))
+    trees = below.join(claims, ["_of", "name"], "left")
+
+    def taken(shut: bool) -> Column:
+        """Which try each file gets, if the name itself is lost or not."""
+        def step(acc: Column, k: Column) -> Column:
+            now = F.get("at", acc["i"])
+            lost = F.coalesce(F.try_element_at("claims", k) < now, F.lit(False)) | ((k == 0) & F.lit(shut))
+            return F.when(now.isNull() | lost, acc).otherwise(F.struct((acc["i"] + 1).alias("i"), F.array_append(acc["out"], k).alias("out")))
+
+        last = F.size("at") + F.coalesce(F.size("claims"), F.lit(0))
+        return F.aggregate(F.sequence(F.lit(0), last), F.struct(F.lit(0).alias("i"), F.expr("cast(array() as array<int>)").alias("out")), step)["out"]
+
+    trees = cut(trees.withColumns({"open": taken(False), "shut": taken(True)}))
+    above = trees.select("_of", F.col("name").alias("up"), F.col("at").alias("up_at"), "open", "shut")
+    lost = {case: F.coalesce(F.get("up_at", F.array_position(case, F.col("k")).cast("int") - 1) < F.get("at", F.lit(0)), F.lit(False)) for case in ("open", "shut")}
+    links = cut(trees.filter("up is not null").drop("open", "shut").join(above, ["_of", "up"])
+                .select("_of", "name", "up", lost["open"].alias("if_open"), lost["shut"].alias("if_shut")))
+    while True:
+        higher = links.select("_of", F.col("name").alias("up"), F.col("up").alias("top"), F.col("if_open").alias("up_open"), F.col("if_shut").alias("up_shut"))
+        joined = links.join(higher, ["_of", "up"])
+        if joined.isEmpty():
+            break
+        joined = links.join(higher, ["_of", "up"], "left")
+        follow = lambda case: F.when(F.coalesce(F.col(case), F.lit(case == "up_shut")), F.col("if_shut")).otherwise(F.col("if_open"))
+        links = cut(joined.select("_of", "name", F.coalesce("top", "up").alias("up"), follow("up_open").alias("if_open"), follow("up_shut").alias("if_shut")))
+    placed = (trees.join(links.filter("if_open").select("_of", "name", F.lit(True).alias("lost")), ["_of", "name"], "left")
+              .select("_of", "name", F.inline(F.arrays_zip(F.col("at").alias("ord"), F.when(F.col("lost"), F.col("shut")).otherwise(F.col("open")).alias("_try")))))
+    target = F.concat("_stem", _tail(F.col("_try")), "_suffix")
+    return named.join(placed, ["_of", "name", "ord"], "left").select(*files.columns, F.when(F.col("_try").isNotNull() & (F.octet_length(target) <= longest), target).alias("target"))
 
 
 def pack_metadata(files: DataFrame, sample: int = 10) -> DataFrame:

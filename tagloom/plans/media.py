@@ -77,11 +77,21 @@ def q_summary(spark, sf):
     return assets(spark, sf).groupBy("source", "lang").agg(F.count("*").alias("assets"))
 
 
-@query("unique_names", ASSETS + r""", r AS (SELECT asset_id, name, row_number() OVER (PARTITION BY source, name ORDER BY ord) AS n FROM assets)
-SELECT asset_id, regexp_replace(name, '\.[^.]*$', '') || CASE WHEN n > 1 THEN '_' || array_to_string(generate_series(1, n - 1), '_') ELSE '' END || regexp_extract(name, '(\.[^.]*)$', 1) AS target FROM r""")
+@query("unique_names", ASSETS.replace("WITH ", "WITH RECURSIVE ", 1) + r""", n AS (SELECT asset_id, source, ord, regexp_extract(name, '^.+(\.[^.]+)$', 1) AS suffix, name,
+ CASE ord % 7 WHEN 1 THEN '_1' WHEN 2 THEN '_1_2' WHEN 3 THEN '_1_1' ELSE '' END AS more FROM assets),
+f AS (SELECT asset_id, source, left(name, length(name) - length(suffix)) || more AS stem, suffix, row_number() OVER (PARTITION BY source ORDER BY ord) AS i FROM n),
+c AS (SELECT asset_id, source, i, [stem || x || suffix for x in (SELECT list(CASE WHEN k > 0 THEN '_' || array_to_string(range(1, k + 1), '_') ELSE '' END ORDER BY k) FROM range(0, 100) r(k))] AS tries FROM f),
+g AS (SELECT c.source, 0::BIGINT AS i, NULL::VARCHAR AS asset_id, NULL::VARCHAR AS target, []::VARCHAR[] AS taken FROM c GROUP BY 1
+ UNION ALL SELECT source, i, asset_id, CASE WHEN strlen(target) <= 255 THEN target END, CASE WHEN strlen(target) <= 255 THEN list_append(taken, target) ELSE taken END FROM (
+ SELECT c.source, c.i, c.asset_id, g.taken, [x for x in c.tries if NOT list_contains(g.taken, x)][1] AS target FROM g JOIN c ON c.source = g.source AND c.i = g.i + 1))
+SELECT asset_id, target FROM g WHERE i > 0""")
 def q_unique(spark, sf):
-    """W17."""
-    return A.unique_names(assets(spark, sf).select("asset_id", F.col("source").alias("category"), "name", "ord")).select("asset_id", "target")
+    """Every name beside names that look like its tries."""
+    more = F.expr("CASE ord % 7 WHEN 1 THEN '_1' WHEN 2 THEN '_1_2' WHEN 3 THEN '_1_1' ELSE '' END")
+    suffix = F.regexp_extract("name", r"^.+(\.[^.]+)$", 1)
+    stem = F.substring("name", F.lit(1), F.length("name") - F.length(suffix))
+    rows = assets(spark, sf).select("asset_id", F.col("source").alias("category"), F.concat(stem, more, suffix).alias("name"), "ord")
+    return A.unique_names(rows).select("asset_id", "target")
 
 
 @query("pack_metadata", ASSETS + """, r AS (SELECT source, name, row_number() OVER (PARTITION BY source ORDER BY ord) AS n FROM assets) SELECT source AS category, count(*) AS count, string_agg(name, '|' ORDER BY n) FILTER (n <= 10) AS files FROM r GROUP BY 1""")

@@ -17,6 +17,9 @@ from tagloom.rules.vocabulary import Vocabulary
 # Fixed values.
 CBD_FORMS_CHECKED = ["oil", "capsule", "topical", "tincture", "gummy", "shot", "patch", "paste",
                      "isolate", "edible", "beverage", "crumble", "shatter", "wax"]
+# Fixed values of the short form of the checks: the forms it knows, and words of devices whose ratio it does not ask for.
+CBD_FORMS_SHORT = ["oil", "capsule", "topical", "tincture", "gummy"]
+DEVICE_WORDS = ["pod kit", "pod vape", "refill pod", "device"]
 
 
 def kind(df: DataFrame | None = None) -> Column:
@@ -146,8 +149,12 @@ def adherence(products: DataFrame, vocabulary: Vocabulary | None = None) -> Data
                 F.lit("Tag not in approved vocabulary").alias("issue"))
 
 
-def expected_tag_issues(products: DataFrame) -> DataFrame:
-    """Tags a product should have by its category and handle, one row per gap."""
+def expected_tag_issues(products: DataFrame, short: bool = False) -> DataFrame:
+    """Tags a product should have by its category and handle, one row per gap.
+
+    The ``short`` form knows five CBD forms and asks no ratio of what its handle or title calls a device.
+    """
+    forms = CBD_FORMS_SHORT if short else CBD_FORMS_CHECKED
     handle = F.lower("handle")
     title = F.lower(F.coalesce("title", F.lit("")))
 
@@ -162,6 +169,8 @@ def expected_tag_issues(products: DataFrame) -> DataFrame:
     no_mg = ~any_tag(lambda t: t.contains("mg") & ~t.endswith("ml"))
     no_ratio = ~any_tag(lambda t: t.contains("/") & t.rlike("^[0-9]"))
     various = handle.contains("various") | title.contains("various")
+    if short:
+        various = various | contains_any(handle, DEVICE_WORDS) | contains_any(title, DEVICE_WORDS)
     issues = F.array_compact(F.array(
         issue((is_kind == "e-liquid") & no_mg & contains_any(handle, ["nic", "salt", "mg"]),
               "Missing nicotine strength tag", "nicotine_strength"),
@@ -169,7 +178,7 @@ def expected_tag_issues(products: DataFrame) -> DataFrame:
               "Missing VG/PG ratio tag", "vg_ratio"),
         issue((is_kind == "CBD") & ~any_tag(lambda t: t.endswith("mg"))
               & contains_any(handle, ["mg", "cbd", "cbg"]), "Missing CBD strength tag", "cbd_strength"),
-        issue((is_kind == "CBD") & ~any_tag(lambda t: t.isin(*CBD_FORMS_CHECKED)),
+        issue((is_kind == "CBD") & ~any_tag(lambda t: t.isin(*forms)),
               "Missing CBD form tag", "cbd_form"),
         issue((is_kind == "pod") & ~any_tag(lambda t: t.endswith("ml"))
               & contains_any(handle, ["ml", "pod"]), "Missing capacity tag", "capacity")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 import importlib
 
 AREAS = ["tagging", "controlled", "validation", "catalog_rows", "audits", "diffs", "learning", "media",
-         "matching", "web", "monitoring", "registries"]
+         "matching", "web", "monitoring", "registries", "storage"]
 
 
 def load():

@@ -189,6 +189,28 @@ def q_expected(spark, sf):
     return A.expected_tag_issues(audit(spark, sf))
 
 
+def _short(sql: str) -> str:
+    """The same gaps in the short form: five forms, and no ratio asked of devices."""
+    devices = "".join(f" AND NOT contains({c}, {quote(w)})" for w in A.DEVICE_WORDS for c in ("h", "t"))
+    return sql.replace(in_list("x", A.CBD_FORMS_CHECKED), in_list("x", A.CBD_FORMS_SHORT)).replace(
+        "AND NOT contains(h, 'various')", "AND NOT contains(h, 'various')" + devices)
+
+
+@query("expected_tag_issues_short", _short(EXPECTED.replace("lower(title) AS t", "lower(title || CASE WHEN ord % 3 = 0 THEN ' Pod Kit' ELSE '' END) AS t")) + " SELECT * FROM gaps")
+def q_expected_short(spark, sf):
+    """The short form; every third title names a device."""
+    rows = audit(spark, sf).withColumn("title", F.concat("title", F.when(F.col("ord") % 3 == 0, " Pod Kit").otherwise("")))
+    return A.expected_tag_issues(rows, short=True)
+
+
+@query("category_tag_rate", BASE + f""", b AS (SELECT coalesce(effective_type, list_filter(final_tags, lambda t: {in_list('t', VOCAB.categories)})[1]) AS category, len(final_tags) AS n FROM audit WHERE handle <> '' AND title <> '')
+SELECT count(*) AS total, count(category) AS tagged, count(*) - count(category) AS untagged, count(*) FILTER (category IS NOT NULL AND n <= 2) AS partial, round(count(category) / count(*) * 100, 6) AS tag_rate FROM b""")
+def q_category_rate(spark, sf):
+    """Shares of a run whose rows are stored."""
+    rows = audit(spark, sf).select("handle", "title", F.col("effective_type").alias("forced_category"), F.col("final_tags").alias("rule_tags"))
+    return A.tag_rate(rows, list(VOCAB.categories)).withColumn("tag_rate", F.round("tag_rate", 6))
+
+
 @query("issues_on_products", EXPECTED + """, l AS (SELECT handle, string_agg(issue, '; ' ORDER BY issue, expected) AS error_type FROM gaps GROUP BY handle)
 SELECT a.handle, coalesce(error_type, '') AS error_type FROM audit a LEFT JOIN l USING (handle)""")
 def q_issues(spark, sf):

@@ -5,6 +5,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tagloom.functions.text import split_tags
 from tagloom.operators import assets as A, health as H
 from tagloom.plans.registry import query
 from tagloom.plans.views import VIEWS, cte, table, view
@@ -95,20 +96,34 @@ def q_ordered_health(spark, sf):
     return _drained(spark, ordered_health_stream(stream, slot_seconds=21600)).select("site", "seq", "failures", "backoff_s", F.round("avg_ms", 4).alias("avg_ms"), "recent_blocks")
 
 
-@query("rate_windows", "WITH w AS (SELECT epoch(ts) AS e FROM events), s AS (SELECT unnest(range(0, 3)) AS k), x AS (SELECT (floor(e / 10) * 10 - k * 10)::BIGINT AS start FROM w, s WHERE e >= floor(e / 10) * 10 - k * 10 AND e < floor(e / 10) * 10 - k * 10 + 30) SELECT start, count(*) AS n FROM x GROUP BY 1")
+WINDOWS = "WITH w AS (SELECT epoch(ts) AS e FROM events), s AS (SELECT unnest(range(0, 3)) AS k), x AS (SELECT (floor(e / 10) * 10 - k * 10)::BIGINT AS start FROM w, s WHERE e >= floor(e / 10) * 10 - k * 10 AND e < floor(e / 10) * 10 - k * 10 + 30) SELECT start, count(*) AS n FROM x GROUP BY 1"
+
+
+@query("rate_windows", WINDOWS)
 def q_windows(spark, sf):
     """Sliding windows, batch form."""
     return table(spark, sf, "events").groupBy(F.window("ts", "30 seconds", "10 seconds")).agg(F.count("*").alias("n")) \
         .select(F.unix_seconds(F.col("window.start").cast("timestamp")).alias("start"), "n")
 
 
-@query("rate_stream")
+@query("rate_stream", f"SELECT * FROM ({WINDOWS}) WHERE (start + 30) * 1000 <= (SELECT max(epoch_ms(ts)) FROM events) - 600000")
 def q_rate_stream(spark, sf):
     """Windows closed by the watermark (the last ten minutes stay open)."""
     return _drained(spark, jobs.rate_stream(_event_stream(spark, sf))).select(F.unix_seconds("start").alias("start"), "n")
 
 
-@query("improvement_loop")
+def _rounds(n: int) -> str:
+    """The rounds as SQL, one after the other; a round without work repeats the last."""
+    sql = cte("audit") + """, s0 AS (SELECT handle, final_tags AS tags, needs_manual_review AS flag, coalesce(ai_confidence, 0.0) AS sure FROM audit),
+offered AS (SELECT handle, final_tags AS tags, coalesce(ai_review_confidence, 0.1) AS sure FROM audit)"""
+    for k in range(1, n + 1):
+        sql += f""", r{k} AS (SELECT avg((len(tags) > 0 AND NOT flag)::INT) AS rate FROM s{k - 1}), s{k} AS (SELECT s.handle,
+ CASE WHEN b THEN o.tags ELSE s.tags END AS tags, s.flag AND NOT b AS flag, CASE WHEN b THEN o.sure ELSE s.sure END AS sure
+ FROM (SELECT s.*, s.flag AND o.sure > s.sure AND (SELECT rate < 0.99 FROM r{k}) AS b FROM s{k - 1} s JOIN offered o USING (handle)) s JOIN offered o USING (handle))"""
+    return sql + f" SELECT flag AS needs_manual_review, count(*) AS products FROM s{n} GROUP BY 1"
+
+
+@query("improvement_loop", _rounds(3))
 def q_improve(spark, sf):
     """Flagged rows take surer answers, round by round."""
     from tagloom.operators.improve import improve
@@ -117,3 +132,26 @@ def q_improve(spark, sf):
     answers = rows.select("handle", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("round"), F.col("final_tags").alias("tags"),
                           F.coalesce("ai_review_confidence", F.lit(0.1)).alias("confidence"), F.lit(False).alias("needs_manual_review"))
     return improve(base, answers, 0.99, 3).groupBy("needs_manual_review").agg(F.count("*").alias("products"))
+
+
+@query("tag_use_stream", cte("audit") + ", t AS (SELECT unnest(final_tags) AS tag, processed_at FROM audit) SELECT tag, count(*) AS frequency, min(processed_at) AS first_used, max(processed_at) AS last_used FROM t GROUP BY tag")
+def q_tag_use_stream(spark, sf):
+    """T5 and A2: uses per tag kept by a stream, read back from its appended changes."""
+    _, columns = VIEWS["audit"]
+    parts = dict(columns)
+    orders = spark.readStream.schema(table(spark, sf, "orders").schema).option("pathGlobFilter", "orders.parquet").parquet(sf)
+    rows = orders.select(F.expr(parts["processed_at"]).alias("processed_at"), split_tags(F.expr(parts["final_tags_list"])).alias("final_tags"))
+    root = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    jobs.upsert(jobs.tag_use_stream(rows), f"{root}/out", f"{root}/state")
+    return jobs.read_upserts(spark, f"{root}/out", ["tag"])
+
+
+@query("new_handles_stream", cte("variants") + " SELECT handle, min(variant_sku) AS variant_sku, 'seen' AS tags FROM variants GROUP BY handle")
+def q_new_handles(spark, sf):
+    """T4: one row of each handle that no batch had before."""
+    parts = dict(VIEWS["variants"][1])
+    lines = spark.readStream.schema(table(spark, sf, "lineitem").schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf)
+    rows = lines.selectExpr(f"{parts['handle']} AS handle", f"{parts['variant_sku']} AS variant_sku")
+    root = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    jobs.tag_new(rows, lambda df: df.withColumn("tags", F.lit("seen")), f"{root}/out", f"{root}/state")
+    return spark.read.parquet(f"{root}/out").drop("epoch")

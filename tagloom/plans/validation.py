@@ -156,7 +156,15 @@ def q_cascade(spark, sf):
         "handle", F.array_join("tags", "|").alias("tags"), "confidence", "model_used", "needs_manual_review")
 
 
-@query("reprocess_decision")
+REREAD = PARSED.replace(".*?", ".*").replace(" AND json_extract(j, '$.confidence') IS NOT NULL", "")
+
+
+@query("reprocess_decision", REREAD + """, r AS (SELECT *, CASE WHEN len(tags) > 0 THEN model_rank END AS rk FROM p WHERE model_rank <= 2),
+best AS (SELECT handle, min(rk) AS rank, arg_min(struct_pack(tags, confidence, model), rk) AS b FROM r GROUP BY handle),
+k AS (SELECT handle, rank, b.model AS model, list_filter(list_transform(b.tags, lambda t: lower(trim(t))), lambda t: t <> '' AND t NOT IN ('the', 'but', 'for', 'with', 'product', 'item', 'unknown', 'n/a', 'none', 'null')) AS kept,
+ CASE WHEN rank IS NOT NULL THEN coalesce(b.confidence, 0.5) END AS confidence FROM best)
+SELECT handle, coalesce(array_to_string(kept, '|'), '') AS tags, confidence, model AS model_used, CASE WHEN rank IS NOT NULL THEN confidence < 0.6 OR len(kept) < 1 END AS needs_review,
+ CASE WHEN rank IS NULL THEN 'failed' WHEN confidence < 0.6 OR len(kept) < 1 THEN 'review' ELSE 'fixed' END AS status FROM k""")
 def q_reprocess(spark, sf):
     """F58c."""
     return R.reprocess(view(spark, sf, "responses")).select(

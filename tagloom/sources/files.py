@@ -5,7 +5,9 @@ reader never scans twice.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+
+from tagloom.session import cut
 
 # The columns of a catalogue export that the operators read.
 PRODUCT_COLUMNS = {
@@ -38,49 +40,95 @@ def column_or_blank(df: DataFrame, *names: str) -> Column:
 def read_csv(spark: SparkSession, path: str, tolerant: bool = False) -> DataFrame:
     """CSV with quoted multi-line bodies, every column text.
 
-    The header names the columns; ``tolerant`` drops malformed lines.
+    The header names the columns; ``tolerant`` leaves malformed records out, whatever columns are read later.
     """
-    return (spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
-            .option("mode", "DROPMALFORMED" if tolerant else "PERMISSIVE").option("inferSchema", False).csv(path))
+    plain = (spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
+             .option("mode", "PERMISSIVE").option("inferSchema", False))
+    if not tolerant:
+        return plain.csv(path)
+    columns = plain.csv(path).columns
+    return _marked(spark, path, columns).filter(F.col(_CORRUPT).isNull() & _touched(columns)).drop(_CORRUPT)
+
+
+_CORRUPT = "corrupt_record_text"
+
+
+def _marked(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """The records with the text of malformed ones in a further column, which makes the parser look at whole records."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, _CORRUPT]])
+    return (spark.read.schema(schema).option("header", True).option("multiLine", True).option("mode", "PERMISSIVE")
+            .option("escape", '"').option("columnNameOfCorruptRecord", _CORRUPT).csv(path))
+
+
+def _touched(columns: list[str]) -> Column:
+    """Always true.  A scan of nothing but the text of malformed records is refused, so another column is read too."""
+    return F.length(F.coalesce(F.col(f"`{columns[0]}`"), F.lit(""))) >= 0
 
 
 def read_rejects(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """The malformed lines of a CSV as text."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns] + [T.StructField("_corrupt", T.StringType())])
-    return (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("escape", '"')
-            .option("columnNameOfCorruptRecord", "_corrupt").csv(path).filter("_corrupt is not null").select("_corrupt"))
+    """The malformed records of a CSV as text."""
+    return _marked(spark, path, columns).filter(F.col(_CORRUPT).isNotNull() & _touched(columns)).select(F.col(_CORRUPT).alias("_corrupt"))
+
+
+#: So many splits of files are described to every task by broadcast (a path and three numbers each); more are joined by a shuffle.
+SPLITS_SENT = 50_000
+
+
+def numbered(read: DataFrame, name: str, file: str | None = None) -> DataFrame:
+    """Adds the place of each row, from 0: along all files by path, or, if ``file`` names a column for the
+    path, along its own file.
+
+    ``read`` is a scan of files as it comes from a reader.  Rows of one split of a file stay together in a
+    task, so a row's place in its split is told from ids that grow along the task.  One pass counts the rows of
+    each split (a narrow row for each is stored), their sums place the splits, and nothing is sorted.  Both
+    passes must see the same rows, so a reader that drops malformed rows should not be numbered.
+    """
+    at = read.select("*", F.col("_metadata.file_path").alias("split_file"), F.col("_metadata.file_block_start").alias("split_start"),
+                     F.monotonically_increasing_id().alias("split_id"))
+    splits = cut(at.groupBy("split_file", "split_start").agg(F.min("split_id").alias("first_id"), F.count("*").alias("rows_there")))
+    along = Window.partitionBy("split_file").orderBy("split_start").rowsBetween(Window.unboundedPreceding, -1)
+    placed = splits.select("split_file", "split_start", "first_id", F.coalesce(F.sum("rows_there").over(along), F.lit(0)).alias("rows_before"))
+    if file is None:
+        files = splits.groupBy("split_file").agg(F.sum("rows_there").alias("rows_there"))
+        ahead = files.select("split_file", F.coalesce(F.sum("rows_there").over(
+            Window.orderBy("split_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("files_before"))  # a row a file
+        placed = placed.join(ahead, "split_file").select("split_file", "split_start", "first_id", (F.col("rows_before") + F.col("files_before")).alias("rows_before"))
+    if splits.count() <= SPLITS_SENT:
+        placed = F.broadcast(placed)
+    place = (F.col("rows_before") + F.col("split_id") - F.col("first_id")).alias(name)
+    return at.join(placed, ["split_file", "split_start"]).select(
+        *[F.col(f"`{c}`") for c in read.columns], *([F.col("split_file").alias(file)] if file else []), place)
 
 
 def read_products(spark: SparkSession, path: str) -> DataFrame:
     """Catalogue rows under plain names, missing values blank; all other columns follow
     under their own names, so an export can be written back with all of them.
 
-    ``ord`` is the row order inside the file's split; give a natural key instead
-    where the file has one.
+    ``ord`` is the row's place over all files by path, from 0.
     """
-    raw = require_columns(read_csv(spark, path), ["Handle", "Title"])
+    raw = numbered(require_columns(read_csv(spark, path), ["Handle", "Title"]), "place_in_files")
     named = [column_or_blank(raw, *(SKU_NAMES if new == "variant_sku" else [old])).alias(new)
              for old, new in PRODUCT_COLUMNS.items()]
     used = {*PRODUCT_COLUMNS, *SKU_NAMES}
-    more = [F.col(f"`{c}`") for c in raw.columns if c not in used and c not in PRODUCT_COLUMNS.values() and c != "ord"]
-    rows = raw.select(*named, *more)
-    clean = [F.when(F.col(f"`{c}`").isNull() | (F.col(f"`{c}`") == "nan"), "").otherwise(F.col(f"`{c}`")).alias(c) for c in rows.columns]
-    return rows.select(*clean, F.monotonically_increasing_id().alias("ord"))
+    more = [F.col(f"`{c}`") for c in raw.columns if c not in used and c not in PRODUCT_COLUMNS.values() and c not in ("ord", "place_in_files")]
+    rows = raw.select(*named, *more, "place_in_files")
+    clean = [F.when(F.col(f"`{c}`").isNull() | (F.col(f"`{c}`") == "nan"), "").otherwise(F.col(f"`{c}`")).alias(c) for c in rows.columns[:-1]]
+    return rows.select(*clean, F.col("place_in_files").alias("ord"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines with their number in the file (registries and robots files are small documents)."""
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return text.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line")) \
-        .select("file", (F.col("pos") + 1).cast("long").alias("line_no"), "line")
+    """Text lines with their number in the file, from 1.  A large file is read by many tasks."""
+    lines = numbered(spark.read.option("lineSep", "\n").text(path), "place", file="file")
+    return lines.select("file", (F.col("place") + 1).alias("line_no"), F.regexp_replace("value", r"\r$", "").alias("line"))
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """JSON documents or lines with a given schema."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_json(spark: SparkSession, path: str, schema: T.StructType | str, lines: bool = False) -> DataFrame:
+    """JSON documents (an object or an array of objects a file), or one object per line, with a given schema."""
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
+    """One JSON object per line; missing values are left out."""
     df.write.mode("overwrite").json(path)
 
 
@@ -135,9 +183,9 @@ def file_inventory(spark: SparkSession, path: str, suffixes: list[str] | None =
 
 
 def read_inventories(spark: SparkSession, pattern: str, schema: T.StructType | str, site: str | None = None,
-                     brand: str | None = None, category: str | None = None) -> DataFrame:
+                     brand: str | None = None, category: str | None = None, lines: bool = False) -> DataFrame:
     """Products of many inventory files, filtered by site, brand or category."""
-    rows = read_json(spark, pattern, schema)
+    rows = read_json(spark, pattern, schema, lines)
     for col, wanted in (("site", site), ("brand", brand), ("category", category)):
         if wanted is not None:
             rows = rows.filter(F.col(col) == wanted)

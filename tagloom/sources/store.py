@@ -35,6 +35,10 @@ class AuditStore:
         """Products of a run; rows of one run go to one folder whatever their number."""
         products.select("*", F.lit(run_id).alias("run_id")).write.mode("append").partitionBy("run_id").parquet(self._products)
 
+    def append_runs(self, products: DataFrame) -> None:
+        """Products of many runs, which their ``run_id`` names."""
+        products.write.mode("append").partitionBy("run_id").parquet(self._products)
+
     def runs(self) -> DataFrame:
         return run_states(self.spark.read.parquet(self._runs))
 

@@ -1,12 +1,13 @@
 """Structured Streaming forms of the stateful operators."""
 from __future__ import annotations
 
+import datetime as dt
 import json
-import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tagloom.operators.health import BLOCKING, FIRST_BACKOFF, HISTORY, RECENT, TOP_BACKOFF
@@ -14,6 +15,7 @@ from tagloom.operators.health import BLOCKING, FIRST_BACKOFF, HISTORY, RECENT, T
 HEALTH_OUT = """site string, seq long, ts timestamp, failures long, backoff_s int, avg_ms double,
                 recent_blocks long, total_checks long, late long"""
 HEALTH_STATE = "body string"
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _start() -> dict:
@@ -94,22 +96,18 @@ def run_once(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
-def _prefix(key: str) -> Column:
-    """256 partitions by hash, so that a batch reads and writes the parts of its own keys."""
-    return F.substring(F.md5(F.col(key).cast("string")), 1, 2)
-
-
 def append_cache_batch(path: str):
-    """``foreachBatch`` function: append a batch of cache rows as its epoch; a repeated epoch overwrites itself."""
+    """``foreachBatch`` function: append a batch of cache rows as its epoch, in no more files than the batch has
+    tasks; a repeated epoch overwrites itself."""
     def append(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("prefix", _prefix("content_hash")).write.mode("overwrite").partitionBy("prefix").parquet(f"{path}/epoch={epoch}")
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
     return append
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """The latest row per content hash over all epochs; of equal times, the later epoch's."""
     rows = spark.read.parquet(path)
-    others = [c for c in rows.columns if c not in ("content_hash", "prefix", "epoch")]
+    others = [c for c in rows.columns if c not in ("content_hash", "epoch")]
     return rows.groupBy("content_hash").agg(F.max_by(F.struct(*others), F.struct("cached_at", "epoch")).alias("r")).select("content_hash", "r.*")
 
 
@@ -118,26 +116,85 @@ def compact_cache(spark: SparkSession, path: str, target: str) -> None:
     append_cache_batch(target)(read_cache(spark, path), 0)
 
 
-def tag_new_batch(done_path: str, tag):
-    """``foreachBatch`` function: tag only handles never processed, in any batch.
+def tag_use_stream(products: DataFrame, tags: str = "final_tags", ts: str = "processed_at") -> DataFrame:
+    """Uses per tag with first and last use, kept up to date: run it in update mode, where a batch gives the tags it
+    changed.  The state is one row per tag."""
+    return products.select(F.explode(tags).alias("tag"), F.col(ts).alias("ts")).groupBy("tag").agg(
+        F.count("*").alias("frequency"), F.min("ts").alias("first_used"), F.max("ts").alias("last_used"))
+
+
+def upsert(changes: DataFrame, out: str, checkpoint: str) -> None:
+    """Drain a stream in update mode: each batch's changed rows are appended as its epoch."""
+    query = (changes.writeStream.foreachBatch(append_cache_batch(out)).option("checkpointLocation", checkpoint)
+             .outputMode("update").trigger(availableNow=True).start())
+    query.awaitTermination()
+
+
+def read_upserts(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The row of each key's last epoch."""
+    rows = spark.read.parquet(path)
+    others = [c for c in rows.columns if c not in (*keys, "epoch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "epoch").alias("r")).select(*keys, "r.*")
+
+
+_ROW = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}  # to the microsecond; doubles and decimals keep their digits
+
 
-    ``tag`` turns products into tagged rows with ``handle``; results are appended under the epoch's folder by
-    the handle's hash, so a repeated epoch overwrites itself and a batch looks only where its handles can be.
-    Of several rows of a handle the least by all columns is taken, the same one every time.
+class FirstSeen(StatefulProcessor):
+    """Gives each handle's least row in the batch that first has it; what stays is one flag a handle."""
+
+    def __init__(self, forget_ms: int | None) -> None:
+        self.forget_ms = forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "handle string", "seen boolean", self.forget_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        least: dict[str, str] = {}
+        for frame in rows:
+            for name, body in frame.groupby("handle")["body"].min().items():
+                least[name] = min(body, least.get(name, body))
+        new = [name for name in least if not self.seen.containsKey((name,))]
+        for name in new:
+            self.seen.updateValue((name,), (True,))
+        yield pd.DataFrame({"handle": new, "body": [least[name] for name in new]}, dtype=object)
+
+    def close(self) -> None:
+        pass
+
+
+def new_handles(products: DataFrame, forget_after: dt.timedelta | None = None, buckets: int = 256) -> DataFrame:
+    """One row for each handle that no batch had before (not for ``forget_after``, if given), in append mode.
+
+    Old output is not read: a handle's state is one flag in the state store, so a batch costs what its own rows
+    cost, and a repeated epoch starts from the same state and gives the same rows.  Of several rows of a handle in
+    its first batch the least, as JSON text, is taken; rows without a handle are left out.  Handles go by hash to
+    ``buckets``, which stay the same as long as the checkpoint is used; a task holds one row for each handle that a
+    batch has in a bucket, so take more for large batches.  Needs the RocksDB state store, which is set for the session.
+    With ``forget_after`` the engine looks for expired state again and again, so such a stream suits a query that
+    runs on, not one that drains.
     """
+    products.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    others = products.drop("handle")
+    rows = products.filter("handle is not null").select(
+        F.pmod(F.xxhash64("handle"), F.lit(buckets)).cast("int").alias("bucket"), "handle",
+        F.to_json(F.struct(*[F.col(f"`{c}`") for c in others.columns]), _ROW).alias("body"))
+    first = rows.groupBy("bucket").transformWithStateInPandas(
+        statefulProcessor=FirstSeen(None if forget_after is None else int(forget_after.total_seconds() * 1000)),
+        outputStructType="handle string, body string", outputMode="append",
+        timeMode="None" if forget_after is None else "ProcessingTime")
+    return first.select("handle", F.from_json("body", others.schema, _ROW).alias("r")).select("handle", "r.*")
+
+
+def tagged_by_epoch(done_path: str, tag):
+    """``foreachBatch`` function: tag a batch and write it as its epoch; a repeated epoch overwrites its own folder."""
     def process(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        others = [c for c in batch.columns if c != "handle"]
-        row = F.min(F.struct(*others) if others else F.struct(F.lit(0))).alias("r")
-        fresh = batch.groupBy("handle").agg(row).select("handle", *[F.col(f"r.{c}").alias(c) for c in others])
-        root = spark._jvm.org.apache.hadoop.fs.Path(done_path)
-        fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-        if fs.exists(root):
-            folders = [s.getPath().toString() for s in fs.listStatus(root)
-                       if s.getPath().getName().startswith("epoch=") and int(s.getPath().getName()[6:]) < epoch]
-            if folders:
-                prefixes = [r[0] for r in batch.select(_prefix("handle")).distinct().collect()]  # at most 256
-                seen = spark.read.option("basePath", done_path).parquet(*folders).filter(F.col("prefix").isin(prefixes)).select("handle").distinct()
-                fresh = fresh.join(seen, "handle", "left_anti")
-        tag(fresh).withColumn("prefix", _prefix("handle")).write.mode("overwrite").partitionBy("prefix").parquet(os.path.join(done_path, f"epoch={epoch}"))
+        tag(batch).write.mode("overwrite").parquet(f"{done_path}/epoch={epoch}")
     return process
+
+
+def tag_new(products: DataFrame, tag, done_path: str, checkpoint: str) -> None:
+    """Drain a stream of products: tag the handles never processed and append the rows by epoch."""
+    query = (new_handles(products).writeStream.foreachBatch(tagged_by_epoch(done_path, tag)).option("checkpointLocation", checkpoint)
+             .outputMode("append").trigger(availableNow=True).start())
+    query.awaitTermination()

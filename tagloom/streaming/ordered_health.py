@@ -14,12 +14,11 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tagloom.operators.health import BLOCKING
-from tagloom.streaming.jobs import _apply, _start
+from tagloom.streaming.jobs import PROVIDER, _apply, _start
 
 OUT = "site string, seq long, ts timestamp, failures long, backoff_s int, avg_ms double, recent_blocks long, total_checks long"
 STATE = "times array<double>, codes array<int>, failures long, backoff int, until double, total long"
 WAITING = "us array<long>, seq array<long>, ms array<double>, code array<int>, kind array<string>"
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _plain(value, kind):

@@ -146,12 +146,58 @@ def test_cache_and_incremental_batches(spark, tmp_path):
     assert [r.tags for r in jobs.read_cache(spark, path).collect()] == [["new"]]
     jobs.compact_cache(spark, path, str(tmp_path / "compact"))
     assert [r.tags for r in jobs.read_cache(spark, str(tmp_path / "compact")).collect()] == [["new"]]
-    done = str(tmp_path / "done")
-    step = jobs.tag_new_batch(done, lambda df: df.withColumn("tags", F.lit("t")))
-    products = spark.createDataFrame([("a",), ("b",), ("a",)], "handle string")
-    step(products, 0)
-    step(products.union(spark.createDataFrame([("c",)], "handle string")), 1)
-    assert sorted(r.handle for r in spark.read.parquet(done).collect()) == ["a", "b", "c"]
+
+
+def test_only_new_handles_are_tagged(spark, tmp_path):
+    source, done = str(tmp_path / "in"), str(tmp_path / "done")
+    batches = [[("a", 2, None), ("b", 1, 1.5), ("a", 1, None)], [("a", 0, 9.0), ("c", None, None)], [("b", 7, 1.0)]]
+    schema = "handle string, n long, x double"
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    try:
+        for rows in batches:  # a run for each batch: what was seen is kept in the checkpoint alone
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+            stream = spark.readStream.schema(schema).parquet(source)
+            jobs.tag_new(stream, lambda df: df.withColumn("tags", F.lit("t")), done, str(tmp_path / "cp"))
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    got = {(r.handle, r.n, r.x, r.tags) for r in spark.read.parquet(done).collect()}
+    assert got == {("a", 1, None, "t"), ("b", 1, 1.5, "t"), ("c", None, None, "t")}
+
+
+def test_tag_use_follows_batches(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "final_tags array<string>, processed_at date"
+    for day, tags in [(1, ["ice", "cola"]), (3, ["ice"]), (2, ["mint", "ice"])]:
+        spark.createDataFrame([(tags, dt.date(2024, 1, day))], schema).coalesce(1).write.mode("append").parquet(source)
+        jobs.upsert(jobs.tag_use_stream(spark.readStream.schema(schema).parquet(source)), out, str(tmp_path / "cp"))
+    got = {r.tag: (r.frequency, r.first_used.day, r.last_used.day) for r in jobs.read_upserts(spark, out, ["tag"]).collect()}
+    assert got == {"ice": (3, 1, 3), "cola": (1, 1, 1), "mint": (1, 2, 2)}
+
+
+def test_rows_are_numbered_over_files_and_splits(spark, tmp_path):
+    folder = tmp_path / "lines"
+    folder.mkdir()
+    for name, n in (("b.txt", 4000), ("a.txt", 10), ("c.txt", 1)):
+        (folder / name).write_text("".join(f"{name}-{i}\r\n" for i in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        lines = files.read_lines(spark, str(folder)).collect()
+        rows = files.numbered(spark.read.text(str(folder)), "place")
+        assert rows.rdd.getNumPartitions() > 4 or rows.count() == 4011
+        places = [r.value for r in sorted(rows.collect(), key=lambda r: r.place)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(lines) == 4011 and all(r.line == f"{r.file[-5:]}-{r.line_no - 1}" for r in lines)
+    assert places == [f"{name}-{i}" for name, n in (("a.txt", 10), ("b.txt", 4000), ("c.txt", 1)) for i in range(n)]
+
+
+def test_malformed_records_go_whatever_is_read(spark, tmp_path):
+    path = tmp_path / "bad.csv"
+    path.write_text('a,b\n1,2\n1,2,3,4\n"x\ny",5\n')
+    kept = files.read_csv(spark, str(path), tolerant=True)
+    assert kept.count() == 2 and {r.a for r in kept.select("a").collect()} == {"1", "x\ny"}
+    assert [r._corrupt.strip() for r in files.read_rejects(spark, str(path), ["a", "b"]).collect()] == ["1,2,3,4"]
 
 
 def test_long_lists_keep_positions_and_products(spark):

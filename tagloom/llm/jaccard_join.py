@@ -23,7 +23,7 @@ from tagloom.llm.stored import join_counted, likely_in, stored
 from tagloom.llm.words import LOWER, NOT_SPACE, Words, mixed, span_hashes, window_hashes, word_chunks
 
 SIZE, WORDS = 64, 5
-BUCKET, BLOCK = 256, 1024
+BUCKET, BLOCK = 1024, 1024
 _FACTORS = (np.random.default_rng(5).integers(0, 1 << 63, SIZE, np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
@@ -141,7 +141,7 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def clustered(rows: DataFrame, alike: int, threshold: float) -> DataFrame:
     """Compares the sets of each (path, chunk), sorted so; gives each set's root in it and, for the roots of a
-    large bucket, the paths to go on with."""
+    large bucket, the paths to go on with and the sketch, so that no later level has to look it up."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups(batches, ["path", "chunk"]):
             path, chunk = (batch.column(k).to_numpy() for k in ("path", "chunk"))
@@ -167,9 +167,10 @@ def clustered(rows: DataFrame, alike: int, threshold: float) -> DataFrame:
             both = pa.array(np.concatenate([linked, on]))
             yield pa.RecordBatch.from_arrays([
                 rep.take(both), pa.concat_arrays([rep.take(pa.array(root[linked])), pa.nulls(len(on), pa.int64())]),
-                pa.concat_arrays([pa.nulls(len(linked), pa.int64()), pa.array(nodes)])], ["rep", "root", "path"])
+                pa.concat_arrays([pa.nulls(len(linked), pa.int64()), pa.array(nodes)]),
+                pa.concat_arrays([pa.nulls(len(linked), pa.binary()), pa.array([row.tobytes() for row in sketch[on]], pa.binary())])], ["rep", "root", "path", "sketch"])
 
-    return rows.mapInArrow(compare, "rep long, root long, path long")
+    return rows.mapInArrow(compare, "rep long, root long, path long, sketch binary")
 
 
 def started(sets: DataFrame, threshold: float, runs: range) -> DataFrame:
@@ -188,24 +189,25 @@ def started(sets: DataFrame, threshold: float, runs: range) -> DataFrame:
     return sets.select("rep", "sketch").mapInArrow(start, "rep long, path long")
 
 
-def descended(active: DataFrame, sketches: DataFrame, threshold: float, alike: int) -> tuple[DataFrame, int, DataFrame | None]:
-    """Links found on and below the nodes of ``active``, how many levels they took, and, if over two, the sets in
-    buckets that were split at the second."""
+def descended(active: DataFrame, sketches: DataFrame, threshold: float, alike: int, further: bool = False) -> tuple[DataFrame, int, DataFrame | None]:
+    """Links found on and below the nodes of ``active``, how many levels they took, and, if over two and these are
+    not ``further`` runs, the sets in buckets that were split at the second."""
     links, level, deep = None, 0, None
     while True:
         sizes = active.groupBy("path").agg(F.count("*").alias("c")).filter("c > 1")
-        rows = (active.join(sizes, "path").join(sketches, "rep")
-                .select("rep", "sketch", "path", (F.col("c") > BUCKET).alias("large"),
+        met = active.join(sizes, "path")
+        met = met if level else met.join(sketches, "rep")  # most nodes below the roots hold one set, whose sketch need not move
+        rows = (met.select("rep", "sketch", "path", (F.col("c") > BUCKET).alias("large"),
                         F.when(F.col("c") <= BUCKET, 0).otherwise(F.pmod(F.xxhash64("rep", "path"), F.ceil(F.col("c") / (BUCKET / 2)))).cast("long").alias("chunk")))
         dealt = rows.repartition("path", "chunk").sortWithinPartitions("path", "chunk", "rep")
         found = stored(clustered(dealt, alike, threshold))
         here = found.filter("root is not null").select(F.col("rep").alias("a"), F.col("root").alias("b"))  # components() folds repeats of all levels at once
         links = here if links is None else links.unionByName(here)
-        onward = found.filter("path is not null").select("rep", "path")  # a child has one parent, so none repeats
+        onward = found.filter("path is not null").select("rep", "path", "sketch")  # a child has one parent, so none repeats
         level += 1
         if onward.isEmpty():
             return links, level, deep
-        if level == 2:
+        if level == 2 and not further:
             deep = stored(active.join(sizes.filter(F.col("c") > BUCKET), "path").select("rep").distinct())
         active = onward
 
@@ -219,7 +221,7 @@ def candidates(sets: DataFrame, threshold: float, alike: int, recall: float, run
     links, levels, deep = descended(sets.select("rep", F.explode("paths").alias("path")), sketches, threshold, alike)
     while deep is not None and runs_at(recall, levels, threshold) > runs:
         more = range(runs, runs_at(recall, levels, threshold))
-        again, reached, _ = descended(stored(started(sketches.join(deep, "rep"), threshold, more)), sketches, threshold, alike)
+        again, reached, _ = descended(stored(started(sketches.join(deep, "rep"), threshold, more)), sketches, threshold, alike, True)
         links, levels, runs = links.unionByName(again), max(levels, reached), more.stop
     return links
 
@@ -227,7 +229,8 @@ def candidates(sets: DataFrame, threshold: float, alike: int, recall: float, run
 def components(links: DataFrame) -> DataFrame:
     """``v, label``: the least vertex of each one's component.  Labels spread along links and jump to their
     label's label, so the rounds grow with the logarithm of a component's width; each round is stored."""
-    both = stored(links.select(F.col("a").alias("v"), F.col("b").alias("u")).union(links.select("b", "a")).distinct())
+    ends = F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("u")), F.struct(F.col("b").alias("v"), F.col("a").alias("u")))
+    both = stored(links.select(F.inline(ends)).distinct())
     labels = both.groupBy("v").agg(F.least(F.col("v"), F.min("u")).alias("label"))
     labels = stored(labels)
     while True:

@@ -275,7 +275,7 @@ def test_runs_follow_the_depth(spark, monkeypatch):
     # sets in buckets that were split at five levels get the runs of five levels, the others no more
     asked = []
 
-    def descended(active, sketches, threshold, alike):
+    def descended(active, sketches, threshold, alike, further=False):
         asked.append({r.rep: r.n for r in active.groupBy("rep").agg(F.count("*").alias("n")).collect()})
         return spark.createDataFrame([(1, 2 + len(asked))], "a long, b long"), 5, spark.createDataFrame([(1,), (3,)], "rep long")
 

@@ -26,6 +26,7 @@ THRESHOLD = 0.90   # fixed value: least similarity of duplicates
 FLOOR = 0.70       # fixed value: least similarity worth reporting
 BANDED = 9         # largest distance that bands find
 TILE = 8192        # distinct hashes in a tile
+BLOCK = 256        # images of one hash that are paired as one row
 
 
 def sign_hash(vector: Column) -> Column:
@@ -184,6 +185,46 @@ def similar_images(hashes: DataFrame, threshold: float = THRESHOLD, floor: float
         (F.col("copies_1") * F.col("copies_2")).alias("pairs"))
 
 
+def image_pairs(hashes: DataFrame, floor: float = FLOOR, block: int = BLOCK) -> DataFrame:
+    """Every pair of images at least ``floor`` similar, copies among them: image, source and ``ord`` of both, the smaller
+    ``ord`` first, and their distance.
+
+    The images of a hash are dealt in blocks of about ``block``, and a pair of near hashes, or a hash with itself, meets
+    as pairs of blocks, so a hash with many copies is spread over tasks; the answer grows with the square of its copies.
+    """
+    folded = cut(fold_copies(hashes).select("hash", F.col("ord").cast("long").alias("ord"), "image", "copies",
+                                            F.ceil(F.col("copies") / block).alias("blocks")))
+    many = folded.filter("blocks > 1").select("ord", "blocks")
+    own = folded.select("hash", F.col("ord").alias("lead"), "blocks")
+    blocks = hashes.select("hash", F.struct("ord", "image", "source").alias("one")).join(own, "hash") \
+        .groupBy("lead", F.pmod(F.xxhash64("one.ord"), F.col("blocks")).alias("block")).agg(F.collect_list("one").alias("images"))
+
+    def numbers(name: str, start: Column) -> Column:
+        return F.explode(F.sequence(start, F.col(name) - 1))
+
+    met = hash_pairs(folded, max_distance(floor))
+    for n in (1, 2):
+        met = met.join(many.select(F.col("ord").alias(f"ord_{n}"), F.col("blocks").alias(f"blocks_{n}")), f"ord_{n}", "left") \
+            .withColumn(f"blocks_{n}", F.coalesce(f"blocks_{n}", F.lit(1).cast("long")))
+    zero = F.lit(0).cast("long")
+    unlike = met.select("ord_1", "ord_2", "distance", "blocks_2", numbers("blocks_1", zero).alias("block_1")) \
+        .select("ord_1", "ord_2", "distance", "block_1", numbers("blocks_2", zero).alias("block_2"))
+    alike = folded.filter("copies > 1").select(F.col("ord").alias("ord_1"), F.col("ord").alias("ord_2"), F.lit(0).alias("distance"), "blocks",
+                                               numbers("blocks", zero).alias("block_1")) \
+        .select("ord_1", "ord_2", "distance", "block_1", numbers("blocks", F.col("block_1")).alias("block_2"))
+    pairs = unlike.unionByName(alike)
+    for n in (1, 2):
+        pairs = pairs.join(blocks.select(F.col("lead").alias(f"ord_{n}"), F.col("block").alias(f"block_{n}"), F.col("images").alias(f"images_{n}")),
+                           [f"ord_{n}", f"block_{n}"])
+    inside = (F.col("ord_1") == F.col("ord_2")) & (F.col("block_1") == F.col("block_2"))
+    rows = pairs.select(inside.alias("inside"), "distance", "images_2", F.explode("images_1").alias("a")) \
+        .select("inside", "distance", "a", F.explode("images_2").alias("b")).filter(~F.col("inside") | (F.col("a.ord") < F.col("b.ord")))
+    swap = F.col("a.ord") > F.col("b.ord")
+    sides = [F.when(swap, F.col(f"{two}.{name}")).otherwise(F.col(f"{one}.{name}")).alias(f"{name}_{n}")
+             for name in ("image", "source", "ord") for n, one, two in ((1, "a", "b"), (2, "b", "a"))]
+    return rows.select(*sides, "distance")
+
+
 def copy_groups(hashes: DataFrame) -> DataFrame:
     """Hashes with copies: first image, copies, and the image pairs among them."""
     return fold_copies(hashes).filter("copies > 1").select(

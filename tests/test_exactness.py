@@ -145,6 +145,17 @@ def test_cross_source_counts(spark):
     assert S.near_duplicates_across(df).agg(F.sum("pairs")).first()[0] == want
 
 
+def test_every_image_pair_is_listed_with_copies(spark):
+    rows, df = images(spark)
+    at = {r[0]: r for r in rows}
+    want = {(a[0], b[0], apart(a[3], b[3])) for i, a in enumerate(rows) for b in rows[i + 1:] if apart(a[3], b[3]) <= 19}
+    assert any(d == 0 for _, _, d in want)
+    for block in (2, S.BLOCK):
+        got = [tuple(r) for r in S.image_pairs(df, block=block).select("image_1", "image_2", "distance", "source_1", "source_2").collect()]
+        assert len(got) == len(want) and {r[:3] for r in got} == want
+        assert all((s1, s2) == (at[a][1], at[b][1]) for a, b, _, s1, s2 in got)
+
+
 def test_groups_equal_the_sequential_loop(spark):
     rows, df = images(spark)
     done, want = set(), set()

@@ -55,3 +55,12 @@ def test_brands_by_list_order(spark):
     got = {r.row_id: r.brand for r in P.match_brands(rows, brands).collect()}
     assert got == {1: "Geek Bar", 2: "Geek Bar"}
     assert P.match_brands(rows, brands).filter(F.col("row_id") == 3).count() == 0
+
+
+def test_other_references_stay_if_asked(spark):
+    html = ("<title>a &amp; b &lt;c&gt; d&amp</title><script type='application/ld+json'>{\"@type\": \"Product\", \"description\": \"x & y\"}</script>"
+            "<h1>A&ltB&ampx&#65;&quot; & C&am</h1><script>&amp")
+    pages = spark.createDataFrame([(1, "https://x.com/", html)], "page_id long, url string, html string")
+    row = P.page_metadata(html_elements(pages, references=["lt", "gt", "amp"]), pages).first()
+    assert (row.title, row.product_name, row.description) == ("a & b <c> d&amp", "A&ltB&ampx&#65;&quot; & C&am", "x & y")
+    assert P.page_metadata(html_elements(pages), pages).first().title == "a & b <c> d&"

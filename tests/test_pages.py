@@ -64,3 +64,22 @@ def test_other_references_stay_if_asked(spark):
     row = P.page_metadata(html_elements(pages, references=["lt", "gt", "amp"]), pages).first()
     assert (row.title, row.product_name, row.description) == ("a & b <c> d&amp", "A&ltB&ampx&#65;&quot; & C&am", "x & y")
     assert P.page_metadata(html_elements(pages), pages).first().title == "a & b <c> d&"
+
+
+def test_elements_are_given_on_by_a_few_megabytes(spark, monkeypatch):
+    from tagloom.functions import html
+    assert len(html._batch([(1, 0, "a", {"href": "x"}, "t", "x", [], ["p"])])) == 1
+    sizes = []
+
+    class Pages:  # stands in for a table, to see the batches
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, parse, schema):
+            import pyarrow as pa
+            many = 400
+            batch = pa.RecordBatch.from_pydict({"page_id": list(range(many)), "url": ["https://x.com/"] * many, "html": ["<div><p>" + "word " * 4000 + "</p></div>"] * many})
+            sizes.extend((b.num_rows, b.nbytes) for b in parse([batch]))
+
+    html.html_elements(Pages())
+    assert sum(n for n, _ in sizes) == 800 and max(size for _, size in sizes) < 3 * html.HELD

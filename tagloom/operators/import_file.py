@@ -57,9 +57,13 @@ def import_file(products: DataFrame) -> DataFrame:
     return spread.select(*[F.coalesce(made.get(name, F.lit("")), F.lit("")).alias(name) for name in HEADERS])
 
 
-def write_import_csv(rows: DataFrame, path: str) -> None:
-    """CSV with a header; quotes are doubled, as spreadsheets do, and texts keep their lines."""
-    rows.write.mode("errorifexists").csv(path, header=True, escape='"', quoteAll=True, encoding="UTF-8")
+FILE_ROWS = 50_000  # a file with line breaks in texts is read whole by one task, so files are kept short
+
+
+def write_import_csv(rows: DataFrame, path: str, file_rows: int = FILE_ROWS) -> None:
+    """CSV with a header; quotes are doubled, as spreadsheets do, and texts keep their lines.  A task begins a new file
+    after ``file_rows`` rows."""
+    rows.write.mode("errorifexists").option("maxRecordsPerFile", file_rows).csv(path, header=True, escape='"', quoteAll=True, encoding="UTF-8")
 
 
 def read_import_csv(spark, path: str) -> DataFrame:

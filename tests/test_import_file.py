@@ -29,3 +29,12 @@ def test_rows_and_csv(spark, tmp_path):
 def test_a_title_alone_is_enough(spark):
     row = I.import_file(spark.createDataFrame([("Some Pod",)], "title string")).first()
     assert row["Handle"] == "some-pod" and row["Variant Price"] == "" and row["SEO Description"] == ""
+
+
+def test_no_file_is_longer_than_its_share(spark, tmp_path):
+    rows = spark.range(1000).coalesce(1).selectExpr("concat('Item \\n', id) AS title")
+    I.write_import_csv(I.import_file(rows), str(tmp_path / "out"), file_rows=300)
+    assert len(list((tmp_path / "out").glob("*.csv"))) == 4
+    back = I.read_import_csv(spark, str(tmp_path / "out"))
+    assert back.select("Title").distinct().count() == back.count() == 1000
+    assert 40_000 <= I.FILE_ROWS <= 100_000

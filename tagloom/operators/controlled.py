@@ -9,6 +9,7 @@ from tagloom.functions import extract as X
 from tagloom.functions.text import contains_any, let, substring_tags, words_literal
 from tagloom.operators.validate import MG, mg_value
 from tagloom.rules.vocabulary import Vocabulary, items
+from tagloom.session import spread
 
 # ---------------------------------------------------------------------------
 # Fixed values.  First matching line wins.
@@ -255,7 +256,7 @@ def controlled_rule_tags(df: DataFrame, vocabulary: Vocabulary | None = None) ->
     v = vocabulary or Vocabulary()
     blank = [F.coalesce(F.col(c), F.lit("")) for c in ("handle", "title", "description")]
     kind = F.lower(F.col("type")) if "type" in df.columns else F.lit(None).cast("string")
-    step = df.select(
+    step = spread(df).select(
         "*", F.lower(F.concat_ws(" ", *blank)).alias("_text"),
         F.lower(F.concat_ws(" ", *blank[:2])).alias("_head"), kind.alias("_kind"))
     step = step.select("*", forced_category(F.col("_head")).alias("_forced"))

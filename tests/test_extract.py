@@ -101,3 +101,12 @@ def test_garbage_answer(spark):
 def test_names(spark):
     assert one(spark, " Blue  Razz (20mg)! ", slug) == "blue-razz-20mg"
     assert one(spark, "Pod_Kit-10ml-blue", similar_handle_audit) == "pod kit"
+
+
+def test_rows_of_one_split_are_tagged_by_all_cores(spark):
+    from pyspark.sql import functions as F
+    from tagloom.operators import controlled as C, module_tagger as M
+    rows = spark.range(400).coalesce(1).selectExpr("concat('h', id) AS handle", "'pod kit 10ml' AS title", "'nic salt' AS description")
+    for made in (M.tag_by_rules(rows), C.tag_controlled(rows)):
+        shares = made.groupBy(F.spark_partition_id().alias("task")).count().collect()
+        assert len(shares) >= 4 and sum(r["count"] for r in shares) == 400 and max(r["count"] for r in shares) <= 200

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -140,23 +141,52 @@ def read_upserts(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
 _ROW = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}  # to the microsecond; doubles and decimals keep their digits
 
 
+PAGES = 32  # a bucket's handles are kept in so many pages
+
+
 class FirstSeen(StatefulProcessor):
-    """Gives each handle's least row in the batch that first has it; what stays is one flag a handle."""
+    """Gives each handle's least row in the batch that first has it.
+
+    A call to the state store costs about a millisecond, so handles are kept in pages by hash, and a batch reads and
+    writes each page it meets once.  With expiry, which goes by entry, what stays is one flag a handle.
+    """
 
     def __init__(self, forget_ms: int | None) -> None:
         self.forget_ms = forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "handle string", "seen boolean", self.forget_ms)
+        if self.forget_ms is None:
+            self.pages = handle.getMapState("pages", "page int", "handles array<string>")
+        else:
+            self.seen = handle.getMapState("seen", "handle string", "seen boolean", self.forget_ms)
+
+    def _unseen(self, names: list[str]) -> list[str]:
+        """The names that were not seen before, which are seen from now on."""
+        if self.forget_ms is not None:
+            new = [name for name in names if not self.seen.containsKey((name,))]
+            for name in new:
+                self.seen.updateValue((name,), (True,))
+            return new
+        by_page: dict[int, list[str]] = {}
+        for name in names:
+            by_page.setdefault(zlib.crc32(name.encode("utf-8", "surrogatepass")) % PAGES, []).append(name)
+        new = []
+        for page, there in by_page.items():
+            value = self.pages.getValue((page,))
+            before = list(value[0]) if value is not None else []
+            known = set(before)
+            fresh = [name for name in there if name not in known]
+            if fresh:
+                self.pages.updateValue((page,), (before + fresh,))
+                new += fresh
+        return new
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         least: dict[str, str] = {}
         for frame in rows:
             for name, body in frame.groupby("handle")["body"].min().items():
                 least[name] = min(body, least.get(name, body))
-        new = [name for name in least if not self.seen.containsKey((name,))]
-        for name in new:
-            self.seen.updateValue((name,), (True,))
+        new = self._unseen(list(least))
         yield pd.DataFrame({"handle": new, "body": [least[name] for name in new]}, dtype=object)
 
     def close(self) -> None:
@@ -166,8 +196,8 @@ class FirstSeen(StatefulProcessor):
 def new_handles(products: DataFrame, forget_after: dt.timedelta | None = None, buckets: int = 256) -> DataFrame:
     """One row for each handle that no batch had before (not for ``forget_after``, if given), in append mode.
 
-    Old output is not read: a handle's state is one flag in the state store, so a batch costs what its own rows
-    cost, and a repeated epoch starts from the same state and gives the same rows.  Of several rows of a handle in
+    Old output is not read: handles are kept in the state store, by pages, of which a batch reads those its own
+    handles fall into, and a repeated epoch starts from the same state and gives the same rows.  Of several rows of a handle in
     its first batch the least, as JSON text, is taken; rows without a handle are left out.  Handles go by hash to
     ``buckets``, which stay the same as long as the checkpoint is used; a task holds one row for each handle that a
     batch has in a bucket, so take more for large batches.  Needs the RocksDB state store, which is set for the session.

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +52,31 @@ def test_keywords_agree(spark, text, words, hit):
     assert bool(one(spark, text, lambda c: tags_for_hits(keyword_hits(c, words), {"t": words}))) is hit
 
 
+def test_hits_equal_each_keywords_regex(spark):
+    words = ["pod kit", "kit", "pod", "0.5 ohm", "nic salt e-liquid", "e-liquid", "salt", "salt e", "a a", "liquid"]
+    texts = ["pod kit pod", "Pod Kits", "pod  kit", "kit pod", "0.5 ohm 0.5 ohms", "10.5 ohm", "nic salt e-liquid", "nic salt e-", "salt",
+             "a a a", "e-liquids e", "-e-liquid-", "salt e", "", "  ", "pod-kit", "nic nic salt e-liquid"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        "t", keyword_hits(F.col("t"), words).alias("hits"),
+        *[keyword_match(F.col("t"), [w]).alias(f"w{i}") for i, w in enumerate(words)]).collect()
+    for row in got:
+        met = [bool(one_word) for one_word in row[2:]]
+        forms = {w for h in row.hits for w in words if h in (w, w + "s")}
+        assert [w in forms for w in words] == met, row.t
+
+
+def test_a_long_keyword_costs_only_where_it_may_begin(spark):
+    texts = spark.range(0, 80, 1, 4).select(F.repeat(F.concat(F.lit("w"), "id", F.lit(" ")), 4000).alias("t"))
+
+    def seconds(words):
+        began = time.monotonic()
+        texts.select(F.size(keyword_hits(F.col("t"), words)).alias("n")).agg(F.sum("n")).collect()
+        return time.monotonic() - began
+
+    seconds(["w3"])
+    assert seconds(["w3", " ".join(["word"] * 60)]) < 5 * seconds(["w3"]) + 5
+
+
 def test_controlled_profile(spark):
     df = spark.createDataFrame([
         ("cbd-oil", "CBD Oil Tincture 500mg Broad Spectrum", ""), ("airpod", "Airpod case", ""),

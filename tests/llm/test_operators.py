@@ -13,7 +13,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F, types as T
 
-from tagloom.llm import chat, decontaminate, jaccard_join, lm_score, packing, pii, quality, substring_dedup, token_counts, warc
+from tagloom.llm import chat, decontaminate, jaccard_join, lm_score, packing, pii, quality, substring_dedup, token_counts, tokens, warc
 from tagloom.llm.packing import OpenBins
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -389,6 +389,34 @@ def test_responses_are_read_from_files(spark):
 
 # token counts
 
+class Listening:
+    """A tokenizer that notes the texts it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.given = tokenizer, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.given += texts
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+@pytest.mark.parametrize("counts", [False, True])
+def test_words_are_encoded_once_with_whatever_marks(counts):
+    encode = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"), counts, False)
+    tokenizer = encode.tokenizer
+    heard = encode.tokenizer = Listening(tokenizer)
+    texts = [b"stone### stone&&& river", b"Stone stone. river$", "été été%% čas!?".encode()]
+    awkward = ["don't don' don'. it's' a_b_ a__ x<|y <|endoftext|>a| a|> 5% 5ml## İx## \u0130 Ǆa ﬁx## e\u0301## \u0301## \u0345a ªº 한글 \u1112\u1161\u11ab## ᾳ ß$ ſt",
+               "ab</w> </w> w>## \x00a ## #a a#a## 'll we'll'' ''s a's## x's. ³a a³## Ⅷ ㆍ ー々 〆x \ud7b0 ⓐ ᵃ ʰ'", "aB CD## Éa ÉA## \x1ca b", "", " ", "a\u200db",
+               "\u0959. \u0a36, \u0f69; \u0958## a\u0a5b!"]
+    for part in (texts, [a.encode() for a in awkward], texts + [w.encode() for a in awkward for w in a.split(" ")]):
+        ids = [np.array(tokenizer.encode(t.decode(), add_special_tokens=False).ids, "<u4") for t in part]
+        assert encode.texts(part) == [len(i) if counts else i.tobytes() for i in ids]
+        if part is texts:
+            said = " ".join(heard.given)
+            assert said.count("stone") == said.count("été") == 1
+
+
 def test_counts_equal_the_library_and_hits_encode_nothing(spark, docs, empty, monkeypatch):
     from tokenizers import Tokenizer
     path = public_tokenizers.path("byte_bpe_50k.json")

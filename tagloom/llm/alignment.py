@@ -4,7 +4,11 @@ Both token sequences of a text spell the same bytes, so tokens are byte ranges.
 farthest-right token of the other side that overlaps it, if that ends later; of two that end together the second
 side's is the terminal.  Squaring the pointers until they stand still leads every token to the terminal of
 its group, the smallest run of bytes that both sides cut at both ends; a chain of n tokens takes log2(n) steps,
-and all texts of a chunk jump at once.
+and all units of a lot jump at once.
+
+A text is cut where no token of either side can cross: before white space, and before marks behind a word.  Groups
+and links end there too, so each distinct unit is encoded and aligned once while it stays in a memory bounded in bytes,
+and a text adds up its units.  Where the vocabularies do not allow a cut, a text is one unit.
 
 How often two ids are linked in the whole corpus is counted over scopes: a scope is up to ``SCOPE_BYTES`` of
 text of one task and numbers its distinct id pairs.  Only these pairs are dealt, never single links; a
@@ -12,7 +16,14 @@ document keeps the numbers of its pairs, and its scope's counts come back to it.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+import gc
+import os
+import re
+from collections import defaultdict, deque
+from collections.abc import Collection, Iterator
+from hashlib import sha256
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +31,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tagloom.llm.stored import stored
-from tagloom.llm.tokens import encoder
+from tagloom.llm.tokens import LONG_PIECE, ODD_SPACE, PIECES
 from tagloom.llm.words import chunks
 
 CHUNK_BYTES, SCOPE_BYTES, DICTIONARY_ROW = 1 << 21, 32 << 20, 1 << 15
+LOT = 1000  # units encoded and aligned together
+KNOWN_BYTES = 80 << 20
+RECENT = 2  # batches whose units stay when the memory is full
+ENTRY_BYTES = 260  # of a unit in memory beside its characters and links: a key, two values and their tuple, a place in the dictionary
+_MARKS = bytes(c for c in range(0x21, 0x7f) if not chr(c).isalnum())
 _TOKENS = "scope long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_pairs int, slots binary, times binary, first_slot int, pairs array<long>, pair_links array<long>"
 
 
@@ -39,57 +55,82 @@ def byte_level(vocabulary: dict[str, int]) -> list[bytes]:
     return table
 
 
+def letter(end: bytes) -> bool:
+    """Does this end with an ASCII letter or digit, or with any other letter?"""
+    return end[-1:].isalnum() or end[-1:] >= b"\x80" and end[-4:].decode("utf-8", "ignore")[-1:].isalpha()
+
+
 class Side:
-    """One tokenizer: ids of texts and the bytes of each id."""
+    """One tokenizer: ids of units and the bytes of each id."""
 
     def __init__(self, table: list[bytes]) -> None:
         self.table = table
         self.length = np.array([len(t) for t in table], np.int64)
 
-    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
+    def ids(self, text: bytes) -> np.ndarray:
+        """Ids of a text, or of units in a row."""
         raise NotImplementedError
 
     def spelled(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.table.__getitem__, ids.tolist()))
 
-    def close(self) -> None:
-        pass
-
 
 class ByteBpe(Side):
-    """A byte-level vocabulary of the tokenizers library; a space stands before each text."""
+    """A byte-level vocabulary of the tokenizers library; special tokens' strings are plain text."""
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.encode = encoder(path, False, True)
-        self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
-        super().__init__(byte_level(self.plain.get_vocab(with_added_tokens=True)))
-
-    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
-        texts = [b" " + t for t in texts]
-        marked = [i for i, t in enumerate(texts) if b"<|" in t]  # may hold a special token's string, which is plain text here
-        out = [np.frombuffer(t, "<u4").astype(np.int64) for t in self.encode.texts([b"" if b"<|" in t else t for t in texts])]
-        found = self.plain.encode_batch_fast([texts[i].decode("utf-8", "replace") for i in marked], add_special_tokens=False)
-        for i, one in zip(marked, found):
-            out[i] = np.array(one.ids, np.int64)
-        return out
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        super().__init__(byte_level(self.tokenizer.get_vocab(with_added_tokens=True)))
 
-    def close(self) -> None:
-        self.encode.forget()
+    def ids(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, np.int64)
 
 
 class Pieces(Side):
-    """A vocabulary of the sentencepiece library, which puts the space before each text itself."""
+    """A vocabulary of the sentencepiece library, which puts the space before each text itself.
+
+    ``cuts``: do its merges, and nothing else, decide where tokens end, and does none cross a line feed or the place
+    before a space?  ``joining``: other white space that some piece holds behind other characters.  ``marks``: those
+    that no piece holds behind a letter or digit.
+    """
 
     def __init__(self, path: str) -> None:
         import sentencepiece
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         super().__init__([bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
-
-    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
-        return [np.array(ids, np.int64) for ids in self.model.encode([t.decode("utf-8", "replace") for t in texts], num_threads=1)]
+        self.cuts, self.joining, self.marks = False, set(), b""
+        try:
+            from sentencepiece import sentencepiece_model_pb2 as layout
+        except ImportError:  # it needs protobuf; without it the rules are unknown
+            return
+        known = layout.ModelProto()
+        known.ParseFromString(self.model.serialized_model_proto())
+        kind, rules, training = layout.ModelProto.SentencePiece, known.normalizer_spec, known.trainer_spec
+        said = [t for t, p in zip(self.table, known.pieces) if p.type == kind.NORMAL]
+        self.cuts = (training.model_type == layout.TrainerSpec.BPE and training.byte_fallback and not training.treat_whitespace_as_suffix
+                     and rules.add_dummy_prefix and rules.escape_whitespaces and not rules.remove_extra_whitespaces and not rules.precompiled_charsmap
+                     and all(p.type in (kind.NORMAL, kind.UNKNOWN, kind.CONTROL, kind.BYTE) for p in known.pieces)
+                     and not any(re.search(rb"\n|[^ ] ", t) for t in said))
+        self.joining = {w for t in said for w in re.findall(rb"[^\t-\r ]([\t-\r])", t)}
+        crossed = {t[i] for t in said for i in range(1, len(t)) if t[i] in _MARKS and letter(t[:i])}
+        self.marks = bytes(m for m in _MARKS if m not in crossed)
+
+    def ids(self, text: bytes) -> np.ndarray:
+        if not self.cuts:
+            return np.array(self.model.encode(text[1:].decode("utf-8", "replace")), np.int64)
+        # a space of its own and a line feed go before it
+        return np.array(self.model.encode((b"\n" + text).decode("utf-8", "replace"))[2:], np.int64)
+
+
+@functools.lru_cache(maxsize=1)
+def opened(path_a: str, path_b: str) -> tuple[ByteBpe, Pieces, np.ndarray]:
+    """Both sides and the names of their tokens, which stay for a worker's next task."""
+    first, second = ByteBpe(path_a), Pieces(path_b)
+    return first, second, token_names(len(first.table), len(second.table))
 
 
 def terminals(end_a: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,43 +197,144 @@ def widened(body: bytes, n: int) -> np.ndarray:
     return np.frombuffer(body, f"<u{len(body) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
 
 
-def aligned(sides: tuple[Side, Side], texts: list[bytes], scope: Scope, names: np.ndarray) -> Iterator[tuple]:
+def starts(many: np.ndarray) -> np.ndarray:
+    """Where runs of these lengths begin, with the end of the last."""
+    return np.concatenate([[0], np.cumsum(many)])
+
+
+class Units:
+    """Alignment of distinct units: ``n_a, n_b, n_groups``, the groups as written after a semicolon, and the codes of all
+    links, as 64-bit bytes.  The groups are None where a side does not spell the unit."""
+
+    def __init__(self, path_a: str, path_b: str) -> None:
+        *self.sides, self.names = opened(path_a, path_b)
+        self.known: dict[bytes, tuple] = {}
+        self.known_bytes = 0
+        self.recent: deque[set[bytes]] = deque(maxlen=RECENT)
+        self.apart: set[bytes] = set()  # texts of which it is unknown where no token crosses
+
+    def cut(self, text: bytes) -> list[bytes]:
+        if not text:
+            return []
+        text, second = b" " + text, self.sides[1]
+        if not second.cuts or any(w in text for w in second.joining) or ODD_SPACE.search(text):
+            self.apart.add(text)
+            return [text]
+        return PIECES.findall(text)
+
+    def rows(self, units: Collection[bytes]) -> list[tuple]:
+        """The alignment of each of some distinct units."""
+        wanted = set(units)
+        if self.known_bytes > KNOWN_BYTES:  # frequent units are in recent batches too
+            self.known = {u: self.known[u] for u in wanted.union(*self.recent).intersection(self.known)}
+            self.known_bytes = self._size(self.known)
+        new = wanted.difference(self.known)
+        self._learn(new)
+        out = list(map(self.known.__getitem__, units))
+        gone = {u for u in new if len(u) > LONG_PIECE or u in self.apart}  # these do not stay
+        self.known_bytes -= self._size({u: self.known.pop(u) for u in gone})
+        self.recent.append(wanted - gone)
+        self.apart.clear()
+        return out
+
+    @staticmethod
+    def _size(rows: dict[bytes, tuple]) -> int:
+        """About: groups are about as long as links."""
+        return ENTRY_BYTES * len(rows) + sum(map(len, rows)) + 2 * sum([len(r[4]) for r in rows.values()])
+
+    def _add(self, rows: dict[bytes, tuple]) -> None:
+        self.known.update(rows)
+        self.known_bytes += self._size(rows)
+
+    def _learn(self, new: set[bytes]) -> None:
+        ends, need, marks = [], set(), self.sides[1].marks
+        for unit in new - self.apart:
+            word = unit.rstrip(marks)
+            if len(word) < len(unit) <= LONG_PIECE and letter(word):
+                ends.append((unit, word, unit[len(word):]))
+            else:
+                need.add(unit)
+        need.update([word for _, word, _ in ends], [behind for _, _, behind in ends])
+        need = need.difference(self.known)
+        # no token crosses from the end of a word to the white space of the next
+        row = [u for u in need if u[:1].isspace() and not u[-1:].isspace()]
+        for lot, joined in (row, True), (list(need.difference(row) | new & self.apart), False):
+            for at in range(0, len(lot), LOT):
+                some = lot[at:at + LOT]
+                self._add(dict(zip(some, self.aligned(some, joined))))
+        get = self.known.__getitem__
+        self._add({unit: (x[0] + y[0], x[1] + y[1], x[2] + y[2], None if x[3] is None or y[3] is None else x[3] + y[3], x[4] + y[4])
+                   for unit, x, y in ((unit, get(word), get(behind)) for unit, word, behind in ends)})
+
+    def aligned(self, units: list[bytes], joined: bool) -> list[tuple]:
+        """The row of each of some units.  ``joined``: no token crosses from one to the next, so they are encoded in a row."""
+        whole = b"".join(units)
+        if joined:
+            id_a, id_b = (side.ids(whole) for side in self.sides)
+            if any(side.spelled(ids) != whole for side, ids in zip(self.sides, (id_a, id_b))):
+                return self.aligned(units, False)
+        else:
+            found = [[side.ids(u) for u in units] for side in self.sides]
+            same = [k for k, u in enumerate(units) if all(side.spelled(ids[k]) == u for side, ids in zip(self.sides, found))]
+            rows: list[tuple] = [(0, 0, 0, None, b"")] * len(units)
+            if not same:
+                return rows
+            id_a, id_b = (np.concatenate([ids[k] for k in same]) for ids in found)
+            units = [units[k] for k in same]
+        length_a, length_b = (side.length[ids] for side, ids in zip(self.sides, (id_a, id_b)))
+        end_a, end_b = np.cumsum(length_a), np.cumsum(length_b)
+        group_a, group_b = terminals(end_a, end_b)
+        # every overlapping pair: from the token that holds the first byte to the one that holds the last
+        low = np.searchsorted(end_b, end_a - length_a, "right")
+        many = np.searchsorted(end_b, end_a) - low + 1
+        links = starts(many)
+        right = np.arange(links[-1]) - np.repeat(links[:-1] - low, many)
+        codes = (np.repeat(id_a << 32, many) | id_b[right]).astype("<i8").tobytes()
+        tokens = self.names[written(id_a, group_a, id_b, group_b, *(len(side.table) for side in self.sides))].tolist()
+        ends = starts([len(u) for u in units])
+        first_a, first_b = (np.searchsorted(end, ends, "right") for end in (end_a, end_b))
+        n_groups = np.diff(starts(group_b == np.arange(len(group_b)))[first_b]).tolist()
+        token_first, code_first = (first_a + first_b).tolist(), (8 * links[first_a]).tolist()
+        out = [(x, y, g, b"".join(tokens[t:t_end]), codes[c:c_end]) for x, y, g, t, t_end, c, c_end in
+               zip(np.diff(first_a).tolist(), np.diff(first_b).tolist(), n_groups, token_first, token_first[1:], code_first, code_first[1:])]
+        if joined:
+            return out
+        for k, row in zip(same, out):
+            rows[k] = row
+        return rows
+
+
+def text_rows(units: Units, texts: list[bytes], scope: Scope) -> Iterator[tuple]:
     """Per text ``n_a, n_b, n_groups, n_links, groups_sha256, n_pairs, slots, times``."""
-    from hashlib import sha256
-    found = [side.ids([t for t in texts if t]) for side in sides]
-    whole = [i for i, t in enumerate(texts) if t]
-    same = [k for k, i in enumerate(whole) if all(side.spelled(ids[k]) == b" " + texts[i] for side, ids in zip(sides, found))]
-    none = (0, 0, 0, 0, "", 0, b"", b"")
-    if not same:
-        yield from (none for _ in texts)
-        return
-    lists = [[ids[k] for k in same] for ids in found]
-    id_a, id_b = (np.concatenate(x) for x in lists)
-    first_a, first_b = (np.concatenate([[0], np.cumsum([len(x) for x in side])]) for side in lists)
-    end_a, end_b = np.cumsum(sides[0].length[id_a]), np.cumsum(sides[1].length[id_b])
-    group_a, group_b = terminals(end_a, end_b)
-    # every overlapping pair: from the token that holds the first byte to the one that holds the last
-    low = np.searchsorted(end_b, end_a - sides[0].length[id_a], "right")
-    many = np.searchsorted(end_b, end_a) - low + 1
-    links = np.concatenate([[0], np.cumsum(many)])
-    right = np.arange(links[-1]) - np.repeat(links[:-1] - low, many)
-    distinct, which, count = np.unique(np.repeat(id_a << 32, many) | id_b[right], return_inverse=True, return_counts=True)
-    slot = scope.number(distinct, count)
-    link_first = links[first_a]
-    doc = np.repeat(np.arange(len(same)), np.diff(link_first))
-    pairs, times = np.unique(doc * (len(scope.links) + 1) + slot[which], return_counts=True)
-    pair_doc, pair_slot = np.divmod(pairs, len(scope.links) + 1)
-    pair_first = np.searchsorted(pair_doc, np.arange(len(same) + 1))
-    n_a, n_b, n_links = np.diff(first_a), np.diff(first_b), np.diff(link_first)
-    n_groups = np.diff(np.concatenate([[0], np.cumsum(group_b == np.arange(len(group_b)))])[first_b])
-    tokens = names[written(id_a, group_a, id_b, group_b, *(len(side.table) for side in sides))].tolist()
-    token_first = (first_a + first_b).tolist()
-    rows = {}
-    for k, i in enumerate(whole[k] for k in same):
-        p = slice(pair_first[k], pair_first[k + 1])
-        text = b"".join(tokens[token_first[k]:token_first[k + 1]])[1:]
-        rows[i] = (n_a[k], n_b[k], n_groups[k], n_links[k], sha256(text).hexdigest(), p.stop - p.start, narrow(pair_slot[p]).tobytes(), narrow(times[p]).tobytes())
-    yield from (rows.get(i, none) for i in range(len(texts)))
+    cut = [units.cut(t) for t in texts]
+    number: defaultdict[bytes, int] = defaultdict(count().__next__)
+    which = np.fromiter(map(number.__getitem__, chain.from_iterable(cut)), np.int64)
+    doc = np.repeat(np.arange(len(texts)), [len(c) for c in cut])
+    *counts, groups, codes = zip(*units.rows(number)) if number else ((),) * 5
+    unspelled = np.array([g is None for g in groups], bool)
+    none = np.bincount(doc[unspelled[which]], minlength=len(texts)) > 0
+    which, doc = which[~none[doc]], doc[~none[doc]]
+    first = np.searchsorted(doc, np.arange(len(texts) + 1))
+    n_a, n_b, n_groups = (np.diff(starts(np.array(c, np.int64)[which])[first]).tolist() for c in counts)
+    # pairs of the distinct units, and of every unit of a text
+    many = np.array([len(c) // 8 for c in codes], np.int64)
+    distinct, of = np.unique(np.frombuffer(b"".join(codes), "<i8"), return_inverse=True)
+    often = np.bincount(of, np.repeat(np.bincount(which, minlength=len(many)), many), len(distinct)).astype(np.int64)
+    slot = np.zeros(len(distinct), np.int64)
+    slot[often > 0] = scope.number(distinct[often > 0], often[often > 0])
+    links = starts(many[which])
+    at = np.arange(links[-1]) + np.repeat(starts(many)[which] - links[:-1], many[which])
+    base = len(scope.links) + 1
+    pairs, times = np.unique(np.repeat(doc * base, many[which]) + slot[of][at], return_counts=True)
+    pair_first = np.searchsorted(pairs, np.arange(len(texts) + 1) * base).tolist()
+    n_links = np.diff(links[first]).tolist()
+    spelled = np.array([*groups, None], object)[which].tolist()
+    first = first.tolist()
+    for i in range(len(texts)):
+        p = slice(pair_first[i], pair_first[i + 1])
+        text = b"".join(spelled[first[i]:first[i + 1]])
+        yield (n_a[i], n_b[i], n_groups[i], n_links[i], sha256(text[1:]).hexdigest() if text else "", p.stop - p.start,
+               narrow(pairs[p] - i * base).tobytes(), narrow(times[p]).tobytes())
 
 
 def token_rows(docs: DataFrame, path_a: str, path_b: str, scope_bytes: int = SCOPE_BYTES) -> DataFrame:
@@ -200,8 +342,7 @@ def token_rows(docs: DataFrame, path_a: str, path_b: str, scope_bytes: int = SCO
     kind = docs.schema["id"].dataType.simpleString()
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides = ByteBpe(path_a), Pieces(path_b)
-        names = token_names(*(len(side.table) for side in sides))
+        units = Units(path_a, path_b)
         scope, read, number = Scope(), 0, TaskContext.get().partitionId() << 32
         schema: pa.Schema | None = None
 
@@ -211,28 +352,28 @@ def token_rows(docs: DataFrame, path_a: str, path_b: str, scope_bytes: int = SCO
                            "pairs": pa.array([codes], pa.list_(pa.int64())), "pair_links": pa.array([links], pa.list_(pa.int64()))}
                 yield pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(1, f.type)) for f in schema], schema=schema)
 
-        try:
-            for batch in batches:
-                if schema is None:
-                    schema = pa.schema([("id", batch.schema.field("id").type), ("scope", pa.int64()), *[(c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")],
-                                        ("groups_sha256", pa.string()), ("n_pairs", pa.int32()), ("slots", pa.binary()), ("times", pa.binary()),
-                                        ("first_slot", pa.int32()), ("pairs", pa.list_(pa.int64())), ("pair_links", pa.list_(pa.int64()))])
-                for part, data, offsets in chunks(batch, "text", CHUNK_BYTES):
-                    if read and read + len(data) > scope_bytes:
-                        yield from dictionary()
-                        scope, read, number = Scope(), 0, number + 1
-                    read += len(data)
-                    whole, at = data.tobytes(), offsets.tolist()
-                    rows = list(zip(*aligned(sides, [whole[a:b] for a, b in zip(at, at[1:])], scope, names)))
-                    n = part.num_rows
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("id"), pa.array(np.full(n, number)), *[pa.array(column, f.type) for column, f in zip(rows, list(schema)[2:10])],
-                         *[pa.nulls(n, f.type) for f in list(schema)[10:]]], schema=schema)
-            if schema is not None:
-                yield from dictionary()
-        finally:
-            for side in sides:
-                side.close()
+        for batch in batches:
+            if schema is None:
+                schema = pa.schema([("id", batch.schema.field("id").type), ("scope", pa.int64()), *[(c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")],
+                                    ("groups_sha256", pa.string()), ("n_pairs", pa.int32()), ("slots", pa.binary()), ("times", pa.binary()),
+                                    ("first_slot", pa.int32()), ("pairs", pa.list_(pa.int64())), ("pair_links", pa.list_(pa.int64()))])
+            for part, data, offsets in chunks(batch, "text", CHUNK_BYTES):
+                if read and read + len(data) > scope_bytes:
+                    yield from dictionary()
+                    scope, read, number = Scope(), 0, number + 1
+                read += len(data)
+                whole, at = data.tobytes(), offsets.tolist()
+                gc.disable()  # many small objects, no cycles
+                try:
+                    rows = list(zip(*text_rows(units, [whole[a:b] for a, b in zip(at, at[1:])], scope)))
+                finally:
+                    gc.enable()
+                n = part.num_rows
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), pa.array(np.full(n, number)), *[pa.array(column, f.type) for column, f in zip(rows, list(schema)[2:10])],
+                     *[pa.nulls(n, f.type) for f in list(schema)[10:]]], schema=schema)
+        if schema is not None:
+            yield from dictionary()
 
     return docs.mapInArrow(align, f"id {kind}, {_TOKENS}")
 

@@ -15,9 +15,9 @@ from collections.abc import Collection, Iterable
 
 import numpy as np
 
-_PIECES = re.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
+PIECES = re.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 #: Bytes of characters that some definition of white space contains, beside ASCII's six.
-_ODD_SPACE = re.compile(rb"[\x1c-\x1f\xc2\xe1-\xe3\xef](?:(?<=[\x1c-\x1f])|(?<=\xc2)[\x85\xa0]|(?<=\xe1)(?:\x9a\x80|\xa0\x8e)"
+ODD_SPACE = re.compile(rb"[\x1c-\x1f\xc2\xe1-\xe3\xef](?:(?<=[\x1c-\x1f])|(?<=\xc2)[\x85\xa0]|(?<=\xe1)(?:\x9a\x80|\xa0\x8e)"
                         rb"|(?<=\xe2)(?:\x80[\x80-\xaf]|\x81[\x9f-\xa4])|(?<=\xe3)\x80\x80|(?<=\xef)\xbb\xbf)")
 TEXTS = 1024  # encoded together: the more, the fewer looks at the pieces known
 _STOPS = b".,;:!?"
@@ -131,7 +131,7 @@ class Encoder:
 
     def _pieces(self, text: bytes) -> list[bytes]:
         if self.keep_space:
-            return _PIECES.findall(text)
+            return PIECES.findall(text)
         if self.lowers and b"<|" not in text:
             text = _STOP_APART.sub(rb" \g<0>", text.lower())
         return text.split()
@@ -140,7 +140,7 @@ class Encoder:
         """Ids or counts of each text."""
         gc.disable()  # many small objects, no cycles
         try:
-            whole = {t for t in texts if _ODD_SPACE.search(t)}
+            whole = {t for t in texts if ODD_SPACE.search(t)}
             cut = [[t] if t in whole else self._pieces(t) for t in texts]
             pieces = set().union(*cut)
             whole.update(p for p in pieces if len(p) > LONG_PIECE)

@@ -101,3 +101,29 @@ def test_scopes_number_pairs_once():
     assert scope.number(np.array([1, 5, 7, 12]), np.array([1, 1, 1, 1])).tolist() == [2, 0, 3, 4]
     (low, codes, links), = scope.rows()
     assert (low, codes.tolist(), links.tolist()) == (0, [5, 9, 1, 7, 12], [2, 2, 1, 1, 1])
+
+
+def test_a_unit_is_encoded_once(monkeypatch):
+    units, scope, said = alignment.Units(A, B), alignment.Scope(), []
+    for side in units.sides:
+        monkeypatch.setattr(side, "ids", lambda text, plain=side.ids: said.append(len(text)) or plain(text))
+    rows = list(alignment.text_rows(units, [b"unbelievable words, words!"] * 500 + [b"words"], scope))
+    assert sum(said) <= 2 * len(" unbelievable words,!")
+    assert rows[0][0] > 0 and all(r == rows[0] for r in rows[:500])
+    assert list(alignment.text_rows(units, [b"words words, unbelievable"], scope)) and sum(said) <= 2 * len(" unbelievable words,!")
+
+
+@pytest.mark.parametrize("known_bytes, cuts", [(1, True), (alignment.KNOWN_BYTES, True), (1, False)])
+def test_units_equal_whole_texts(monkeypatch, known_bytes, cuts):
+    monkeypatch.setattr(alignment, "KNOWN_BYTES", known_bytes)
+    rng = random.Random(6)
+    atoms = [*"aZé9².,;:!?'()_|<>#$東ßﬁ", " ", "  ", "\n", "\n\n", "\t", "\r", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "　", "﻿", "▁", "\x00",
+             "😀", "ख़", "'s", "<s>", "<0x0A>", "<|endoftext|>", "token", "});\r", "1,234.5", "x" * 5000 + "."]
+    some = ["".join(rng.choices(atoms[:rng.choice([24, 28, len(atoms)])], k=rng.randint(1, 20))) for _ in range(600)]
+    units, scope = alignment.Units(A, B), alignment.Scope()
+    monkeypatch.setattr(units.sides[1], "cuts", cuts)
+    rows = [r for at in range(0, 600, 50) for r in alignment.text_rows(units, [t.encode() for t in some[at:at + 50]], scope)]
+    assert [(r[0], r[1], r[2], r[3], r[4]) for r in rows] == [(*p[1:5], p[7]) for p in (plain_rows([(0, t)])[0] for t in some)]
+    assert known_bytes > 1 or len(units.known) < 1000
+    none, whole = alignment.text_rows(units, [b"odd \xff byte", b"odd byte"], scope)
+    assert none == (0, 0, 0, 0, "", 0, b"", b"") and whole[0] > 0
